@@ -1,0 +1 @@
+"""Deliberately empty: the work covered here is batch work over stored corpora, without streams."""
