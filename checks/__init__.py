@@ -1 +1,6 @@
 """Registered queries and their SQL twins."""
+
+from checks import corpus_queries
+from checks.registry import ORACLES, QUERIES
+
+flagship = None
