@@ -16,16 +16,25 @@ MAX_CUTS = 255
 SALTS = 16
 
 
-def divide_hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_part``: 0 for ordinary keys; for a key with more than ``hot_rows`` rows, an ascending slice of ``order``.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and their number ``_n``, stored; ``None`` when there are none.
+
+    One counting pass, with partial counts on the map side. At most ``rows / hot_rows`` keys can be hot.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    if counts.isEmpty():
+        return None
+    return stage(counts, "hot-keys")
+
+
+def divide_hot_keys(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:
+    """Add ``_part``: 0 for ordinary keys; for a hot key an ascending slice of ``order``, and ``_hot``.
 
     ``order`` is a numeric column. The cut points of a hot key are approximate percentiles, so parts are about equal
-    whatever the distribution, and equal values never straddle a cut. At most ``rows / hot_rows`` keys are hot and
-    all their cut points together are at most ``rows / hot_rows``, which bounds the broadcast side.
-    ``_hot`` marks the rows of divided keys.
+    whatever the distribution, and equal values never straddle a cut. All cut points together are at most
+    ``rows / hot_rows``, which bounds the broadcast side.
     """
     keys = list(keys)
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     percentages = [i / (MAX_CUTS + 1) for i in range(1, MAX_CUTS + 1)]
     stride = F.greatest(F.lit(1), F.floor(F.lit(MAX_CUTS) * F.lit(hot_rows) / F.col("_n"))).cast("int")
     cuts = (
@@ -36,11 +45,9 @@ def divide_hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: in
         .select(*keys, stride.alias("_stride"), "_p")
         .select(*keys, F.expr("array_distinct(filter(_p, (c, i) -> i % _stride = 0))").alias("_cuts"))
     )
-    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))
-    marked = df.join(F.broadcast(cuts), keys, "left")
-    return marked.withColumns(
-        {"_hot": F.col("_cuts").isNotNull(), "_part": F.when(F.col("_cuts").isNull(), 0).otherwise(part)}
-    ).drop("_cuts")
+    marked = df.join(F.broadcast(stage(cuts, "cuts")), keys, "left")
+    part = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(order))))
+    return marked.withColumns({"_hot": F.col("_cuts").isNotNull(), "_part": part}).drop("_cuts")
 
 
 def number_rows(
@@ -56,32 +63,38 @@ def number_rows(
     """Number the rows of every key from 1 by (``order``, ``ties``) and add exclusive running totals.
 
     ``totals`` maps an output name to the column summed over all earlier rows of the key. ``top`` keeps the first
-    rows only. A hot key is windowed part by part; the counts and sums of its earlier parts are carried over.
+    rows only. The keys are counted first. Without hot keys this is a plain window; a hot key is windowed part by
+    part, and the counts and sums of its earlier parts are carried over.
     """
     keys, totals = list(keys), dict(totals or {})
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return _number(df, keys, order, ties, name, totals, top)
+    divided = divide_hot_keys(df, hot, keys, order, hot_rows)
     group = [*keys, "_part"]
-    divided = divide_hot_keys(df, keys, order, hot_rows)
-    sums = [F.sum(source).alias(f"_sum_{out}") for out, source in totals.items()]
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ["_sum__rows", *(f"_sum_{out}" for out in totals)]
+    carried = {"_carry": F.count("*"), **{f"_carry_{out}": F.sum(source) for out, source in totals.items()}}
     carry = (
         divided.where("_hot")
         .groupBy(*group)
-        .agg(F.count("*").alias("_sum__rows"), *sums)
+        .agg(*(value.alias(c) for c, value in carried.items()))
         .select(*group, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in carried))
     )
-    rows = divided.join(F.broadcast(carry), group, "left").fillna(0, carried)
+    rows = divided.join(F.broadcast(carry), group, "left").fillna(0, list(carried))
     if top is not None:
-        rows = rows.where(F.col("_sum__rows") < top)
-    inside = Window.partitionBy(*group).orderBy(order, *ties)
-    rows = rows.withColumn("_local", F.row_number().over(inside))
-    if top is not None:
-        rows = rows.where((F.col("_local") <= top) & (F.col("_local") + F.col("_sum__rows") <= top))
+        rows = rows.where(F.col("_carry") < top)
+    numbered = _number(rows, group, order, ties, name, totals, top)
+    added = {c: F.col(c) + F.col(f"_carry_{c}") for c in totals} | {name: F.col(name) + F.col("_carry")}
+    numbered = numbered.withColumns(added).drop("_hot", "_part", *carried)
+    return numbered if top is None else numbered.where(F.col(name) <= top)
+
+
+def _number(df, keys, order, ties, name, totals, top) -> DataFrame:
+    inside = Window.partitionBy(*keys).orderBy(order, *ties)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    added = {name: F.col("_local") + F.col("_sum__rows")}
-    for out, source in totals.items():
-        added[out] = F.coalesce(F.sum(source).over(earlier), F.lit(0)) + F.col(f"_sum_{out}")
-    return rows.withColumns(added).drop("_hot", "_part", "_local", *carried)
+    sums = {out: F.coalesce(F.sum(source).over(earlier), F.lit(0)) for out, source in totals.items()}
+    numbered = df.withColumns({name: F.row_number().over(inside), **sums})
+    return numbered if top is None else numbered.where(F.col(name) <= top)
 
 
 def global_rank(
@@ -100,19 +113,19 @@ def global_rank(
     numbered = stage(
         df.repartitionByRange(*columns)
         .sortWithinPartitions(*columns)
-        .withColumn("_at", F.monotonically_increasing_id()),
+        .withColumn("_gid", F.monotonically_increasing_id()),
         "global-rank",
     )
-    split = numbered.withColumn("_pid", F.shiftright("_at", 33))
+    split = numbered.withColumn("_pid", F.shiftright("_gid", 33))
     offsets = (
         split.groupBy("_pid")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_base", F.sum("_rows").over(Window.orderBy("_pid")) - F.col("_rows"))
         .drop("_rows")
     )
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    inside = F.col("_gid").bitwiseAND(F.lit((1 << 33) - 1))
     placed = split.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_base") + inside)
-    placed = placed.drop("_pid", "_at", "_base")
+    placed = placed.drop("_pid", "_gid", "_base")
     if not within:
         return placed
     first = placed.groupBy(*within).agg(F.min(name).alias("_first"))

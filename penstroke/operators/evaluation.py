@@ -127,7 +127,7 @@ def fit_verifier(features: DataFrame, max_iter: int = MAX_ITERATIONS) -> Logisti
         array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight")
     )
     solver = LogisticRegression(
-        maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="weight", tol=1e-8
+        maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="weight"
     )
     return solver.fit(rows)
 

@@ -26,12 +26,14 @@ def detokenize_words(chunks: DataFrame, vocab: DataFrame, keep: Sequence[str] =
 
 def word_runs(chunks: DataFrame, vocab: DataFrame, keep: Sequence[str] = CHUNK_KEY) -> DataFrame:
     """One row per word of every chunk: ``word_id`` and ``word``. A word cut by a chunk edge is two fragments."""
-    return detokenize_words(chunks, vocab, keep).select(*keep, F.posexplode("words").alias("word_id", "word"))
+    # The outer form keeps the optimizer from pushing a filter on the array below the step that makes the array.
+    listed = detokenize_words(chunks, vocab, keep).select(*keep, F.posexplode_outer("words").alias("word_id", "word"))
+    return listed.where(F.col("word").isNotNull())
 
 
 def count_words(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(key, n)`` over the words that have a letter."""
-    listed = detokenize_words(chunks, vocab, ()).select(F.explode("words").alias("key"))
+    listed = detokenize_words(chunks, vocab, ()).select(F.explode_outer("words").alias("key"))
     return listed.where(X.is_countable_word("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -42,7 +44,7 @@ def countable_tokens(vocab: DataFrame) -> DataFrame:
 
 def count_tokens(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(key, n)`` over countable token ids; the histogram is made first, so the join sees one row per id."""
-    histogram = chunks.select(F.explode("input_ids").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    histogram = chunks.select(F.explode_outer("input_ids").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     countable = countable_tokens(vocab).select(F.col("id").alias("key"))
     return histogram.join(countable, "key", "left_semi")
 
