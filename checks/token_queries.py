@@ -467,8 +467,9 @@ def flagship(spark, sf):
     """Documents to chunks of valid authors, split by author, masked by training ranks: the share masked per corpus."""
     docs = X.raw_docs(spark, sf)
     vocab = X.vocab(docs)
-    chunks = C.filter_valid_authors(C.chunk_packed(X.encoded(docs, vocab), length=X.LENGTH, seed=X.SEED))
-    split = stage(S.split_by_author(chunks, X.VAL_AUTHORS, X.CAPS, X.SEED), "split-chunks")
+    settings = {source: P.CorpusSettings() for source in X.SETTINGS}
+    chunks = stage(P.chunk_corpora(docs, settings, vocab, X.LENGTH, seed=X.SEED), "chunks")
+    split = S.split_by_author(chunks, X.VAL_AUTHORS, X.CAPS, X.SEED)
     return P.masked_share(P.masked_training_chunks(split, vocab))
 
 

@@ -95,16 +95,17 @@ def encoded(piece_list: Column, table: Column) -> Column:
 
 
 def encode(docs: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the text by ``ids`` and ``word_at`` (index of the word, or ``-index - 1`` for a separator in the text)
-    and ``n_words``."""
+    """Replace the text by ``ids`` and ``word_at`` (index of the word, or ``-index - 1`` for a separator in the text),
+    ``n_words`` and ``n_tokens``."""
     tokens = tokenize(docs, text)
     kept = [c for c in tokens.columns if c != "words"]
     cut = tokens.select(
         *kept, X.pieces("words").alias("_pieces"), X.piece_words("words").alias("word_at"), F.size("words").alias("n_words")
     )
+    cut = cut.withColumn("n_tokens", F.size("word_at"))
     # The table is read once in the next projection, so the optimizer puts the subquery there and no row carries it.
     looked_up = cut.withColumn("_table", token_slots(vocab).scalar())
-    return looked_up.select(*kept, encoded(F.col("_pieces"), F.col("_table")).alias("ids"), "word_at", "n_words")
+    return looked_up.select(*kept, encoded(F.col("_pieces"), F.col("_table")).alias("ids"), "word_at", "n_words", "n_tokens")
 
 
 def encode_with(
@@ -122,6 +123,7 @@ def encode_with(
             T.StructField("ids", T.ArrayType(T.IntegerType())),
             T.StructField("word_at", T.ArrayType(T.IntegerType())),
             T.StructField("n_words", T.IntegerType()),
+            T.StructField("n_tokens", T.IntegerType()),
         ]
     )
     names = [f.name for f in kept]
@@ -133,7 +135,9 @@ def encode_with(
             ids = pa.array([p[0] for p in pairs], pa.list_(pa.int32()))
             at = pa.array([p[1] for p in pairs], pa.list_(pa.int32()))
             n = pa.array([1 + max((w if w >= 0 else -w - 1 for w in p[1]), default=-1) for p in pairs], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ids, at, n], [*names, "ids", "word_at", "n_words"])
+            size = pa.array([len(p[0]) for p in pairs], pa.int32())
+            made = {"ids": ids, "word_at": at, "n_words": n, "n_tokens": size}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made.values()], [*names, *made])
 
     return docs.select(*names, text).mapInArrow(run, schema)
 
@@ -218,9 +222,36 @@ def cut_stream(rows: DataFrame, keys: Sequence[str], start: Column, size: Column
     return cells.withColumns({"from_": from_.cast("int"), "take": (until - from_).cast("int")})
 
 
+def packed_chunk_counts(
+    encoded_docs: DataFrame,
+    separator: Sequence[int] | str = PAGE_BREAK_SEPARATOR[1],
+    length: int = CHUNK_LENGTH,
+    keys: Sequence[str] = ("source", "author"),
+) -> DataFrame:
+    """``n_chunks`` of every author as ``chunk_packed`` will cut them, from token counts alone."""
+    gaps = F.size(_separator(separator))
+    sums = encoded_docs.groupBy(*keys).agg(F.sum("n_tokens").alias("_n"), F.sum(gaps).alias("_gaps"), F.max(gaps).alias("_gap"))
+    filled = F.col("_n") + F.col("_gaps") - F.col("_gap")
+    return sums.select(*keys, F.floor(filled / (length - 2)).alias("n_chunks"))
+
+
+def inner_chunk_counts(
+    encoded_docs: DataFrame, length: int = CHUNK_LENGTH, keys: Sequence[str] = ("source", "author")
+) -> DataFrame:
+    """``n_chunks`` of every author after ``drop_edge_chunks``, from token counts alone."""
+    of_doc = F.greatest(F.ceil(F.col("n_tokens") / (length - 2)) - 2, F.lit(0))
+    return encoded_docs.groupBy(*keys).agg(F.sum(of_doc).alias("n_chunks"))
+
+
+def _separator(separator: Sequence[int] | str) -> Column:
+    if isinstance(separator, str):
+        return F.col(separator)
+    return F.array(*(F.lit(i) for i in separator)).cast("array<int>")
+
+
 def chunk_packed(
     encoded_docs: DataFrame,
-    separator_ids: Sequence[int] = PAGE_BREAK_SEPARATOR[1],
+    separator: Sequence[int] | str = PAGE_BREAK_SEPARATOR[1],
     length: int = CHUNK_LENGTH,
     keys: Sequence[str] = ("source", "author"),
     order: str | None = None,
@@ -232,10 +263,11 @@ def chunk_packed(
 
     A document's place in its author's token stream is a running total over the author's documents; from there it is
     cut straight into the chunks it touches. The shuffle key is the chunk, so a prolific author spreads over tasks.
+    ``separator`` holds the token ids between documents, or names a column with them, constant for every key.
     Documents follow each other by ``order`` (a numeric column; default a seeded digest of ``doc_id``).
     """
-    keys, payload, gap = list(keys), length - 2, len(separator_ids)
-    docs = encoded_docs.withColumn("_n", F.size("ids"))
+    keys, payload = list(keys), length - 2
+    docs = encoded_docs.withColumn("_separator", _separator(separator))
     if order is None:
         docs = docs.withColumn("_digest", X.seeded_digest("doc_id", seed=seed))
         docs = docs.withColumn("_order", X.digest_number("_digest"))
@@ -243,17 +275,17 @@ def chunk_packed(
     else:
         ties = ["doc_id"]
     names = packed_name(docs, keys)
-    totals = {"_tokens_before": "_n", "_words_before": "n_words"}
+    totals = {"_tokens_before": "n_tokens", "_words_before": "n_words"}
     rows = number_rows(docs, keys, order, ties, "_rn", totals, hot_rows=hot_rows)
     follows = F.col("_rn") > 1
-    separator = F.array(*(F.lit(i) for i in separator_ids)).cast("array<int>")
+    gap = F.size("_separator")
     no_word = F.array_repeat(F.lit(None).cast("bigint"), gap)
     before = F.col("_words_before")
     numbers = F.transform("word_at", lambda w: F.when(w >= 0, w + before).otherwise(w - before))
     rows = rows.select(
         *keys,
         "_rn",
-        F.when(follows, F.concat(separator, "ids")).otherwise(F.col("ids")).alias("ids"),
+        F.when(follows, F.concat("_separator", "ids")).otherwise(F.col("ids")).alias("ids"),
         F.when(follows, F.concat(no_word, numbers)).otherwise(numbers).alias("numbers"),
         (F.col("_tokens_before") + gap * F.greatest(F.col("_rn") - 2, F.lit(0))).alias("_at"),
     ).where((F.size("ids") > 0) | (F.col("_rn") == 1))

@@ -108,7 +108,10 @@ def split_by_author(
     seed: str = "42",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Chunks with ``split`` ('val' or 'train'), disjoint by corpus and author; one pass over the chunks."""
+    """Chunks with ``split`` ('val' or 'train'), disjoint by corpus and author.
+
+    ``chunks`` is read for its authors and once for the result, so it should be a stored table.
+    """
     split = split_authors(distinct_authors(chunks), k, caps, seed, hot_rows)
     return salted_join(chunks, split, AUTHOR_KEYS)
 

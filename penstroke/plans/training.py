@@ -8,13 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penstroke.functions import text as X
 from penstroke.operators import chunking as C
 from penstroke.operators import corpus as D
 from penstroke.operators import ranks as R
 from penstroke.operators import sampling as S
-from penstroke.operators.distributed import HOT_ROWS
+from penstroke.operators.distributed import HOT_ROWS, keep_members
 from penstroke.staging import stage
 
+KEYS = ("source", "author")
+
 
 @dataclass(frozen=True)
 class CorpusSettings:
@@ -31,29 +34,24 @@ class CorpusSettings:
     sentinels: Sequence[str] = ("[deleted]", "None", "nan")
 
 
-def prepare_texts(docs: DataFrame, settings: CorpusSettings, seed: str = "42", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Documents of one corpus, filtered, sampled, trimmed and cleaned."""
-    kept = D.filter_sentinel_authors(docs, settings.sentinels)
-    if settings.texts_per_author is not None:
-        kept = S.sample_per_author(kept, settings.texts_per_author, seed, ("source", "author"), hot_rows).drop("rn")
-    kept = D.trim_text(kept.where(F.col("text").isNotNull()))
-    return D.clean_social_text(kept) if settings.social else kept
-
-
-def chunk_corpus(
-    texts: DataFrame,
-    settings: CorpusSettings,
-    vocab: DataFrame,
-    length: int = C.CHUNK_LENGTH,
-    seed: str = "42",
-    hot_rows: int = HOT_ROWS,
+def prepare_texts(
+    docs: DataFrame, settings: Mapping[str, CorpusSettings], seed: str = "42", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Full chunks of one prepared corpus."""
-    encoded = C.encode(texts, vocab)
-    if settings.pack:
-        return C.chunk_packed(encoded, settings.separator_ids, length, seed=seed, hot_rows=hot_rows)
-    chunks = C.drop_edge_chunks(C.chunk_documents(encoded, length))
-    return C.keep_full_chunks(chunks, length).drop("n_chunks")
+    """Documents of the named corpora, filtered, sampled, trimmed and cleaned, each corpus in its own way."""
+    source = F.col("source")
+    kept = docs.where(source.isin(*settings))
+    for name, how in settings.items():
+        kept = kept.where((source != name) | ~X.is_sentinel_author("author", how.sentinels))
+    limits = {name: how.texts_per_author for name, how in settings.items() if how.texts_per_author is not None}
+    if limits:
+        sampled = S.sample_per_author(kept.where(source.isin(*limits)), max(limits.values()), seed, KEYS, hot_rows)
+        for name, k in limits.items():
+            sampled = sampled.where((source != name) | (F.col("rn") <= k))
+        kept = kept.where(~source.isin(*limits)).unionByName(sampled.drop("rn"))
+    social = [name for name, how in settings.items() if how.social]
+    text = F.trim("text")
+    cleaned = F.when(source.isin(*social), X.clean_social_text(text)).otherwise(text) if social else text
+    return kept.where(F.col("text").isNotNull()).withColumn("text", cleaned)
 
 
 def chunk_corpora(
@@ -66,13 +64,30 @@ def chunk_corpora(
     seed: str = "42",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Chunks of all corpora. ``unify`` counts an author's chunks over all corpora, otherwise in each apart."""
-    parts = []
-    for source, how in settings.items():
-        texts = prepare_texts(docs.where(F.col("source") == source), how, seed, hot_rows)
-        parts.append(chunk_corpus(texts, how, vocab, length, seed, hot_rows).select(*C.CHUNK_SCHEMA.names))
-    keys = ("author",) if unify else ("source", "author")
-    return C.filter_valid_authors(D.union_corpora(parts), min_chunks, keys)
+    """Full chunks of the authors that have at least ``min_chunks``, over all corpora.
+
+    ``unify`` counts an author's chunks over all corpora, otherwise in each apart. Texts are tokenized once, into a
+    stored table. How many chunks an author will have follows from its token counts, so the authors are chosen before
+    any token is shuffled, and texts of the many authors with little text never are.
+    """
+    encoded = stage(C.encode(prepare_texts(docs, settings, seed, hot_rows), vocab), "encoded")
+    packed = [name for name, how in settings.items() if how.pack]
+    between = F.array().cast("array<int>")
+    for name in packed:
+        ids = F.array(*(F.lit(i) for i in settings[name].separator_ids)).cast("array<int>")
+        between = F.when(F.col("source") == name, ids).otherwise(between)
+    to_pack = encoded.where(F.col("source").isin(*packed)).withColumn("between", between)
+    apart = encoded.where(~F.col("source").isin(*packed))
+
+    counts = C.packed_chunk_counts(to_pack, "between", length).unionByName(C.inner_chunk_counts(apart, length))
+    keys = ("author",) if unify else KEYS
+    valid = counts.groupBy(*keys).agg(F.sum("n_chunks").alias("n")).where(F.col("n") >= min_chunks)
+    valid = stage(valid, "valid-authors")
+
+    chunks = C.chunk_packed(keep_members(to_pack, valid, keys), "between", length, seed=seed, hot_rows=hot_rows)
+    inner = C.drop_edge_chunks(C.chunk_documents(keep_members(apart, valid, keys), length))
+    parts = (chunks, C.keep_full_chunks(inner, length))
+    return D.union_corpora([part.select(*C.CHUNK_SCHEMA.names) for part in parts])
 
 
 def masked_training_chunks(
