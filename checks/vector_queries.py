@@ -121,19 +121,18 @@ KNN = f"""WITH {VIEWS}, sims AS (
 )"""
 
 
-@query("knn1_leave_one_view", f"{KNN} SELECT view, vec_id, truth, pred, round(sim, 6) + 0.0 AS sim FROM knn")
+@query("knn1_leave_one_view", f"{KNN} SELECT view, vec_id, truth, pred, sim + 0.0 AS sim FROM knn")
 def knn1_leave_one_view(spark, sf):
-    found = N.knn1_leave_one_view(X.emb_views(spark, sf))
-    return found.withColumn("sim", F.round("sim", 6) + 0.0)
+    return N.knn1_leave_one_view(X.emb_views(spark, sf)).withColumn("sim", F.col("sim") + 0.0)
 
 
 @query(
     "top1_by_similarity",
-    f"{PAIRS} SELECT la, arg_min(lb, (-round(list_dot_product(a, b), 9), lb)) AS lb, round(max(list_dot_product(a, b)), 6) + 0.0 AS sim FROM pairs GROUP BY la",
+    f"{PAIRS} SELECT la, arg_min(lb, (-round(list_dot_product(a, b), 9), lb)) AS lb, round(max(list_dot_product(a, b)), 9) + 0.0 AS sim FROM pairs GROUP BY la",
 )
 def top1_by_similarity(spark, sf):
     pairs = vector_pairs(spark, sf).select("la", "lb", V.cosine_similarity("a", "b").alias("sim"))
-    return N.top1_by_similarity(pairs, ["la"], "lb", "sim").withColumn("sim", F.round("sim", 6) + 0.0)
+    return N.top1_by_similarity(pairs, ["la"], "lb", "sim").withColumn("sim", F.col("sim") + 0.0)
 
 
 def report_sql(source: str, truth: str, pred: str) -> str:

@@ -43,7 +43,10 @@ def tokenize(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def piece_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(piece, n)`` over all texts, without the reserved pieces."""
+    """``(piece, n)`` over all texts, without the reserved pieces.
+
+    Short pieces have few types, so the partial counts of a task are small and little is shuffled.
+    """
     listed = docs.select(F.explode(X.pieces(X.words(text))).alias("piece"))
     return listed.where(~F.col("piece").isin(*RESERVED)).groupBy("piece").agg(F.count("*").alias("n"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from penstroke.staging import stage
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 200_000
 """Rows one key may have before its rows are divided into ordered parts."""
 
 MAX_CUTS = 255
@@ -85,7 +85,7 @@ def number_rows(
         rows = rows.where(F.col("_carry") < top)
     numbered = _number(rows, group, order, ties, name, totals, top)
     added = {c: F.col(c) + F.col(f"_carry_{c}") for c in totals} | {name: F.col(name) + F.col("_carry")}
-    numbered = numbered.withColumns(added).drop("_hot", "_part", *carried)
+    numbered = numbered.withColumns(added).select(*df.columns, name, *totals)
     return numbered if top is None else numbered.where(F.col(name) <= top)
 
 
@@ -125,7 +125,7 @@ def global_rank(
     )
     inside = F.col("_gid").bitwiseAND(F.lit((1 << 33) - 1))
     placed = split.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_base") + inside)
-    placed = placed.drop("_pid", "_gid", "_base")
+    placed = placed.select(*df.columns, name)
     if not within:
         return placed
     first = placed.groupBy(*within).agg(F.min(name).alias("_first"))
@@ -145,7 +145,8 @@ def salted_join(
     salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = large.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how)
-    return joined.drop("_salt")
+    added = [] if how in ("left_semi", "left_anti") else [c for c in small.columns if c not in keys]
+    return joined.select(*large.columns, *added)
 
 
 def keep_members(df: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
