@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from penstroke.functions import arrays as A
 from penstroke.functions import text as X
-from penstroke.operators.distributed import HOT_ROWS, keep_members, number_rows, salted_join
+from penstroke.operators.distributed import keep_members, number_rows
 
 # Token ids that are never learned from text.
 RESERVED = ("<s>", "<pad>", "</s>", "<unk>", "<mask>", "<u>", "<h>")
@@ -21,6 +21,8 @@ CHUNK_LENGTH = 512
 MIN_CHUNKS = 16
 VOCABULARY_SIZE = 50_267
 SLOTS = 1 << 16
+HOT_TOKENS = 50_000_000
+"""Tokens one author may have before its documents are divided into ordered parts."""
 
 PAGE_BREAK_SEPARATOR = (" </s> <s> ", (EOS, BOS))
 BLANK_LINES_SEPARATOR = ("\n\n\n", ())
@@ -103,9 +105,9 @@ def encode(docs: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
     tokens = tokenize(docs, text)
     kept = [c for c in tokens.columns if c != "words"]
     cut = tokens.select(
-        *kept, X.pieces("words").alias("_pieces"), X.piece_words("words").alias("word_at"), F.size("words").alias("n_words")
+        *kept, X.pieces("words").alias("_pieces"), X.piece_words("words").alias("word_at"), F.when(F.col("words").isNotNull(), F.size("words")).alias("n_words")
     )
-    cut = cut.withColumn("n_tokens", F.size("word_at"))
+    cut = cut.withColumn("n_tokens", F.when(F.col("word_at").isNotNull(), F.size("word_at")))
     # The table is read once in the next projection, so the optimizer puts the subquery there and no row carries it.
     looked_up = cut.withColumn("_table", token_slots(vocab).scalar())
     return looked_up.select(*kept, encoded(F.col("_pieces"), F.col("_table")).alias("ids"), "word_at", "n_words", "n_tokens")
@@ -134,11 +136,13 @@ def encode_with(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = tokenizer()
         for batch in batches:
-            pairs = split([t or "" for t in batch.column(text).to_pylist()])
-            ids = pa.array([p[0] for p in pairs], pa.list_(pa.int32()))
-            at = pa.array([p[1] for p in pairs], pa.list_(pa.int32()))
-            n = pa.array([1 + max((w if w >= 0 else -w - 1 for w in p[1]), default=-1) for p in pairs], pa.int32())
-            size = pa.array([len(p[0]) for p in pairs], pa.int32())
+            texts = batch.column(text).to_pylist()
+            found = iter(split([t for t in texts if t is not None]))
+            pairs = [None if t is None else next(found) for t in texts]
+            ids = pa.array([p and p[0] for p in pairs], pa.list_(pa.int32()))
+            at = pa.array([p and p[1] for p in pairs], pa.list_(pa.int32()))
+            n = pa.array([p and 1 + max((w if w >= 0 else -w - 1 for w in p[1]), default=-1) for p in pairs], pa.int32())
+            size = pa.array([p and len(p[0]) for p in pairs], pa.int32())
             made = {"ids": ids, "word_at": at, "n_words": n, "n_tokens": size}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made.values()], [*names, *made])
 
@@ -158,9 +162,10 @@ def _framed(keys: list[str], ids: Column, numbers: Column) -> list[Column | str]
 def chunk_documents(encoded_docs: DataFrame, length: int = CHUNK_LENGTH) -> DataFrame:
     """All chunks of every document, the last one as short as it falls; ``n_chunks`` is the document's number.
 
-    An empty document has one chunk without payload.
+    An empty document has one chunk without payload, a missing text none.
     """
     payload = length - 2
+    encoded_docs = encoded_docs.where(F.col("ids").isNotNull())
     starts = F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0)), F.lit(payload))
     pieces = F.transform(
         starts,
@@ -205,11 +210,6 @@ def drop_edge_chunks(chunks: DataFrame, sources: Sequence[str] | None = None) ->
     return chunks.where(inner if sources is None else ~F.col("source").isin(*sources) | inner)
 
 
-def packed_name(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``doc_id`` of the packed text of every key: by its smallest document id."""
-    return docs.groupBy(*keys).agg(F.concat(F.lit("packed_"), F.min("doc_id")).alias("packed_id"))
-
-
 def cut_stream(rows: DataFrame, keys: Sequence[str], start: Column, size: Column, width: int) -> DataFrame:
     """Explode every row into the fixed-width cells of its key's stream that it touches.
 
@@ -233,7 +233,8 @@ def packed_chunk_counts(
 ) -> DataFrame:
     """``n_chunks`` of every author as ``chunk_packed`` will cut them, from token counts alone."""
     gaps = F.size(_separator(separator))
-    sums = encoded_docs.groupBy(*keys).agg(F.sum("n_tokens").alias("_n"), F.sum(gaps).alias("_gaps"), F.max(gaps).alias("_gap"))
+    with_text = encoded_docs.where(F.col("n_tokens").isNotNull())
+    sums = with_text.groupBy(*keys).agg(F.sum("n_tokens").alias("_n"), F.sum(gaps).alias("_gaps"), F.max(gaps).alias("_gap"))
     filled = F.col("_n") + F.col("_gaps") - F.col("_gap")
     return sums.select(*keys, F.floor(filled / (length - 2)).alias("n_chunks"))
 
@@ -242,7 +243,7 @@ def inner_chunk_counts(
     encoded_docs: DataFrame, length: int = CHUNK_LENGTH, keys: Sequence[str] = ("source", "author")
 ) -> DataFrame:
     """``n_chunks`` of every author after ``drop_edge_chunks``, from token counts alone."""
-    of_doc = F.greatest(F.ceil(F.col("n_tokens") / (length - 2)) - 2, F.lit(0))
+    of_doc = F.greatest(F.ceil(F.coalesce("n_tokens", F.lit(0)) / (length - 2)) - 2, F.lit(0))
     return encoded_docs.groupBy(*keys).agg(F.sum(of_doc).alias("n_chunks"))
 
 
@@ -260,58 +261,69 @@ def chunk_packed(
     order: str | None = None,
     seed: str = "42",
     keep_tail: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_tokens: int = HOT_TOKENS,
 ) -> DataFrame:
     """Chunks of the packed texts of every author, without ever building a packed text.
 
     A document's place in its author's token stream is a running total over the author's documents; from there it is
     cut straight into the chunks it touches. The shuffle key is the chunk, so a prolific author spreads over tasks.
     ``separator`` holds the token ids between documents, or names a column with them, constant for every key.
-    Documents follow each other by ``order`` (a numeric column; default a seeded digest of ``doc_id``).
+    Documents follow each other by ``order`` (a numeric column; default a seeded digest of ``doc_id``). Documents
+    without text (null ``ids``) are skipped. ``doc_id`` becomes ``packed_`` and the author's smallest document id.
+
+    ``encoded_docs`` is read for its sizes and for the result, so it should be a stored table.
     """
     keys, payload = list(keys), length - 2
-    docs = encoded_docs.withColumn("_separator", _separator(separator))
+    docs = encoded_docs.withColumns(
+        {
+            "_separator": _separator(separator),
+            "_texts": F.col("ids").isNotNull().cast("int"),
+            "_n": F.coalesce("n_tokens", F.lit(0)),
+        }
+    )
     if order is None:
         docs = docs.withColumn("_digest", X.seeded_digest("doc_id", seed=seed))
         docs = docs.withColumn("_order", X.digest_number("_digest"))
         order, ties = "_order", ["_digest", "doc_id"]
     else:
         ties = ["doc_id"]
-    names = packed_name(docs, keys)
-    totals = {"_tokens_before": "n_tokens", "_words_before": "n_words"}
-    rows = number_rows(docs, keys, order, ties, "_rn", totals, hot_rows=hot_rows)
-    follows = F.col("_rn") > 1
+    totals = {"_tokens_before": "_n", "_words_before": "n_words", "_texts_before": "_texts"}
+    rows = number_rows(docs, keys, order, ties, "_rn", totals, {"_first_id": "doc_id"}, hot_rows=hot_tokens, weight="_n")
+    follows = F.col("_texts_before") > 0
     gap = F.size("_separator")
     no_word = F.array_repeat(F.lit(None).cast("bigint"), gap)
     before = F.col("_words_before")
     numbers = F.transform("word_at", lambda w: F.when(w >= 0, w + before).otherwise(w - before))
-    rows = rows.select(
-        *keys,
-        "_rn",
-        F.when(follows, F.concat("_separator", "ids")).otherwise(F.col("ids")).alias("ids"),
-        F.when(follows, F.concat(no_word, numbers)).otherwise(numbers).alias("numbers"),
-        (F.col("_tokens_before") + gap * F.greatest(F.col("_rn") - 2, F.lit(0))).alias("_at"),
-    ).where((F.size("ids") > 0) | (F.col("_rn") == 1))
+    rows = (
+        rows.where(F.col("_texts") == 1)
+        .select(
+            *keys,
+            "_first_id",
+            "_texts_before",
+            F.when(follows, F.concat("_separator", "ids")).otherwise(F.col("ids")).alias("ids"),
+            F.when(follows, F.concat(no_word, numbers)).otherwise(numbers).alias("numbers"),
+            (F.col("_tokens_before") + gap * F.greatest(F.col("_texts_before") - 1, F.lit(0))).alias("_at"),
+        )
+        .where((F.size("ids") > 0) | ~follows)
+    )
     cells = cut_stream(rows, keys, F.col("_at"), F.size("ids"), payload)
     fragment = F.struct(
         "_at",
-        "_rn",
+        "_texts_before",
         F.slice("ids", F.col("from_") + 1, F.col("take")).alias("ids"),
         F.slice("numbers", F.col("from_") + 1, F.col("take")).alias("numbers"),
     )
     gathered = (
-        cells.select(*keys, "cell", fragment.alias("fragment"))
+        cells.select(*keys, "cell", "_first_id", fragment.alias("fragment"))
         .groupBy(*keys, "cell")
-        .agg(F.array_sort(F.collect_list("fragment")).alias("fragments"))
-        .select(*keys, F.col("cell").alias("chunk_idx"), F.flatten("fragments.ids").alias("ids"), F.flatten("fragments.numbers").alias("numbers"))
+        .agg(F.array_sort(F.collect_list("fragment")).alias("fragments"), F.min("_first_id").alias("_first_id"))
+        .select(*keys, F.concat(F.lit("packed_"), "_first_id").alias("doc_id"), F.col("cell").alias("chunk_idx"), F.flatten("fragments.ids").alias("ids"), F.flatten("fragments.numbers").alias("numbers"))
     )
     if not keep_tail:
         gathered = gathered.where(F.size("ids") == payload)
-    chunks = gathered.select(*_framed([*keys, "chunk_idx"], F.col("ids"), F.col("numbers")))
-    named = salted_join(chunks, names, keys).withColumnRenamed("packed_id", "doc_id")
     others = [k for k in keys if k not in ("author", "source")]
-    have = [c for c in ("author", "doc_id", "source") if c in named.columns]
-    return named.select(*others, *have, "chunk_idx", "input_ids", "word_ids")
+    have = [c for c in ("author", "doc_id", "source") if c in gathered.columns]
+    return gathered.select(*_framed([*others, *have, "chunk_idx"], F.col("ids"), F.col("numbers")))
 
 
 def author_chunk_counts(chunks: DataFrame, keys: Sequence[str] = ("author",)) -> DataFrame:

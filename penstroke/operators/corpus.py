@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penstroke.functions import text as X
-from penstroke.operators.chunking import PAGE_BREAK_SEPARATOR, cut_stream, packed_name
-from penstroke.operators.distributed import HOT_ROWS, global_rank, number_rows, salted_join
+from penstroke.operators.chunking import PAGE_BREAK_SEPARATOR, cut_stream
+from penstroke.operators.distributed import HOT_ROWS, global_rank, number_rows
 from penstroke.operators.sampling import sample_per_author
 
 RAW_COLUMNS = ("author", "text", "doc_id", "source")
 PART_CHARS = 1_000_000
+HOT_CHARS = 200_000_000
+"""Characters one author may have before its texts are divided into ordered parts."""
 
 
 def to_raw_schema(df: DataFrame, author: str, text: str, doc_id: str, source: str | Column) -> DataFrame:
@@ -71,40 +73,50 @@ def pack_authors(
     order: str | None = None,
     seed: str = "42",
     part_chars: int = PART_CHARS,
-    hot_rows: int = HOT_ROWS,
+    hot_chars: int = HOT_CHARS,
 ) -> DataFrame:
     """The packed text of every author in parts of ``part_chars`` characters.
 
     The parts of an author, joined by ``part``, are its trimmed texts joined by ``separator``. Texts follow each other
-    by ``order`` (numeric; default a seeded digest of ``doc_id``). An author whose text is short has one row; a long
+    by ``order`` (numeric; default a seeded digest of ``doc_id``); missing texts are skipped. An author whose text is short has one row; a long
     one spreads over rows and tasks, so no row or group grows with the author.
     """
     keys, gap = list(keys), len(separator)
-    texts = docs.where(F.col("text").isNotNull()).withColumn("text", F.trim("text"))
-    texts = texts.withColumn("_n", F.length("text"))
+    texts = docs.withColumn("text", F.trim("text"))
+    texts = texts.withColumns({"_n": F.coalesce(F.length("text"), F.lit(0)), "_texts": F.col("text").isNotNull().cast("int")})
     if order is None:
         texts = texts.withColumn("_digest", X.seeded_digest("doc_id", seed=seed))
         texts = texts.withColumn("_order", X.digest_number("_digest"))
         order, ties = "_order", ["_digest", "doc_id"]
     else:
         ties = ["doc_id"]
-    rows = number_rows(texts, keys, order, ties, "_rn", {"_before": "_n"}, hot_rows=hot_rows)
-    follows = F.col("_rn") > 1
-    rows = rows.select(
-        *keys,
-        "_rn",
-        F.when(follows, F.concat(F.lit(separator), "text")).otherwise(F.col("text")).alias("text"),
-        (F.col("_before") + gap * F.greatest(F.col("_rn") - 2, F.lit(0))).alias("_at"),
-    ).where((F.length("text") > 0) | (F.col("_rn") == 1))
+    totals = {"_before": "_n", "_texts_before": "_texts"}
+    rows = number_rows(texts, keys, order, ties, "_rn", totals, {"_first_id": "doc_id"}, hot_rows=hot_chars, weight="_n")
+    follows = F.col("_texts_before") > 0
+    rows = (
+        rows.where(F.col("_texts") == 1)
+        .select(
+            *keys,
+            "_first_id",
+            "_texts_before",
+            F.when(follows, F.concat(F.lit(separator), "text")).otherwise(F.col("text")).alias("text"),
+            (F.col("_before") + gap * F.greatest(F.col("_texts_before") - 1, F.lit(0))).alias("_at"),
+        )
+        .where((F.length("text") > 0) | ~follows)
+    )
     cells = cut_stream(rows, keys, F.col("_at"), F.length("text"), part_chars)
-    fragment = F.struct("_at", "_rn", F.substring("text", F.col("from_") + 1, F.col("take")).alias("text"))
-    parts = (
-        cells.select(*keys, "cell", fragment.alias("fragment"))
+    fragment = F.struct("_at", "_texts_before", F.substring("text", F.col("from_") + 1, F.col("take")).alias("text"))
+    return (
+        cells.select(*keys, "cell", "_first_id", fragment.alias("fragment"))
         .groupBy(*keys, "cell")
-        .agg(F.array_sort(F.collect_list("fragment")).alias("fragments"))
-        .select(*keys, F.col("cell").alias("part"), F.array_join("fragments.text", "").alias("text"))
+        .agg(F.array_sort(F.collect_list("fragment")).alias("fragments"), F.min("_first_id").alias("_first_id"))
+        .select(
+            *keys,
+            F.concat(F.lit("packed_"), "_first_id").alias("doc_id"),
+            F.col("cell").alias("part"),
+            F.array_join("fragments.text", "").alias("text"),
+        )
     )
-    return salted_join(parts, packed_name(docs, keys), keys).withColumnRenamed("packed_id", "doc_id")
 
 
 def pack_authors_sampled(
@@ -115,10 +127,11 @@ def pack_authors_sampled(
     seed: str = "42",
     part_chars: int = PART_CHARS,
     hot_rows: int = HOT_ROWS,
+    hot_chars: int = HOT_CHARS,
 ) -> DataFrame:
     """``pack_authors`` over at most ``k`` drawn texts of every author, in the order of the draw."""
     sampled = sample_per_author(docs, k, seed, keys, hot_rows)
-    return pack_authors(sampled, separator, keys, "rn", seed, part_chars, hot_rows)
+    return pack_authors(sampled, separator, keys, "rn", seed, part_chars, hot_chars)
 
 
 def union_corpora(corpora: Sequence[DataFrame]) -> DataFrame:

@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from penstroke.staging import stage
 
 HOT_ROWS = 200_000
-"""Rows one key may have before its rows are divided into ordered parts."""
+"""Rows, or units of a weight, that one key may have before its rows are divided into ordered parts."""
 
 MAX_CUTS = 255
 SALTS = 16
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and their number ``_n``, stored; ``None`` when there are none.
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, weight: str | None = None
+) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, or weight, and how much they have (``_n``), stored; ``None`` without any.
 
-    One counting pass, with partial counts on the map side. At most ``rows / hot_rows`` keys can be hot.
+    One pass with partial sums on the map side. At most ``total / hot_rows`` keys can be hot.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    size = F.count("*") if weight is None else F.sum(weight)
+    counts = df.groupBy(*keys).agg(size.alias("_n")).where(F.col("_n") > hot_rows)
     if counts.isEmpty():
         return None
     return stage(counts, "hot-keys")
@@ -32,7 +35,7 @@ def divide_hot_keys(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: s
 
     ``order`` is a numeric column. The cut points of a hot key are approximate percentiles, so parts are about equal
     whatever the distribution, and equal values never straddle a cut. All cut points together are at most
-    ``rows / hot_rows``, which bounds the broadcast side.
+    ``total / hot_rows``, which bounds the broadcast side.
     """
     keys = list(keys)
     percentages = [i / (MAX_CUTS + 1) for i in range(1, MAX_CUTS + 1)]
@@ -57,43 +60,57 @@ def number_rows(
     ties: Sequence[str],
     name: str = "rn",
     totals: Mapping[str, str] | None = None,
+    least: Mapping[str, str] | None = None,
     top: int | None = None,
     hot_rows: int = HOT_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Number the rows of every key from 1 by (``order``, ``ties``) and add exclusive running totals.
+    """Number the rows of every key from 1 by (``order``, ``ties``).
 
-    ``totals`` maps an output name to the column summed over all earlier rows of the key. ``top`` keeps the first
-    rows only. The keys are counted first. Without hot keys this is a plain window; a hot key is windowed part by
-    part, and the counts and sums of its earlier parts are carried over.
+    ``totals`` maps an output name to a column summed over all earlier rows of the key, ``least`` to a column whose
+    minimum over the whole key is added. ``top`` keeps the first rows only.
+
+    The keys are sized first, by rows or by ``weight``. Without hot keys this is a plain window; a hot key is
+    windowed part by part, and what its other parts amount to is carried over. ``df`` is read for the sizes and for
+    the result, so it should be cheap to read.
     """
-    keys, totals = list(keys), dict(totals or {})
-    hot = hot_keys(df, keys, hot_rows)
+    keys, totals, least = list(keys), dict(totals or {}), dict(least or {})
+    hot = hot_keys(df, keys, hot_rows, weight)
     if hot is None:
-        return _number(df, keys, order, ties, name, totals, top)
+        return _number(df, keys, order, ties, name, totals, least, top)
     divided = divide_hot_keys(df, hot, keys, order, hot_rows)
     group = [*keys, "_part"]
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = {"_carry": F.count("*"), **{f"_carry_{out}": F.sum(source) for out, source in totals.items()}}
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"_carry": F.count("*"), **{f"_carry_{out}": F.sum(source) for out, source in totals.items()}}
+    lows = {f"_least_{out}": F.min(source) for out, source in least.items()}
     carry = (
         divided.where("_hot")
         .groupBy(*group)
-        .agg(*(value.alias(c) for c, value in carried.items()))
-        .select(*group, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in carried))
+        .agg(*(value.alias(c) for c, value in (sums | lows).items()))
+        .select(
+            *group,
+            *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums),
+            *(F.min(c).over(whole).alias(c) for c in lows),
+        )
     )
-    rows = divided.join(F.broadcast(carry), group, "left").fillna(0, list(carried))
+    rows = divided.join(F.broadcast(carry), group, "left").fillna(0, list(sums))
     if top is not None:
         rows = rows.where(F.col("_carry") < top)
-    numbered = _number(rows, group, order, ties, name, totals, top)
+    numbered = _number(rows, group, order, ties, name, totals, least, top)
     added = {c: F.col(c) + F.col(f"_carry_{c}") for c in totals} | {name: F.col(name) + F.col("_carry")}
-    numbered = numbered.withColumns(added).select(*df.columns, name, *totals)
+    added |= {c: F.coalesce(f"_least_{c}", c) for c in least}
+    numbered = numbered.withColumns(added).select(*df.columns, name, *totals, *least)
     return numbered if top is None else numbered.where(F.col(name) <= top)
 
 
-def _number(df, keys, order, ties, name, totals, top) -> DataFrame:
-    inside = Window.partitionBy(*keys).orderBy(order, *ties)
+def _number(df, keys, order, ties, name, totals, least, top) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    inside = whole.orderBy(order, *ties)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     sums = {out: F.coalesce(F.sum(source).over(earlier), F.lit(0)) for out, source in totals.items()}
-    numbered = df.withColumns({name: F.row_number().over(inside), **sums})
+    lows = {out: F.min(source).over(whole) for out, source in least.items()}
+    numbered = df.withColumns({name: F.row_number().over(inside), **sums, **lows})
     return numbered if top is None else numbered.where(F.col(name) <= top)
 
 

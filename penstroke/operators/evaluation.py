@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from penstroke.functions import vectors as V
 from penstroke.operators.distributed import keep_members, salted_join
 from penstroke.operators.neighbours import knn1_leave_one_view
+from penstroke.staging import stage
 
 MAX_ITERATIONS = 1000
 PREDICTION_COLUMNS = ("known_author", "unknown_author", "corpus", "ground_truth", "predicted", "correct")
@@ -24,10 +25,10 @@ def confusion(predictions: DataFrame, truth: str, pred: str) -> DataFrame:
 def classification_report(predictions: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """Per class precision, recall, F1 and support, then accuracy, macro and weighted average.
 
-    A division by zero gives 0; classes are those of the truth and of the prediction. The predictions are reduced
-    to a confusion table first.
+    A division by zero gives 0; classes are those of the truth and of the prediction. The predictions are read once
+    and reduced to a confusion table, which is stored, as each average reads it.
     """
-    table = confusion(predictions, truth, pred)
+    table = stage(confusion(predictions, truth, pred), "confusion")
     hit = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)
     sides = F.explode(
         F.array(

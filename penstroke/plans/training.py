@@ -51,7 +51,7 @@ def prepare_texts(
     social = [name for name, how in settings.items() if how.social]
     text = F.trim("text")
     cleaned = F.when(source.isin(*social), X.clean_social_text(text)).otherwise(text) if social else text
-    return kept.where(F.col("text").isNotNull()).withColumn("text", cleaned)
+    return kept.withColumn("text", cleaned)
 
 
 def chunk_corpora(
@@ -63,6 +63,7 @@ def chunk_corpora(
     unify: bool = True,
     seed: str = "42",
     hot_rows: int = HOT_ROWS,
+    hot_tokens: int = C.HOT_TOKENS,
 ) -> DataFrame:
     """Full chunks of the authors that have at least ``min_chunks``, over all corpora.
 
@@ -84,7 +85,7 @@ def chunk_corpora(
     valid = counts.groupBy(*keys).agg(F.sum("n_chunks").alias("n")).where(F.col("n") >= min_chunks)
     valid = stage(valid, "valid-authors")
 
-    chunks = C.chunk_packed(keep_members(to_pack, valid, keys), "between", length, seed=seed, hot_rows=hot_rows)
+    chunks = C.chunk_packed(keep_members(to_pack, valid, keys), "between", length, seed=seed, hot_tokens=hot_tokens)
     inner = C.drop_edge_chunks(C.chunk_documents(keep_members(apart, valid, keys), length))
     parts = (chunks, C.keep_full_chunks(inner, length))
     return D.union_corpora([part.select(*C.CHUNK_SCHEMA.names) for part in parts])

@@ -9,14 +9,15 @@ from penstroke.operators import chunking as C
 from penstroke.operators import corpus as D
 from penstroke.operators import embeddings as M
 from penstroke.operators import evaluation as E
-from penstroke.operators.distributed import HOT_ROWS, keep_members
+from penstroke.operators.distributed import keep_members
+from penstroke.staging import stage
 
 TEXT_KEYS = ("source", "author")
 
 
-def concat_author_texts(texts: DataFrame, order: str = "pos", part_chars: int = D.PART_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def concat_author_texts(texts: DataFrame, order: str = "pos", part_chars: int = D.PART_CHARS, hot_chars: int = D.HOT_CHARS) -> DataFrame:
     """Texts of an author joined by one blank in row order, in bounded parts; missing texts are skipped."""
-    return D.pack_authors(texts, " ", TEXT_KEYS, order, part_chars=part_chars, hot_rows=hot_rows)
+    return D.pack_authors(texts, " ", TEXT_KEYS, order, part_chars=part_chars, hot_chars=hot_chars)
 
 
 def author_vectors(
@@ -27,11 +28,11 @@ def author_vectors(
     threshold: DataFrame | int | None = None,
     length: int = C.CHUNK_LENGTH,
     order: str = "pos",
-    hot_rows: int = HOT_ROWS,
+    hot_tokens: int = C.HOT_TOKENS,
 ) -> DataFrame:
     """``(source, author, centroid)``: texts in order, cut to chunks with a short tail, masked, embedded, averaged."""
-    encoded = C.encode(texts.where(F.col("text").isNotNull()), vocab)
-    chunks = C.chunk_packed(encoded, (), length, TEXT_KEYS, order, keep_tail=True, hot_rows=hot_rows)
+    encoded = stage(C.encode(texts, vocab), "encoded")
+    chunks = C.chunk_packed(encoded, (), length, TEXT_KEYS, order, keep_tail=True, hot_tokens=hot_tokens)
     padded = C.pad_chunks(chunks, length)
     keep = [*TEXT_KEYS, "doc_id", "chunk_idx"]
     embedded = M.embed_masked_chunks(padded, encoder, keep, lookup, threshold)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penstroke.operators.chunking import CHUNK_SCHEMA
-from penstroke.operators.corpus import RAW_COLUMNS, positional_doc_id, to_raw_schema
+from penstroke.operators.corpus import RAW_COLUMNS, to_raw_schema
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 TWEET_COLUMNS = ("author", "tweet_id", "text", "created_at")
@@ -33,20 +33,32 @@ def fill_cores(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _in_file_order(df: DataFrame) -> DataFrame:
-    """Add columns that order the rows as they stand in the files."""
-    return df.select(
+def number_in_file_order(rows: DataFrame, name: str = "position") -> DataFrame:
+    """Add the position from 0 in the order of files and of rows inside them, without moving a row.
+
+    ``rows`` comes straight from a file reader. Rows are numbered where they are read; one counting pass gives the
+    first row and the number of rows of every file split, and the offsets, one small row per split, are broadcast.
+    """
+    split = ["_pid", "_file", "_block"]
+    read = rows.select(
         "*",
-        F.col("_metadata.file_path").alias("_file"),
+        F.spark_partition_id().alias("_pid"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.xxhash64("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
+    spans = read.groupBy(*split, "_path").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_path", "_block")) - F.col("_n")
+    offsets = spans.select(*split, (earlier - F.col("_first")).alias("_offset"))
+    placed = read.join(F.broadcast(offsets), split)
+    return placed.select(*rows.columns, (F.col("_offset") + F.col("_row")).alias(name))
 
 
 def _positioned(rows: DataFrame, author: str, text: str, source: str) -> DataFrame:
-    kept = _in_file_order(rows).select(F.col(author).alias("author"), F.col(text).alias("text"), "_file", "_block", "_row")
-    placed = positional_doc_id(kept, f"{source}_", ["_file", "_block", "_row"])
-    return to_raw_schema(placed, "author", "text", "doc_id", source)
+    placed = number_in_file_order(rows, "_position")
+    named = placed.withColumn("_doc_id", F.concat(F.lit(f"{source}_"), F.col("_position")))
+    return to_raw_schema(named, author, text, "_doc_id", source)
 
 
 def read_json_corpus(

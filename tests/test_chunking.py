@@ -72,13 +72,13 @@ def decoded(chunks, vocab):
     return sorted((r.author, r.chunk_idx, [tokens[i] for i in r.input_ids[1:-1]], r.word_ids[1:-1]) for r in chunks.collect())
 
 
-@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
+@pytest.mark.parametrize("hot_tokens", [25, 1_000_000])
 @pytest.mark.parametrize("separator", [C.PAGE_BREAK_SEPARATOR, C.BLANK_LINES_SEPARATOR])
 @pytest.mark.parametrize("keep_tail", [False, True])
-def test_chunk_packed(docs, vocab, separator, hot_rows, keep_tail):
+def test_chunk_packed(docs, vocab, separator, hot_tokens, keep_tail):
     text, ids = separator
-    encoded = C.encode(D.trim_text(docs.where("text is not null")), vocab)
-    got = C.chunk_packed(encoded, ids, LENGTH, hot_rows=hot_rows, keep_tail=keep_tail)
+    encoded = C.encode(D.trim_text(docs), vocab)
+    got = C.chunk_packed(encoded, ids, LENGTH, hot_tokens=hot_tokens, keep_tail=keep_tail)
     want = sorted((a, i, p, w) for a, t in by_author(docs, text).items() for i, p, w in chunks_of(split(t), keep_tail))
     assert decoded(got, vocab) == want
     edges = got.select((F.element_at("input_ids", 1)).alias("a"), F.element_at("input_ids", -1).alias("b")).distinct()
@@ -88,16 +88,17 @@ def test_chunk_packed(docs, vocab, separator, hot_rows, keep_tail):
         assert rows(counts, "author", "n_chunks") == rows(got.groupBy("author").count())
 
 
-def test_packed_doc_id(docs, vocab):
-    got = C.chunk_packed(C.encode(docs.where("text is not null"), vocab), length=LENGTH)
-    least = docs.where("text is not null").groupBy("author").agg(F.concat(F.lit("packed_"), F.min("doc_id")).alias("doc_id"))
-    assert got.join(least, ["author", "doc_id"], "left_anti").count() == 0
+@pytest.mark.parametrize("hot_tokens", [25, 1_000_000])
+def test_packed_doc_id(docs, vocab, hot_tokens):
+    got = C.chunk_packed(C.encode(docs, vocab), length=LENGTH, hot_tokens=hot_tokens)
+    least = docs.groupBy("author").agg(F.concat(F.lit("packed_"), F.min("doc_id")).alias("doc_id"))
+    assert got.count() > 0 and got.join(least, ["author", "doc_id"], "left_anti").count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [4, 1_000_000])
+@pytest.mark.parametrize("hot_chars", [60, 1_000_000])
 @pytest.mark.parametrize("part_chars", [7, 1_000_000])
-def test_pack_authors(docs, part_chars, hot_rows):
-    got = D.pack_authors(docs, part_chars=part_chars, hot_rows=hot_rows)
+def test_pack_authors(docs, part_chars, hot_chars):
+    got = D.pack_authors(docs, part_chars=part_chars, hot_chars=hot_chars)
     assert got.where(F.length("text") > part_chars).count() == 0
     joined = defaultdict(str)
     for r in got.orderBy("part").collect():
@@ -106,7 +107,7 @@ def test_pack_authors(docs, part_chars, hot_rows):
 
 
 def test_documents_apart(docs, vocab):
-    encoded = C.encode(docs.where("text is not null"), vocab)
+    encoded = C.encode(docs, vocab)
     chunks = C.chunk_documents(encoded, LENGTH)
     want = sorted((r.doc_id, i, p, w) for r in docs.collect() if r.text is not None for i, p, w in chunks_of(split(r.text), True))
     tokens = [r.token for r in vocab.orderBy("id").collect()]
@@ -144,7 +145,10 @@ def test_user_tokenizer(spark, docs):
 
     got = C.encode_with(docs, load)
     for r, t in zip(got.orderBy("doc_id").collect(), docs.orderBy("doc_id").collect()):
-        assert r.ids == [len(w) for w in (t.text or "").split()] and r.n_words == r.n_tokens == len(r.ids)
+        if t.text is None:
+            assert r.ids is None and r.n_tokens is None
+        else:
+            assert r.ids == [len(w) for w in t.text.split()] and r.n_words == r.n_tokens == len(r.ids)
 
 
 @pytest.mark.parametrize("unify", [True, False])
@@ -152,7 +156,7 @@ def test_chunk_corpora_filters_as_chunks_do(spark, docs, vocab, unify):
     both = docs.unionByName(docs.withColumn("source", F.lit("t")).withColumn("doc_id", F.concat(F.lit("t"), "doc_id")))
     settings = {"s": P.CorpusSettings(), "t": P.CorpusSettings(pack=False)}
     every = P.chunk_corpora(both, settings, vocab, LENGTH, min_chunks=0, unify=unify)
-    some = P.chunk_corpora(both, settings, vocab, LENGTH, min_chunks=4, unify=unify, hot_rows=7)
+    some = P.chunk_corpora(both, settings, vocab, LENGTH, min_chunks=4, unify=unify, hot_tokens=40)
     want = C.filter_valid_authors(every, 4, ["author"] if unify else ["source", "author"])
     assert 0 < want.count() < every.count()
     assert rows(some) == rows(want)

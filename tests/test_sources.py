@@ -17,6 +17,27 @@ def test_json(spark, tmp_path):
     assert rows(got) == sorted(((f"a{i}", f"t\n{i}", f"reply_{i}", "reply") for i in range(30)), key=repr)
 
 
+def test_positions_over_many_splits(spark, tmp_path):
+    """Several files, cut into many splits that are read in another order; blank lines have no position."""
+    at = 0
+    for name, n in (("a", 40), ("b", 900), ("c", 300)):
+        lines = []
+        for i in range(n):
+            lines.append(json.dumps({"author": f"x{at}", "body": "t" * (at % 50)}))
+            lines += [""] * (i % 97 == 5)
+            at += 1
+        (tmp_path / f"{name}.json").write_text("\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = I.read_json_corpus(spark, str(tmp_path), "r").collect()
+        scan = spark.read.schema("author string").json(str(tmp_path))
+        assert scan.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(got) == at and all(r.doc_id == f"r_{r.author[1:]}" for r in got)
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "b.csv").write_text('id,topic,text\n7,x,"a ""q""\nb"\n8,y, plain \n')
     got = I.read_csv_corpus(spark, str(tmp_path / "b.csv"), ["id", "topic", "text"], "blog")
