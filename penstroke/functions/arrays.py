@@ -22,18 +22,25 @@ def local_word_ids(numbers: Column | str) -> Column:
     leaves a gap, which is closed here; a separator between packed texts is null and leaves none.
     """
     numbers = _col(numbers)
-    first = F.array_min(F.filter(numbers, lambda n: n >= 0))
-    gaps = F.transform(F.filter(numbers, lambda n: n < 0), lambda n: -n - 1)
 
-    def renumbered(known):
-        def local(n):
-            between = F.size(F.filter(known["gaps"], lambda g: (g > known["first"]) & (g < n)))
-            closed = F.when(F.size(known["gaps"]) == 0, 0).otherwise(between)
-            return F.when(n >= 0, n - known["first"] - closed).otherwise(-1).cast("smallint")
+    def with_gaps():
+        first = F.array_min(F.filter(numbers, lambda n: n >= 0))
+        gaps = F.transform(F.filter(numbers, lambda n: n < 0), lambda n: -n - 1)
 
-        return F.transform(numbers, local)
+        def renumbered(known):
+            def local(n):
+                closed = F.size(F.filter(known["gaps"], lambda g: (g > known["first"]) & (g < n)))
+                return F.when(n >= 0, n - known["first"] - closed).otherwise(-1)
 
-    return with_value(F.struct(first.alias("first"), gaps.alias("gaps")), renumbered)
+            return F.transform(numbers, local)
+
+        return with_value(F.struct(first.alias("first"), gaps.alias("gaps")), renumbered)
+
+    # Nearly no chunk has a separator inside a text; the others need one subtraction per token.
+    def by_least(least):
+        return F.when(least < 0, with_gaps()).otherwise(F.transform(numbers, lambda n: F.coalesce(n - least, F.lit(-1))))
+
+    return with_value(F.array_min(numbers), by_least).cast("array<smallint>")
 
 
 def renumber_word_ids(ids: Column | str) -> Column:
@@ -66,9 +73,9 @@ def chunk_words(input_ids: Column | str, word_ids: Column | str, id_to_token: Co
 
     def written(token, i):
         word = F.get(word_ids, i)
-        starts = (i == 0) | (word != F.get(word_ids, i - 1))
         piece = F.get(id_to_token, token)
-        return F.when(word < 0, "").when(starts, F.concat(F.lit(" "), piece)).otherwise(piece)
+        goes_on = word.eqNullSafe(F.get(word_ids, i - 1))  # null before the first token
+        return F.when(word < 0, "").when(goes_on, piece).otherwise(F.concat(F.lit(" "), piece))
 
     def split_line(line):
         found = F.split(F.lower(F.ltrim(line)), " ")

@@ -76,25 +76,27 @@ def id_to_token(vocab: DataFrame) -> DataFrame:
 
 
 def token_slots(vocab: DataFrame) -> DataFrame:
-    """One row: the vocabulary as an array of ``SLOTS`` short lists, each token in the list its hash picks.
+    """One row: the vocabulary as an array of ``SLOTS`` small maps, each token in the map its hash picks.
 
     Bounded by the vocabulary size. It lets ``encode`` find an id in the row itself, where a join would need one row
-    per token and a shuffle to put the documents together again.
+    per token and a shuffle to put the documents together again. A single map would be searched from end to end.
     """
     slot = F.pmod(F.xxhash64("token"), F.lit(SLOTS)).cast("int")
-    listed = vocab.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct("token", "id")).alias("entries"))
+    entries = F.map_from_entries(F.collect_list(F.struct("token", "id")))
+    listed = vocab.groupBy(slot.alias("slot")).agg(entries.alias("ids"))
     empty = vocab.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    filled = empty.join(listed, "slot", "left").select("slot", F.coalesce("entries", F.array()).alias("entries"))
-    table = F.array_sort(F.collect_list(F.struct("slot", "entries")))
-    return filled.agg(F.transform(table, lambda s: s["entries"]).alias("table"))
+    filled = empty.join(listed, "slot", "left")
+    # Maps have no order to sort by, so the array is put in order by its slots alone.
+    table = F.array_sort(F.collect_list(F.struct("slot", "ids")), lambda a, b: a["slot"] - b["slot"])
+    return filled.agg(F.transform(table, lambda s: s["ids"]).alias("table"))
 
 
 def encoded(piece_list: Column, table: Column) -> Column:
     """Ids of a list of pieces, ``UNK`` for those not in the vocabulary."""
 
     def find(piece):
-        entries = F.get(table, F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int"))
-        return F.coalesce(F.get(F.filter(entries, lambda e: e["token"] == piece), F.lit(0))["id"], F.lit(UNK))
+        ids = F.get(table, F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int"))
+        return F.coalesce(F.try_element_at(ids, piece), F.lit(UNK))
 
     return F.transform(piece_list, find)
 
@@ -293,7 +295,9 @@ def chunk_packed(
     gap = F.size("_separator")
     no_word = F.array_repeat(F.lit(None).cast("bigint"), gap)
     before = F.col("_words_before")
-    numbers = F.transform("word_at", lambda w: F.when(w >= 0, w + before).otherwise(w - before))
+    shifted = F.transform("word_at", lambda w: w + before)
+    numbers = F.when(F.array_min("word_at") < 0, F.transform("word_at", lambda w: F.when(w >= 0, w + before).otherwise(w - before)))
+    numbers = numbers.otherwise(shifted)
     rows = (
         rows.where(F.col("_texts") == 1)
         .select(
