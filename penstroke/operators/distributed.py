@@ -24,10 +24,8 @@ def hot_keys(
     One pass with partial sums on the map side. At most ``total / hot_rows`` keys can be hot.
     """
     size = F.count("*") if weight is None else F.sum(weight)
-    counts = df.groupBy(*keys).agg(size.alias("_n")).where(F.col("_n") > hot_rows)
-    if counts.isEmpty():
-        return None
-    return stage(counts, "hot-keys")
+    hot = stage(df.groupBy(*keys).agg(size.alias("_n")).where(F.col("_n") > hot_rows), "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def divide_hot_keys(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:

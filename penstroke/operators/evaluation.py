@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
@@ -15,6 +16,7 @@ from penstroke.operators.neighbours import knn1_leave_one_view
 from penstroke.staging import stage
 
 MAX_ITERATIONS = 1000
+ROWS_PER_TASK = 20_000
 PREDICTION_COLUMNS = ("known_author", "unknown_author", "corpus", "ground_truth", "predicted", "correct")
 
 
@@ -127,6 +129,8 @@ def fit_verifier(features: DataFrame, max_iter: int = MAX_ITERATIONS) -> Logisti
     rows = features.select(
         array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight")
     )
+    # Every iteration runs one job over the rows, so few rows should not be spread over many tasks.
+    rows = rows.coalesce(max(1, n // ROWS_PER_TASK))
     solver = LogisticRegression(
         maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="weight"
     )
@@ -147,16 +151,19 @@ def union_predictions(predictions: Sequence[DataFrame]) -> DataFrame:
     return first
 
 
-def verify_all_corpora(train: DataFrame, test: DataFrame, corpora: Sequence[str]) -> tuple[DataFrame | None, Mapping[str, str]]:
+def verify_all_corpora(
+    train: DataFrame, test: DataFrame, corpora: Sequence[str], parallel: int = 4
+) -> tuple[DataFrame | None, Mapping[str, str]]:
     """Fit and predict per corpus; returns all predictions, and why a corpus was skipped.
 
-    ``train`` and ``test`` come from ``verification_features``. The loop runs over the named corpora; which of them
-    can be fitted comes from one aggregate per table.
+    ``train`` and ``test`` come from ``verification_features`` and should be stored. Which of the named corpora can be
+    fitted comes from one aggregate per table. ``parallel`` fits run at a time, as the jobs of one fit are short.
     """
     named = F.col("corpus").isin(*corpora)
-    train_classes = {r["corpus"]: r["c"] for r in train.where(named).groupBy("corpus").agg(F.count_distinct("label").alias("c")).collect()}
+    classes = train.where(named).groupBy("corpus").agg(F.count_distinct("label").alias("n"))
+    train_classes = {r["corpus"]: r["n"] for r in classes.collect()}  # at most one row per named corpus
     tested = {r["corpus"] for r in test.where(named).select("corpus").distinct().collect()}
-    skipped, predictions = {}, []
+    skipped, fitted = {}, []
     for corpus in corpora:
         if corpus not in train_classes:
             skipped[corpus] = "no training pair has text on both sides"
@@ -165,6 +172,10 @@ def verify_all_corpora(train: DataFrame, test: DataFrame, corpora: Sequence[str]
         elif train_classes[corpus] < 2:
             skipped[corpus] = "training pairs are of one class only"
         else:
-            model = fit_verifier(corpus_filter(train, corpus))
-            predictions.append(predict_verifier(model, corpus_filter(test, corpus)))
-    return (union_predictions(predictions) if predictions else None), skipped
+            fitted.append(corpus)
+    if not fitted:
+        return None, skipped
+    with ThreadPoolExecutor(parallel) as pool:
+        models = list(pool.map(lambda c: fit_verifier(corpus_filter(train, c)), fitted))
+    predictions = [predict_verifier(m, corpus_filter(test, c)) for m, c in zip(models, fitted)]
+    return union_predictions(predictions), skipped
