@@ -26,6 +26,8 @@ _ANY = "|".join(KINDS.values())
 _LETTERS, _BASE_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 _DAYS = 146_097  # of 400 years from 1800 on; 189 * 773
 _FIRST_DAY = "1800-01-01"
+_PART = 22
+"""Digits permuted at once; a longer numeral is permuted part by part."""
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -33,70 +35,87 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
 
-def feistel(a: Column, b: Column, size_a, size_b, tweak: Column, key: str) -> Column:
-    """A keyed permutation of the pairs ``(a, b)`` with ``0 <= a < size_a`` and ``0 <= b < size_b``.
+def feistel(job: Column, before: Column, key: str) -> Column:
+    """A keyed permutation of the pairs ``(a, b)`` with ``0 <= a < size_a`` and ``0 <= b < size_b`` of a job.
 
-    Each round adds a digest of one half to the other; an even number of rounds leaves the halves in place.
+    Each round adds a digest of one half, the tweak and what came ``before`` to the other half; an even number of
+    rounds leaves the halves in place.
     """
-    size_a, size_b = (F.lit(s).cast("long") if isinstance(s, int) else s.cast("long") for s in (size_a, size_b))
 
     def step(state: Column, i: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), state["b"].cast("string")), 256)
+        digest = F.sha2(F.concat_ws("|", F.lit(key), job["tweak"], before, i.cast("string"), state["b"].cast("string")), 256)
         added = F.conv(F.substring(digest, 1, 14), 16, 10).cast("long")
-        size = F.when(i % 2 == 1, size_a).otherwise(size_b)
+        size = F.when(i % 2 == 1, job["size_a"]).otherwise(job["size_b"])
         return F.struct(state["b"].alias("a"), F.pmod(state["a"] + added, size).alias("b"))
 
-    first = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    first = F.struct(job["a"].alias("a"), job["b"].alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step)
 
 
-def _number(text: Column, base: int) -> Column:
-    return F.conv(F.when(text == "", "0").otherwise(text), base, 10).cast("long")
+def _job(tweak: Column, base: Column, u: Column, v: Column, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
+    fields = {"base": base.cast("int"), "u": u.cast("int"), "v": v.cast("int")}
+    fields |= {k: c.cast("long") for k, c in (("a", a), ("b", b), ("size_a", size_a), ("size_b", size_b))}
+    return F.struct(tweak.alias("tweak"), *(c.alias(k) for k, c in fields.items()))
 
 
-def _short(numeral: Column, base: int, tweak: Column, key: str) -> Column:
-    """Permute numerals of one length, up to 22 digits."""
-    n = F.length(numeral)
-    u = F.floor(n / 2).cast("int")
-    v = n - u
-    power = lambda k: F.round(F.pow(F.lit(float(base)), k)).cast("long")
-    halves = _number(F.substr(numeral, F.lit(1), u), base), _number(F.substr(numeral, u + 1, v), base)
-    pair = feistel(*halves, power(u), power(v), F.concat_ws(":", tweak, n.cast("string")), key)
-    put = lambda x, k: F.when(k == 0, "").otherwise(F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), k, "0"))
-    return _let(pair, lambda p: F.concat(put(p["a"], u), put(p["b"], v)))
+def _pair(tweak: str, a: Column, b: Column, size_a: int, size_b: int) -> Column:
+    """The work for a value that is a pair of numbers."""
+    return F.array(_job(F.lit(tweak), F.lit(0), F.lit(0), F.lit(0), a, b, F.lit(size_a), F.lit(size_b)))
 
 
-def permute(numeral: Column, base: int, tweak: Column, key: str) -> Column:
-    """A keyed permutation of the numerals of every length, in small letters.
+def _numeral(numeral: Column, base: int, tweak: Column) -> Column:
+    """The work for a numeral: one job per part, with the parts after it in its tweak. The parts before it enter
+    through what came before, so the whole map is a permutation of the numerals of a length."""
+    number = lambda t: F.conv(F.when(t == "", "0").otherwise(t), base, 10)
+    power = lambda k: F.round(F.pow(F.lit(float(base)), k))
+
+    def part(s: Column, i: Column) -> Column:
+        def made(p: Column) -> Column:
+            n = F.length(p)
+            u = F.floor(n / 2).cast("int")
+            after = F.substr(s["s"], (i + 1) * _PART + 1, F.length(s["s"]))
+            whole = F.concat_ws(":", s["t"], F.length(s["s"]).cast("string"), after)
+            return _job(whole, F.lit(base), u, n - u, number(F.substr(p, F.lit(1), u)), number(F.substr(p, u + 1, n - u)), power(u), power(n - u))
+
+        return _let(F.substr(s["s"], i * _PART + 1, F.lit(_PART)), made)
+
+    def parts(s: Column) -> Column:
+        listed = F.transform(F.sequence(F.lit(0), F.floor((F.length(s["s"]) - 1) / _PART).cast("int")), lambda i: part(s, i))
+        return F.when(F.length(s["s"]) > 0, listed)
+
+    return _let(F.struct(numeral.alias("s"), tweak.alias("t")), parts)
 
-    A long numeral is permuted by its two parts in turn, each with the other in the tweak.
-    """
 
-    def both(s: Column) -> Column:
-        cut = F.floor(F.length(s) / 2).cast("int")
-        left, right = F.substr(s, F.lit(1), cut), F.substr(s, cut + 1, F.length(s) - cut)
-        new_left = _short(left, base, F.concat_ws(":", tweak, right), key)
-        return _let(new_left, lambda x: F.concat(x, _short(right, base, F.concat_ws(":", tweak, x), key)))
+def _evaluate(jobs: Column, key: str) -> Column:
+    """``array<struct<a, b, s>>``: the permuted pair of every job, and as a numeral."""
+    put = lambda x, k, base: F.when(k == 0, "").otherwise(F.lpad(F.lower(F.call_function("conv", x.cast("string"), F.lit(10), base)), k, "0"))
 
-    return _let(numeral, lambda s: F.when(F.length(s) == 0, "").when(F.length(s) <= 22, _short(s, base, tweak, key)).otherwise(both(s)))
+    def add(done: Column, job: Column) -> Column:
+        pair = feistel(job, F.array_join(done["s"], ":"), key)
+        numeral = lambda p: F.when(job["base"] > 0, F.concat(put(p["a"], job["u"], job["base"]), put(p["b"], job["v"], job["base"]))).otherwise("")
+        return F.concat(done, F.array(_let(pair, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), numeral(p).alias("s")))))
+
+    return F.aggregate(jobs, F.array().cast("array<struct<a:bigint,b:bigint,s:string>>"), add)
 
 
 def _only(text: Column, kept: str) -> Column:
     return F.regexp_replace(text, f"[^{kept}]", "")
 
 
-def _refill(text: Column, symbols: Column, kept: str) -> Column:
-    """``text`` with its characters in ``kept`` replaced in order by ``symbols``, capital where it was."""
+def _refill(text: Column, symbols: Column, kept: Column) -> Column:
+    """``text`` with its characters that match ``kept`` replaced in order by ``symbols``, capital where it was."""
 
     def filled(both: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            at = F.length(_only(F.substr(both["text"], F.lit(1), i + 1), kept))
-            new = F.substr(both["symbols"], at, F.lit(1))
-            return F.when(~c.rlike(f"[{kept}]"), c).when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)
+        def one(done: Column, c: Column) -> Column:
+            new = F.substr(both["symbols"], done["n"] + 1, F.lit(1))
+            fits = F.call_function("rlike", c, both["kept"])
+            shown = F.when(~fits, c).when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)
+            return F.struct((done["n"] + fits.cast("int")).alias("n"), F.concat(done["out"], shown).alias("out"))
 
-        return F.array_join(F.transform(F.split(both["text"], ""), one), "")
+        start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+        return F.aggregate(F.split(both["text"], ""), start, one)["out"]
 
-    return _let(F.struct(text.alias("text"), symbols.alias("symbols")), filled)
+    return _let(F.struct(text.alias("text"), symbols.alias("symbols"), kept.alias("kept")), filled)
 
 
 def _digit_sum(digits: Column, doubled: int) -> Column:
@@ -110,120 +129,105 @@ def _digit_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
 
 
-def _email(text: Column, key: str) -> Column:
-    local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
-    tweak = F.concat_ws("|", F.lit("email"), F.lower(domain))
-    as_numeral = F.translate(F.lower(_only(local, "A-Za-z")), _LETTERS, _BASE_26)
-    letters = permute(as_numeral, 26, F.concat_ws("|", tweak, _only(local, "0-9")), key)
-
-    def made(new: Column) -> Column:
-        digits = permute(_only(local, "0-9"), 10, F.concat_ws("|", tweak, new), key)
-        return F.concat(_refill(_refill(local, F.translate(new, _BASE_26, _LETTERS), "A-Za-z"), digits, "0-9"), F.lit("@"), domain)
-
-    return _let(letters, made)
-
-
-def _ip(text: Column, key: str) -> Column:
-    o = [F.get(F.split(text, r"\."), i).cast("long") for i in range(4)]
-    pair = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, F.lit("ip"), key)
-    dotted = lambda x: F.concat_ws(".", F.floor(x / 256).cast("string"), (x % 256).cast("string"))
-    return _let(pair, lambda p: F.concat_ws(".", dotted(p["a"]), dotted(p["b"])))
+def _remainder97(text: Column) -> Column:
+    def add(total: Column, c: Column) -> Column:
+        value = F.conv(c, 36, 10).cast("int")
+        return (total * F.when(value > 9, 100).otherwise(10) + value) % 97
 
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
 
-def _secret(text: Column, key: str) -> Column:
-    return _refill(text, permute(F.lower(text), 16, F.lit("secret"), key), "0-9A-Za-z")
 
+def _number(text: Column, separator: str, i: int) -> Column:
+    return F.get(F.split(text, separator), i).cast("long")
 
-def _digits(text: Column, kind: str, key: str) -> Column:
-    return _refill(text, permute(_only(text, "0-9"), 10, F.lit(kind), key), "0-9")
 
+def _iso(text: Column) -> Column:
+    turned = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2))
+    return F.when(text.rlike("^....-"), text).otherwise(turned)
 
-def _phone(text: Column, key: str) -> Column:
-    prefix = F.regexp_extract(text, r"^\+\d{1,3}(?=[^0-9])", 0)
-    return F.concat(prefix, _digits(F.substr(text, F.length(prefix) + 1, F.length(text)), "phone", key))
 
+def _day(text: Column) -> Column:
+    return F.datediff(F.try_to_date(_iso(text), "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date"))
 
-def _card(text: Column, key: str) -> Column:
-    def made(digits: Column) -> Column:
-        payload = permute(F.substr(digits, F.lit(1), F.length(digits) - 1), 10, F.lit("card"), key)
-        new = _let(payload, lambda p: F.concat(p, F.pmod(-_digit_sum(p, 0), F.lit(10)).cast("string")))
-        return F.when(_digit_sum(digits, 1) % 10 == 0, _refill(text, new, "0-9"))
 
-    return _let(_only(text, "0-9"), made)
+def kind_of(match: Column) -> Column:
+    """The first kind that a match has the form of and validates as; null if none."""
+    bare = F.regexp_replace(match, " ", "")
+    area, group, serial = (_number(match, "-", i) for i in range(3))
+    valid = {
+        "iban": _remainder97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1,
+        "date": _day(match).between(0, _DAYS - 1),
+        "ssn": area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0),
+        "card": _let(_only(match, "0-9"), lambda d: _digit_sum(d, 1) % 10 == 0),
+    }
+    out = None
+    for kind, form in KINDS.items():
+        test = match.rlike(f"^(?:{form})$")
+        test = test & valid[kind] if kind in valid else test
+        out = F.when(test, kind) if out is None else out.when(test, kind)
+    return out
 
 
-def _ssn(text: Column, key: str) -> Column:
-    area, group, serial = (F.get(F.split(text, "-"), i).cast("long") for i in range(3))
-    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+def _jobs(m: Column) -> Column:
+    """What to permute in a match ``(text, kind)``."""
+    text, kind = m["text"], m["kind"]
+    o = [_number(text, r"\.", i) for i in range(4)]
+    area, group, serial = (_number(text, "-", i) for i in range(3))
     place = area - 1 - (area > 666).cast("int")
-    pair = feistel(place * 99 + group - 1, serial - 1, 898 * 99, 9999, F.lit("ssn"), key)
-
-    def put(p: Column) -> Column:
-        at = F.floor(p["a"] / 99)
-        new_area = at + 1 + (at >= 665).cast("int")
-        return F.format_string("%03d-%02d-%04d", new_area, p["a"] % 99 + 1, p["b"] + 1)
-
-    return F.when(valid, _let(pair, put))
+    local = F.substring_index(text, "@", 1)
+    domain = F.concat_ws("|", kind, F.lower(F.substring_index(text, "@", -1)))
+    letters = _numeral(F.translate(F.lower(_only(local, "A-Za-z")), _LETTERS, _BASE_26), 26, F.concat_ws("|", domain, _only(local, "0-9")))
+    digits = F.when(kind == "email", _only(local, "0-9")).when(kind == "phone", _only(F.regexp_replace(text, r"^\+\d{1,3}(?=[^0-9])", ""), "0-9"))
+    digits = digits.when(kind == "iban", F.regexp_replace(F.substr(F.regexp_replace(text, " ", ""), F.lit(5), F.length(text)), "[^0-9]", ""))
+    digits = digits.otherwise(F.regexp_replace(_only(text, "0-9"), ".$", ""))  # a card number without its check digit
+    tweak = F.when(kind == "email", domain).when(kind == "iban", F.concat_ws("|", kind, _only(text, "A-Z"))).otherwise(kind)
+    none = F.array().cast("array<struct<tweak:string,base:int,u:int,v:int,a:bigint,b:bigint,size_a:bigint,size_b:bigint>>")
+    numeral = F.coalesce(_numeral(digits, 10, tweak), none)
+    found = F.when(kind == "ip", _pair("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536))
+    found = found.when(kind == "ssn", _pair("ssn", place * 99 + group - 1, serial - 1, 898 * 99, 9999))
+    found = found.when(kind == "date", _let(_day(text), lambda d: _pair("date", F.floor(d / 773), d % 773, _DAYS // 773, 773)))
+    found = found.when(kind == "secret", _numeral(F.lower(text), 16, kind))
+    return F.coalesce(found.when(kind == "email", F.concat(F.coalesce(letters, none), numeral)).otherwise(numeral), none)
+
+
+def _finished(m: Column, done: Column) -> Column:
+    """The pseudonym of a match from the permuted values."""
+    text, kind = m["text"], m["kind"]
+    a, b = F.get(done, 0)["a"], F.get(done, 0)["b"]
+    octets = [F.floor(a / 256), a % 256, F.floor(b / 256), b % 256]
+    area = F.floor(a / 99) + 1
+    new_day = F.date_add(F.lit(_FIRST_DAY).cast("date"), (a * 773 + b).cast("int"))
+    form = F.when(text.rlike("^....-"), "yyyy-MM-dd").when(text.contains("/"), "dd/MM/yyyy").otherwise("dd.MM.yyyy")
+    symbols = F.array_join(done["s"], "")
+
+    def numeral(s: Column) -> Column:
+        prefix = F.when(kind == "phone", F.regexp_extract(text, r"^\+\d{1,3}(?=[^0-9])", 0)).when(kind == "iban", F.substring(text, 1, 2)).otherwise("")
+        country, body = F.substring(text, 1, 2), F.substr(F.regexp_replace(text, " ", ""), F.lit(5), F.length(text))
+        account = _let(_refill(body, s, F.lit("[0-9]")), lambda x: F.concat(F.lpad((98 - _remainder97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
+        filling = F.when(kind == "card", F.concat(s, F.pmod(-_digit_sum(s, 0), F.lit(10)).cast("string"))).when(kind == "iban", account).otherwise(s)
+        kept = F.when(kind.isin("secret", "iban"), "[0-9A-Za-z]").otherwise("[0-9]")
+        return F.concat(prefix, _refill(F.substr(text, F.length(prefix) + 1, F.length(text)), filling, kept))
+
+    def email(s: Column) -> Column:
+        local = F.substring_index(text, "@", 1)
+        n = F.length(_only(local, "A-Za-z"))
+        lettered = _refill(local, F.translate(F.substr(s, F.lit(1), n), _BASE_26, _LETTERS), F.lit("[A-Za-z]"))
+        return F.concat(_refill(lettered, F.substr(s, n + 1, F.length(s)), F.lit("[0-9]")), F.lit("@"), F.substring_index(text, "@", -1))
+
+    out = F.when(kind.isNull(), text).when(kind == "ip", F.concat_ws(".", *(x.cast("string") for x in octets)))
+    out = out.when(kind == "ssn", F.format_string("%03d-%02d-%04d", area + (area >= 666).cast("int"), a % 99 + 1, b + 1))
+    out = out.when(kind == "date", F.call_function("date_format", new_day, form))
+    return out.when(kind == "email", _let(symbols, email)).otherwise(_let(symbols, numeral))
 
 
-def _date(text: Column, key: str) -> Column:
-    iso = F.when(text.rlike("^....-"), text).otherwise(F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2)))
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date"))
-    pair = feistel(F.floor(day / 773), day % 773, _DAYS // 773, 773, F.lit("date"), key)
-
-    def put(p: Column) -> Column:
-        new = F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["a"] * 773 + p["b"]).cast("int"))
-        form = lambda f: F.date_format(new, f)
-        return F.when(text.rlike("^....-"), form("yyyy-MM-dd")).when(text.contains("/"), form("dd/MM/yyyy")).otherwise(form("dd.MM.yyyy"))
-
-    return F.when(day.between(0, _DAYS - 1), _let(pair, put))
-
-
-def _remainder97(text: Column) -> Column:
-    def add(total: Column, c: Column) -> Column:
-        value = F.conv(c, 36, 10).cast("int")
-        return (total * F.when(value > 9, 100).otherwise(10) + value) % 97
-
-    return F.aggregate(F.split(text, ""), F.lit(0), add)
-
-
-def _iban(text: Column, key: str) -> Column:
-    bare = F.replace(text, F.lit(" "), F.lit(""))
-    country, body = F.substring(bare, 1, 2), F.substr(bare, F.lit(5), F.length(bare))
-    valid = _remainder97(F.concat(body, country, F.substring(bare, 3, 2))) == 1
-    tweak = F.concat_ws("|", F.lit("iban"), country, _only(body, "A-Z"))
-    new_body = _refill(body, permute(_only(body, "0-9"), 10, tweak, key), "0-9")
-    checked = lambda b: F.concat(F.lpad((98 - _remainder97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
-    new = _let(new_body, checked)
-    return F.when(valid, F.concat(country, _refill(F.substr(text, F.lit(3), F.length(text)), new, "0-9A-Z")))
-
-
-_MAKERS = {
-    "email": _email,
-    "ip": _ip,
-    "secret": _secret,
-    "iban": _iban,
-    "date": _date,
-    "ssn": _ssn,
-    "phone": _phone,
-    "card": _card,
-}
-
-
-def _or_else(made: Column, other: Column) -> Column:
-    """``other`` where ``made`` has no pseudonym; ``made`` is computed once."""
-    return _let(made, lambda m: F.when(m["new"].isNull(), other).otherwise(m))
+def _replacement(match: Column, key: str) -> Column:
+    """Kind and pseudonym of a match; one that validates as nothing stays and has no kind."""
 
+    def made(m: Column) -> Column:
+        new = _let(_evaluate(_jobs(m), key), lambda done: _finished(m, done))
+        return F.struct(m["kind"].alias("kind"), new.alias("new"))
 
-def _replacement(match: Column, key: str) -> Column:
-    """Kind and pseudonym of a match; a number that does not validate stays and has no kind."""
-    out = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("new"))
-    for kind in reversed(KINDS):
-        new = _MAKERS[kind](match, key)
-        made = F.struct(F.lit(kind).alias("kind"), new.alias("new"))
-        held = _or_else(made, out) if kind in ("iban", "date", "ssn", "card") else made  # these may not validate
-        out = F.when(match.rlike(f"^(?:{KINDS[kind]})$"), held).otherwise(out)
-    return out
+    return _let(F.struct(match.alias("text"), kind_of(match).alias("kind")), made)
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", kinds_column: str | None = "private_kinds") -> DataFrame:
