@@ -247,7 +247,8 @@ def read_warc(manifest: DataFrame, folder: str, with_payload: bool = False) -> D
                 yield batch_of(rows)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", url string, payload binary" if with_payload else "")
-    return manifest.select("path").repartition("path").mapInArrow(read, schema)
+    # a file is the work of a task, however small its row
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, schema)
 
 
 def archive(pages: DataFrame) -> DataFrame:
