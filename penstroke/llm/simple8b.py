@@ -38,7 +38,12 @@ READ_BLOCKS = 1024
 """Blocks decoded at a time."""
 
 
+_SMALL = np.frexp(np.arange(1 << 16).astype(np.float64))[1].astype(np.int8)
+
+
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    if ids.size and int(ids.max()) < 1 << 16:
+        return _SMALL[ids.astype(np.uint16)]
     if ids.size and int(ids.max()) < 1 << 32:
         return np.frexp(ids.astype(np.float64))[1].astype(np.int8)  # exact below 2**53
     high = ids >> np.uint64(32)
@@ -51,17 +56,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Every word takes as many ids as fit. All blocks advance together: one step finds the next word of each.
     """
-    ids = ids.astype(np.uint64, copy=False)
     if len(ids) == 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
     blocks = -(-len(ids) // BLOCK)
     row = BLOCK + int(COUNTS.max())  # zeros behind every block, so that a last word may be part empty
-    padded = np.zeros((blocks, row), np.uint64)
-    grid = np.zeros(blocks * BLOCK, np.uint64)
-    grid[: len(ids)] = ids
-    padded[:, :BLOCK] = grid.reshape(blocks, BLOCK)
-    flat = padded.ravel()
-    width = _bit_lengths(flat)
+
+    def laid_out(values: np.ndarray, kind) -> np.ndarray:
+        padded, whole = np.zeros((blocks, row), kind), len(ids) // BLOCK
+        padded[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+        padded[whole:, : len(ids) - whole * BLOCK] = values[whole * BLOCK :]
+        return padded.ravel()
+
+    flat, width = laid_out(ids, np.uint64), laid_out(_bit_lengths(ids), np.int8)
     best = np.zeros(len(flat), np.int8)  # selector 0 until something fits
     reach, spans = width, 1
     for selector in range(1, 16):
@@ -71,7 +77,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             wider = reach.copy()
             np.maximum(wider[:-step], reach[step:], out=wider[:-step])
             reach, spans = wider, spans + step
-        best[reach <= WIDTHS[selector]] = selector
+        np.maximum(best, (reach <= WIDTHS[selector]).view(np.int8) * np.int8(selector), out=best)
     lengths = np.full(blocks, BLOCK)
     lengths[-1] = len(ids) - BLOCK * (blocks - 1)
     base = np.arange(blocks) * row
@@ -92,10 +98,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == 0:
             words[out[mine]], words[out[mine] + 1] = 0, flat[start[mine]]
             continue
-        word = np.full(int(mine.sum()), s << 60, np.uint64)
+        at = start[mine]
+        word = np.full(len(at), s << 60, np.uint64)
         if WIDTHS[s]:
             for k in range(int(COUNTS[s])):
-                word |= flat[start[mine] + k] << np.uint64(k * WIDTHS[s])
+                word |= flat[at + k] << np.uint64(k * WIDTHS[s])
         words[out[mine]] = word
     return words, np.bincount(start // row, slots, blocks).astype(np.uint32)
 
@@ -231,7 +238,7 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -
                 yield from _documents(f, first, with_ids)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return files.repartition("path").mapInArrow(read, schema)
+    return files.repartition(max(1, files.count()), "path").mapInArrow(read, schema)  # a file is the work of a task, however small its row
 
 
 def _documents(f, first: int, with_ids: bool) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -23,13 +24,31 @@ _WORD_END = r"(\pL)([.,])"
 _RUN_START = re.compile(r"(?<=\S)(?= )")
 
 
+def _byte_symbols() -> dict[int, int]:
+    """The character that stands for each byte: itself if it prints, else the next one from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in prints)}
+
+
+_BYTES = _byte_symbols()
+
+
+def _form(settings: dict) -> str | None:
+    """``byte`` or ``word`` for the two kinds of tokenizer whose texts may be cut, else ``None``."""
+    normalizer, before = settings["normalizer"] or {}, settings["pre_tokenizer"] or {}
+    if not normalizer and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]:
+        return "byte"
+    kinds = [[x["type"] for x in settings_.get(name, [])] for settings_, name in ((normalizer, "normalizers"), (before, "pretokenizers"))]
+    return "word" if kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] else None
+
+
 class TextEncoder:
     """Ids and character spans of whole texts, equal to encoding each text in one piece.
 
     A text is cut where no token of the vocabularies used here can reach over the cut: before a space, between a
     letter and a full stop or comma, and around a single line end. Every distinct piece goes through the tokenizer
     once. Texts with runs of several blanks are cut at the start of a run only. Strings of special tokens are
-    ordinary text.
+    ordinary text. A tokenizer of another kind gets whole texts.
     """
 
     def __init__(self, path: str, spans: bool = False) -> None:
@@ -38,7 +57,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spans = spans
+        self.spans, self.form = spans, _form(json.loads(self.tokenizer.to_str()))
         self._reset()
 
     def _reset(self) -> None:
@@ -50,8 +69,11 @@ class TextEncoder:
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 8192):
             part = pieces[at : at + 8192]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False) if not self.spans else self.tokenizer.encode_batch(part, add_special_tokens=False)
-            ids = [c.ids for c in coded]
+            if self.spans:
+                coded = self.tokenizer.encode_batch(part, add_special_tokens=False)
+                ids = [c.ids for c in coded]
+            else:
+                ids = self._ids(part)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             total = int(lengths.sum())
             while self.used + total > len(self.flat):
@@ -66,6 +88,24 @@ class TextEncoder:
             self.chars = np.concatenate([self.chars, np.fromiter(map(len, part), np.int64, len(part))])
             self.used += total
 
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces; a word of Latin letters is one unit for the tokenizer and goes to its model directly."""
+        out, others, model = [], [], self.tokenizer.model.tokenize
+        byte = self.form == "byte"
+        for piece in pieces:
+            word = piece[1:] if piece[:1] == " " else piece
+            if not byte:
+                word = word.lower()
+            if self.form and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                unit = piece if byte else word
+                unit = unit.replace(" ", "\u0120") if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTES)
+                out.append([t.id for t in model(unit)])
+            else:
+                out.append(None)
+                others.append(piece)
+        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [next(rest).ids if ids is None else ids for ids in out]
+
     def _index(self, pieces: list[str]) -> np.ndarray:
         found = list(map(self.known.get, pieces))
         new = [p for p, at in zip(pieces, found) if at is None]
@@ -79,6 +119,8 @@ class TextEncoder:
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and how many each text has."""
+        if self.form is None:
+            return self._index(texts.to_pylist()), np.ones(len(texts), np.int64)
         odd = pc.match_substring_regex(texts, _INNER_BLANK)
         marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), _LINE_END, "\\1\0\n\0\\2")
         marked = pc.replace_substring_regex(marked, _WORD_END, "\\1\0\\2")
