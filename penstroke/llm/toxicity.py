@@ -20,7 +20,7 @@ from penstroke.staging import stage
 # Insults that a voter knows from the start.
 INSULTS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
 
-LABELLED_ROWS = 8_000
+LABELLED_ROWS = 4_000
 """Documents per label, and as many of the others, that lexicons and classifier are fitted on."""
 
 LEAST_DOCUMENTS = 3
@@ -30,7 +30,7 @@ LEAST_RATIO = 6.0
 BUCKETS = 1 << 18
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.2, 1.0, 0.5, 0.05
 EM_ROUNDS = 50
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 PREFIXES = (3, 4, 5, 6)
 SUFFIX = 4
