@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +62,19 @@ def with_fingerprint(rows: DataFrame, text: str, out: str, table: DataFrame) ->
     two documents of nearly equal size share a level. A document without a term in the band uses all its terms; one
     without terms has empty subsets only.
     """
-    held = rows.withColumn("__all", term_hashes(F.col(text))).withColumn("__table", table.scalar())
-    kept = F.filter("__all", lambda h: F.get(F.col("__table"), F.pmod(h, F.lit(SLOTS)).cast("int")) == h)
-    held = held.withColumn("__kept", kept).withColumn("__kept", F.when(F.size("__kept") > 0, F.array_sort("__kept")).otherwise(F.array_sort("__all")))
+    columns = rows.columns
+    # The next projection reads the table once and drops it, so the optimizer puts the subquery there; as a column of
+    # its own it would be copied into every row.
+    held = rows.withColumn("__table", table.scalar())
+
+    def kept(b: Column) -> Column:
+        found = F.filter(b["all"], lambda h: F.get(b["table"], F.pmod(h, F.lit(SLOTS)).cast("int")) == h)
+        return _let(found, lambda f: F.array_sort(F.when(F.size(f) > 0, f).otherwise(b["all"])))
+
+    bound = F.struct(term_hashes(F.col(text)).alias("all"), F.col("__table").alias("table"))
+    held = held.select(*columns, _let(bound, kept).alias("__kept"))
     halvings = F.when(F.size("__kept") > SUBSETS, F.ceil(F.log2(F.size("__kept") / SUBSETS))).otherwise(0).cast("int")
-    held = held.withColumn("__level", halvings).drop("__all", "__table")
+    held = held.withColumn("__level", halvings)
 
     def thinned(level: Column) -> Column:
         mask = F.expr("shiftleft(1L, __level)") * (2 if level is _NEXT else 1) - 1
@@ -81,15 +91,26 @@ _NEXT = object()
 def likeness(a: Column, b: Column) -> Column:
     """The share of subsets with equal hashes among those that hold terms in either document, at the levels both have;
     1 for equal fingerprints, 0 without a common level."""
-    level_a, level_b = F.substring(a, 1, 2).cast("int"), F.substring(b, 1, 2).cast("int")
-    half = 4 * SUBSETS
-    from_a, from_b = F.when(level_a < level_b, 3 + half).otherwise(3), F.when(level_b < level_a, 3 + half).otherwise(3)
-    n = F.when(level_a == level_b, 2 * SUBSETS).otherwise(SUBSETS)
-    part = lambda s, start, k: F.substr(s, start + 4 * k, F.lit(4))
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(part(a, from_a, k).alias("x"), part(b, from_b, k).alias("y")))
-    count = lambda test: F.aggregate(pairs, F.lit(0), lambda t, p: t + F.when(test(p), 1).otherwise(0))
-    either, same = count(lambda p: (p["x"] != _EMPTY) | (p["y"] != _EMPTY)), count(lambda p: (p["x"] != _EMPTY) & (p["x"] == p["y"]))
-    return F.when(a == b, 1.0).when((F.abs(level_a - level_b) > 1) | (either == 0), 0.0).otherwise(same / either)
+    def of(h: Column) -> Column:
+        n = F.when(h["level_a"] == h["level_b"], 2 * SUBSETS).otherwise(SUBSETS)
+        part = lambda s, start, k: F.substr(s, start + 4 * k, F.lit(4))
+        pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(part(h["a"], h["from_a"], k).alias("x"), part(h["b"], h["from_b"], k).alias("y")))
+        filled = F.filter(pairs, lambda p: (p["x"] != _EMPTY) | (p["y"] != _EMPTY))
+        share = _let(filled, lambda f: F.when(F.size(f) > 0, F.size(F.filter(f, lambda p: p["x"] == p["y"])) / F.size(f)).otherwise(0.0))
+        return F.when(h["a"] == h["b"], 1.0).when(F.abs(h["level_a"] - h["level_b"]) > 1, 0.0).otherwise(share)
+
+    def placed(h: Column) -> Column:
+        later = 3 + 4 * SUBSETS
+        starts = F.when(h["level_a"] < h["level_b"], later).otherwise(3), F.when(h["level_b"] < h["level_a"], later).otherwise(3)
+        return _let(F.struct(h["a"].alias("a"), h["b"].alias("b"), h["level_a"].alias("level_a"), h["level_b"].alias("level_b"), starts[0].alias("from_a"), starts[1].alias("from_b")), of)
+
+    level = lambda s: F.substring(s, 1, 2).cast("int")
+    return _let(F.struct(a.alias("a"), b.alias("b"), level(a).alias("level_a"), level(b).alias("level_b")), placed)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
 
 def with_next_text(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
