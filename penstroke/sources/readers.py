@@ -14,8 +14,8 @@ from penstroke.operators.corpus import RAW_COLUMNS, to_raw_schema
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 TWEET_COLUMNS = ("author", "tweet_id", "text", "created_at")
 METADATA_COLUMNS = ("id", "author", "language")
-CORPUS_SCHEMA = "corpus string, author string, texttype string, text string"
-PROBLEM_SCHEMA = "corpus string, known_author string, unknown_author string"
+CORPUS_COLUMNS = ("corpus", "author", "texttype", "text")
+PROBLEM_COLUMNS = ("corpus", "known_author", "unknown_author")
 
 # Field contents that count as missing in delimited files.
 MISSING_VALUES = (
@@ -69,15 +69,20 @@ def read_json_corpus(
     return _positioned(rows, author, text, source)
 
 
+def _delimited(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+    return rows.withColumns({c: F.when(~F.col(c).isin(*MISSING_VALUES), F.col(c)) for c in columns})
+
+
 def read_csv_corpus(
     spark: SparkSession, path: str, columns: Sequence[str], source: str, author: str = "id", text: str = "text"
 ) -> DataFrame:
     """CSV with a header, quoted fields with line breaks and doubled quotes; ``columns`` are all columns of the file.
 
-    Such a file cannot be split, so it is converted once.
+    A field that counts as missing is null. Such a file cannot be split, so it is converted once.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+    rows = _delimited(spark, path, columns)
     return _positioned(rows, author, text, source)
 
 
@@ -104,9 +109,8 @@ def read_tsv_headerless(
 
 
 def read_metadata(spark: SparkSession, path: str, columns: Sequence[str] = METADATA_COLUMNS) -> DataFrame:
-    """Metadata CSV with a header; ``columns`` are all columns of the file."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+    """Metadata CSV with a header; ``columns`` are all columns of the file. A field that counts as missing is null."""
+    rows = _delimited(spark, path, columns)
     return rows.select(*METADATA_COLUMNS)
 
 
@@ -139,17 +143,29 @@ def read_counts(spark: SparkSession, path: str, key: str = "string") -> DataFram
 
 
 def read_counts_json(spark: SparkSession, path: str) -> DataFrame:
-    """``(key, n)`` from one JSON object, for counts made elsewhere."""
+    """``(key, n)`` from lines ``{"key": ..., "n": ...}`` or, for counts made elsewhere, from one JSON object.
+
+    In an object every value is a count, so a text under ``key`` tells the two forms apart.
+    """
+    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.get_json_object("value", "$.n"), F.col("value").rlike(r'"key"\s*:\s*"')).first()
+    if first is None or (first[0] is not None and first[1]):
+        return spark.read.schema("key string, n bigint").json(path)
     parsed = F.from_json("value", "map<string,bigint>")
     return spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("key", "n"))
 
 
 def read_verification_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The four tables ``train_corpus``, ``test_corpus``, ``train_problems`` and ``test_problems``, as CSV with header."""
+    """The four tables ``train_corpus``, ``test_corpus``, ``train_problems`` and ``test_problems``, as CSV with header.
+
+    Columns are found by name, in any order and among others; a missing one is an error.
+    """
     tables = {}
     for part in ("train", "test"):
-        for kind, schema in (("corpus", CORPUS_SCHEMA), ("problems", PROBLEM_SCHEMA)):
+        for kind, columns in (("corpus", CORPUS_COLUMNS), ("problems", PROBLEM_COLUMNS)):
             path = f"{folder.rstrip('/')}/{part}_{kind}.csv"
-            reader = spark.read.schema(schema).option("header", True).option("multiLine", True)
-            tables[f"{part}_{kind}"] = reader.option("quote", '"').option("escape", '"').csv(path)
+            rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+            lacking = [c for c in columns if c not in rows.columns]
+            if lacking:
+                raise ValueError(f"{path} has no column {', '.join(lacking)}")
+            tables[f"{part}_{kind}"] = rows.select(*columns)
     return tables

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-JSON_KEYS = 1_000_000
-
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """A folder of Parquet files; chunks are best partitioned by source, batches by epoch and shard."""
@@ -20,13 +18,9 @@ def write_counts(counts: DataFrame, path: str) -> None:
     counts.where(F.col("n") > 0).select("key", "n").write.mode("overwrite").parquet(path)
 
 
-def write_counts_json(counts: DataFrame, path: str, max_keys: int = JSON_KEYS) -> None:
-    """One JSON object of at most ``max_keys`` keys, for tools that expect one file. A larger table is refused."""
-    n = counts.limit(max_keys + 1).count()
-    if n > max_keys:
-        raise ValueError(f"more than {max_keys} keys; use write_counts")
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col("key").cast("string"), "n")))
-    counts.where(F.col("n") > 0).agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
+def write_counts_json(counts: DataFrame, path: str) -> None:
+    """Lines ``{"key": ..., "n": ...}`` in parallel, without zeros."""
+    counts.where(F.col("n") > 0).select(F.col("key").cast("string").alias("key"), "n").write.mode("overwrite").json(path)
 
 
 def write_predictions_csv(predictions: DataFrame | None, path: str) -> bool:

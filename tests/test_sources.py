@@ -74,8 +74,28 @@ def test_counts(spark, tmp_path):
     want = [("a\"b", 2), ("the", 5)]
     assert rows(I.read_counts(spark, str(tmp_path / "p"))) == sorted(want, key=repr)
     assert rows(I.read_counts_json(spark, str(tmp_path / "j"))) == sorted(want, key=repr)
+    (tmp_path / "one.json").write_text('{"the": 5, "key": 3,\n "n": 1}')
+    assert rows(I.read_counts_json(spark, str(tmp_path / "one.json"))) == [("key", 3), ("n", 1), ("the", 5)]
+    O.write_counts_json(counts.limit(0), str(tmp_path / "none"))
+    assert rows(I.read_counts_json(spark, str(tmp_path / "none"))) == []
+
+
+def test_missing_markers_in_comma_separated_files(spark, tmp_path):
+    (tmp_path / "blogs.csv").write_text('id,text\nNA,first\nann,"second, part"\n')
+    read = I.read_csv_corpus(spark, str(tmp_path / "blogs.csv"), ["id", "text"], "blog")
+    assert rows(read, "author", "text") == sorted([(None, "first"), ("ann", "second, part")], key=repr)
+
+
+def test_verification_columns_are_found_by_name(spark, tmp_path):
+    for part in ("train", "test"):
+        (tmp_path / f"{part}_corpus.csv").write_text('id,text,author,texttype,corpus\n1,"a ""b""\nc",ann,known,c0\n')
+        (tmp_path / f"{part}_problems.csv").write_text("unknown_author,corpus,known_author\nbob,c0,ann\n")
+    tables = I.read_verification_tables(spark, str(tmp_path))
+    assert rows(tables["train_corpus"]) == [("c0", "ann", "known", 'a "b"\nc')]
+    assert rows(tables["test_problems"]) == [("c0", "ann", "bob")]
+    (tmp_path / "test_problems.csv").write_text("corpus,known_author\nc0,ann\n")
     with pytest.raises(ValueError):
-        O.write_counts_json(counts, str(tmp_path / "k"), max_keys=2)
+        I.read_verification_tables(spark, str(tmp_path))
 
 
 def test_empty_predictions_are_not_written(spark, tmp_path):
