@@ -17,6 +17,9 @@ CAPACITY = 4096
 LEAST_HALF = 64
 """Remainders are halved down to pieces of this many tokens; what is left is shorter and is never cut for its class."""
 
+CACHED_WORDS = 400_000
+"""Words whose ids a task remembers: fewer than elsewhere, as packing runs in workers that earlier stages have filled."""
+
 _ROWS = 20_000
 
 
@@ -109,7 +112,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, encoder = HarmonicBins(TaskContext.get().partitionId() << 40, capacity, with_ids), K.encoder(tokenizer)
+        bins, encoder = HarmonicBins(TaskContext.get().partitionId() << 40, capacity, with_ids), K.encoder(tokenizer, cached_words=CACHED_WORDS)
         for rows in batches:
             texts = rows.column(1)
             for a, b in K.slices(texts):

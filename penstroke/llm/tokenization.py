@@ -51,13 +51,14 @@ class TextEncoder:
     ordinary text. A tokenizer of another kind gets whole texts.
     """
 
-    def __init__(self, path: str, spans: bool = False) -> None:
+    def __init__(self, path: str, spans: bool = False, cached_words: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spans, self.form = spans, _form(json.loads(self.tokenizer.to_str()))
+        self.cached_words = cached_words
         self._reset()
 
     def _reset(self) -> None:
@@ -110,7 +111,7 @@ class TextEncoder:
         found = list(map(self.known.get, pieces))
         new = [p for p, at in zip(pieces, found) if at is None]
         if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
+            if len(self.known) + len(new) > self.cached_words:
                 self._reset()
                 new = pieces
             self._learn(new)
@@ -166,14 +167,15 @@ def slices(texts: pa.Array):
     return [(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]
 
 
-_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], TextEncoder] = {}
 
 
-def encoder(path: str, spans: bool = False) -> TextEncoder:
+def encoder(path: str, spans: bool = False, cached_words: int = CACHED_WORDS) -> TextEncoder:
     """One encoder per worker process, so that later tasks find its words."""
-    if (path, spans) not in _ENCODERS:
-        _ENCODERS[path, spans] = TextEncoder(path, spans)
-    return _ENCODERS[path, spans]
+    key = (path, spans, cached_words)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(*key)
+    return _ENCODERS[key]
 
 
 def vocabulary(name: str) -> str:
