@@ -154,8 +154,9 @@ def union_predictions(spark, sf):
 CONV = """conv AS (SELECT 'c' || (conv_id % 4) AS corpus, CAST(conv_id AS VARCHAR) AS author,
   CASE role WHEN 'user' THEN 'known' WHEN 'assistant' THEN 'unknown' ELSE 'other' END AS texttype,
   text, turn AS pos FROM conversations)"""
-PROBLEMS = """problems AS (SELECT 'c' || (c_custkey % 4) AS corpus, CAST(c_custkey % 4 + 4 * c_nationkey AS VARCHAR) AS known_author,
-  CAST(c_custkey % 4 + 4 * ((c_custkey // 4) % 25) AS VARCHAR) AS unknown_author FROM customer)"""
+PROBLEMS = """problems AS (SELECT 'c' || (conv_id % 4) AS corpus, CAST(conv_id AS VARCHAR) AS known_author,
+  CAST(conv_id + 4 * step AS VARCHAR) AS unknown_author
+  FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES (0), (1)) AS t(step))"""
 
 
 @query(

@@ -115,12 +115,13 @@ def conv_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conv_problems(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of conversations of one corpus, one per customer."""
-    key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    return table(spark, sf, "customer").select(
-        F.concat(F.lit("c"), key % 4).alias("corpus"),
-        (key % 4 + 4 * nation).cast("string").alias("known_author"),
-        (key % 4 + 4 * (F.floor(key / 4) % 25)).cast("string").alias("unknown_author"),
+    """Every conversation with itself and with the next one of its corpus, which may be missing."""
+    conv = F.col("conv_id")
+    each = table(spark, sf, "conversations").select("conv_id").distinct()
+    return each.withColumn("step", F.explode(F.array(F.lit(0), F.lit(4)))).select(
+        F.concat(F.lit("c"), conv % 4).alias("corpus"),
+        conv.cast("string").alias("known_author"),
+        (conv + F.col("step")).cast("string").alias("unknown_author"),
     )
 
 

@@ -194,12 +194,12 @@ def shuffle_within_author(spark, sf):
 # --- words, counts, ranks
 
 
-@query("word_runs", f"{WORDS} SELECT source, doc_id, chunk_idx, word_id, word FROM words")
+@query("word_runs", f"{WORDS} SELECT source, author, doc_id, chunk_idx, word_id, word FROM words")
 def word_runs(spark, sf):
     return R.word_runs(*X.packed_chunks(spark, sf))
 
 
-@query("detokenize_words", f"{WORDS}, {Q.CHUNK_KEYS} SELECT source, doc_id, chunk_idx, coalesce(string_agg(word, ' ' ORDER BY word_id), '') AS words"
+@query("detokenize_words", f"{WORDS}, {Q.CHUNK_KEYS} SELECT source, author, doc_id, chunk_idx, coalesce(string_agg(word, ' ' ORDER BY word_id), '') AS words"
        " FROM keys LEFT JOIN words USING (source, author, doc_id, chunk_idx) GROUP BY ALL")
 def detokenize_words(spark, sf):
     words = R.detokenize_words(*X.packed_chunks(spark, sf))
@@ -415,7 +415,7 @@ COLLATED = f"""{RANKS}, {Q.CHUNK_KEYS}, bound AS (SELECT floor(count(*)::DOUBLE
 listed AS (
   SELECT author, source, row_number() OVER (ORDER BY author) - 1 AS label,
     (row_number() OVER (PARTITION BY source ORDER BY author) - 1) % 2 AS shard
-  FROM (SELECT author, arg_min(source, (doc_id, chunk_idx, source)) AS source FROM keys GROUP BY author)
+  FROM (SELECT author, arg_min(source, (doc_id, chunk_idx, source)) AS source FROM keys GROUP BY author HAVING count(*) >= {X.VIEWS})
 ){SHARDED},
 turns AS (
   SELECT l.*, n, n_batches, greatest(1, n // 4) AS per, p.pass, CAST(ceil(4 / n) AS BIGINT) AS repeats
@@ -437,7 +437,7 @@ places AS (
     count(*) OVER (PARTITION BY author) AS n FROM keys
 ),
 content AS (
-  SELECT source, doc_id, chunk_idx,
+  SELECT source, author, doc_id, chunk_idx,
     '0,' || string_agg(CAST(CASE WHEN rank >= threshold AND rank <> -1 THEN 4 ELSE id END AS VARCHAR), ',' ORDER BY pos) || ',2' AS input_ids
   FROM tok JOIN lookup USING (id), bound GROUP BY ALL
 )"""
@@ -447,14 +447,14 @@ content AS (
     "collate_batches",
     f"""{COLLATED} SELECT 0 AS epoch, shard, batch_id, label, b.author, visit, repeated, view, p.source, p.doc_id, p.chunk_idx, input_ids
     FROM batches b, unnest(range({X.VIEWS})) AS v(view)
-    JOIN places p ON p.author = b.author AND p.n >= {X.VIEWS} AND p.place = (b.visit * {X.VIEWS} + v.view) % p.n
-    JOIN content c ON c.source = p.source AND c.doc_id = p.doc_id AND c.chunk_idx = p.chunk_idx""",
+    JOIN places p ON p.author = b.author AND p.place = (b.visit * {X.VIEWS} + v.view) % p.n
+    JOIN content c ON c.source = p.source AND c.author = p.author AND c.doc_id = p.doc_id AND c.chunk_idx = p.chunk_idx""",
 )
 def collate_batches(spark, sf):
     chunks, _, counts, lookup = token_rank_tables(spark, sf)
     ranked = R.attach_token_ranks(chunks, lookup)
     threshold = R.masking_threshold(counts, "percentile", 0.70)
-    members = B.shard_authors(B.label_encode(B.first_source_of_author(chunks)), X.WORLD)
+    members = B.shard_authors(B.label_encode(B.first_source_of_author(C.filter_valid_authors(chunks, X.VIEWS))), X.WORLD)
     batches = B.balanced_batches(members, X.SLOTS, 0, X.SEED)
     rows = B.collate_batches(batches, ranked, X.VIEWS, True, threshold, seed=X.SEED)
     return rows.withColumn("input_ids", X.joined("input_ids"))

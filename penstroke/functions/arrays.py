@@ -66,8 +66,8 @@ def renumber_word_ids(ids: Column | str) -> Column:
 def chunk_words(input_ids: Column | str, word_ids: Column | str, id_to_token: Column) -> Column:
     """Lower-cased words of a chunk, at the index of their chunk-local word id.
 
-    Pieces hold no blanks, so the words are written to one string with a blank before each word and split again:
-    one pass over the tokens, no explode and no shuffle.
+    The words are written to one string with a NUL, which no token holds, before each word and split again: one pass
+    over the tokens, no explode and no shuffle. White space at both ends of a word is dropped.
     """
     input_ids, word_ids = _col(input_ids), _col(word_ids)
 
@@ -75,10 +75,10 @@ def chunk_words(input_ids: Column | str, word_ids: Column | str, id_to_token: Co
         word = F.get(word_ids, i)
         piece = F.get(id_to_token, token)
         goes_on = word.eqNullSafe(F.get(word_ids, i - 1))  # null before the first token
-        return F.when(word < 0, "").when(goes_on, piece).otherwise(F.concat(F.lit(" "), piece))
+        return F.when(word < 0, "").when(goes_on, piece).otherwise(F.concat(F.lit("\x00 "), piece))
 
     def split_line(line):
-        found = F.split(F.lower(F.ltrim(line)), " ")
+        found = F.transform(F.split(F.lower(F.substr(line, F.lit(2))), "\x00"), lambda w: F.btrim(w, F.lit(" \t\n\r\x0b\x0c")))
         return F.when(F.length(line) == 0, F.array().cast("array<string>")).otherwise(found)
 
     return with_value(F.array_join(F.transform(input_ids, written), ""), split_line)

@@ -101,16 +101,19 @@ def collate_batches(
 
     Each epoch puts the chunks of an author in a random order; the v-th visit takes the v-th run of ``n_views``
     places, cyclically. A visit never repeats a chunk, and the join key is (author, place), which is unique, so an
-    author with very many chunks is no hot key. Authors with fewer chunks than views take no part.
+    author with very many chunks is no hot key. A member with fewer chunks than views is an error: such authors are to
+    be kept out before the batches are made.
     """
     if content_masking and threshold is None:
         raise ValueError("masking needs a threshold")
     if content_masking:
         chunks = mask_content(chunks, threshold, mask_id)
-    counts = chunks.groupBy("author").agg(F.count("*").alias("_chunks")).where(F.col("_chunks") >= n_views)
-    place = F.pmod(F.col("visit") * n_views + F.col("view"), F.col("_chunks"))
+    counts = chunks.groupBy("author").agg(F.count("*").alias("_chunks"))
+    short = F.raise_error(F.concat(F.lit("too few chunks for a batch: author "), F.coalesce("author", F.lit("null"))))
+    enough = F.when(F.col("_chunks") >= n_views, F.col("_chunks")).otherwise(short.cast("long"))
+    place = F.pmod(F.col("visit") * n_views + F.col("view"), enough)
     visits = (
-        salted_join(batches, counts, ["author"])
+        salted_join(batches, counts, ["author"], "left")
         .withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(n_views - 1))))
         .withColumn("_place", place)
         .drop("_chunks", "source")
@@ -122,5 +125,5 @@ def collate_batches(
     order = number_by_digest(keys, ["epoch", "author"], [*drawn, "epoch"], drawn, seed, "_rn", hot_rows=hot_rows)
     order = order.withColumn("_place", F.col("_rn").cast("bigint") - 1).drop("_rn")
     chosen = visits.join(order, ["epoch", "author", "_place"]).drop("_place")
-    content = chunks.select("source", *drawn, "input_ids")
-    return chosen.join(content, ["source", *drawn])
+    content = chunks.select("source", "author", *drawn, "input_ids")
+    return chosen.join(content, ["source", "author", *drawn])

@@ -13,7 +13,7 @@ from penstroke.operators.chunking import MASK, PROTECTED_TOKENS, id_to_token
 from penstroke.operators.distributed import global_rank
 
 PROTECTED_RANK = -1
-CHUNK_KEY = ("source", "doc_id", "chunk_idx")
+CHUNK_KEY = ("source", "author", "doc_id", "chunk_idx")
 HEAD_RANKS = 20_000
 """Ranks of the most frequent words that are broadcast; a word past them is too rare to be a hot join key."""
 
@@ -147,9 +147,10 @@ def attach_word_ranks(
         ranked.select(*key, F.struct("word_id", rank.alias("rank")).alias("w"))
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list("w")).alias("_words"))
-        .select(*key, F.col("_words.rank").alias("_by_word"))
+        .select(*(F.col(c).alias(f"_of_{c}") for c in key), F.col("_words.rank").alias("_by_word"))
     )
-    joined = chunks.join(of_chunk, key, "left")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]
+    joined = chunks.join(of_chunk, same, "left")
     written = F.transform(
         "word_ids", lambda w: F.when(w < 0, PROTECTED_RANK).otherwise(F.get(F.col("_by_word"), w.cast("int")))
     )

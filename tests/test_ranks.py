@@ -59,6 +59,17 @@ def test_words(chunks, vocab, counted):
     assert got == want
 
 
+def test_words_of_tokens_with_blanks(spark):
+    tokens = [*C.RESERVED, " new", " york", " ", "s\n"]
+    vocab = spark.createDataFrame(list(enumerate(tokens)), "id int, token string")
+    data = [(a, "packed_nan", "s", 0, [0, *ids, 2], [-1, *w, -1]) for a, ids, w in (("x", [7, 8, 10, 9], [0, 1, 1, 2]), ("y", [8, 8, 8, 7], [0, 1, 2, 3]))]
+    chunks = spark.createDataFrame(data, C.CHUNK_SCHEMA)
+    words = {r.author: r.words for r in R.detokenize_words(chunks, vocab).collect()}
+    assert words == {"x": ["new", "yorks", ""], "y": ["york", "york", "york", "new"]}
+    ranked = R.attach_word_ranks(chunks, R.rank_map(R.count_words(chunks, vocab)), vocab)
+    assert {r.author: r.ranks for r in ranked.collect()} == {"x": [-1, 1, 2, 2, -1, -1], "y": [-1, 0, 0, 0, 1, -1]}
+
+
 def test_count_words(chunks, vocab, counted):
     assert {r.key: r.n for r in R.count_words(chunks, vocab).collect()} == counted[0]
 
