@@ -12,6 +12,7 @@ from penstroke.operators import ranks as R
 from penstroke.operators import reports as P
 from penstroke.operators import sampling as S
 from penstroke.operators.distributed import global_rank
+from penstroke.plans import verification as V
 from penstroke.sources import readers as I
 from penstroke.sources import writers as O
 from penstroke.staging import fresh_path
@@ -319,12 +320,12 @@ def pass_through_documents(spark, sf):
 
 @query(
     "concat_author_texts",
-    f"WITH {CONV} SELECT corpus AS source, author, texttype, string_agg(trim(text), ' ' ORDER BY pos) AS text FROM conv GROUP BY ALL",
+    f"WITH {CONV} SELECT corpus AS source, author, texttype, string_agg('  ' || text || ' ', ' ' ORDER BY pos) AS text FROM conv GROUP BY ALL",
 )
 def concat_author_texts(spark, sf):
-    """All kinds of text of all authors."""
-    texts = X.conv_texts(spark, sf).withColumnRenamed("corpus", "source")
-    packed = D.pack_authors(texts, " ", ["source", "author", "texttype"], "pos")
+    """All kinds of text of all authors, with blanks at both ends, which stay."""
+    texts = X.conv_texts(spark, sf).withColumnRenamed("corpus", "source").withColumn("text", F.concat(F.lit("  "), "text", F.lit(" ")))
+    packed = V.concat_author_texts(texts, keys=["source", "author", "texttype"])
     return packed.select("source", "author", "texttype", "text")
 
 

@@ -34,10 +34,11 @@ def shown(chunks, *columns):
 # --- tokens and vocabulary
 
 
-@query("tokenize", f"{RAW}, {Q.tokens('raw')} SELECT doc_id, string_agg(piece, ' ' ORDER BY place) AS pieces,"
-       " string_agg(CAST(CASE WHEN sep THEN -wi - 1 ELSE wi END AS VARCHAR), ',' ORDER BY place) AS word_at FROM pieces GROUP BY doc_id")
+@query("tokenize", f"{RAW}, {Q.tokens('raw')} SELECT doc_id, coalesce(string_agg(piece, ' ' ORDER BY place), '') AS pieces,"
+       " coalesce(string_agg(CAST(CASE WHEN sep THEN -wi - 1 ELSE wi END AS VARCHAR), ',' ORDER BY place), '') AS word_at"
+       " FROM raw LEFT JOIN pieces USING (doc_id) GROUP BY doc_id")
 def tokenize(spark, sf):
-    words = C.tokenize(X.raw_docs(spark, sf)).where(F.size("words") > 0)
+    words = C.tokenize(X.raw_docs(spark, sf))
     return words.select("doc_id", F.array_join(T.pieces("words"), " ").alias("pieces"), X.joined(T.piece_words("words")).alias("word_at"))
 
 
@@ -54,12 +55,12 @@ def id_to_token(spark, sf):
 
 @query(
     "encode",
-    f"{RAW}, {Q.VOCAB}, {Q.tokens('raw')} SELECT doc_id, string_agg(CAST(coalesce(v.id, 3) AS VARCHAR), ',' ORDER BY place) AS ids"
-    " FROM pieces p LEFT JOIN vocab v ON v.token = p.piece GROUP BY doc_id",
+    f"{RAW}, {Q.VOCAB}, {Q.tokens('raw')} SELECT raw.doc_id, coalesce(string_agg(CAST(coalesce(v.id, 3) AS VARCHAR), ',' ORDER BY place) FILTER (p.piece IS NOT NULL), '') AS ids"
+    " FROM raw LEFT JOIN pieces p ON p.doc_id = raw.doc_id LEFT JOIN vocab v ON v.token = p.piece GROUP BY raw.doc_id",
 )
 def encode(spark, sf):
     docs = C.encode(X.raw_docs(spark, sf), X.vocab(X.raw_docs(spark, sf)))
-    return docs.where(F.size("ids") > 0).select("doc_id", X.joined("ids").alias("ids"))
+    return docs.select("doc_id", X.joined("ids").alias("ids"))
 
 
 # --- chunks

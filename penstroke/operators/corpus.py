@@ -74,15 +74,16 @@ def pack_authors(
     seed: str = "42",
     part_chars: int = PART_CHARS,
     hot_chars: int = HOT_CHARS,
+    trim: bool = True,
 ) -> DataFrame:
     """The packed text of every author in parts of ``part_chars`` characters.
 
-    The parts of an author, joined by ``part``, are its trimmed texts joined by ``separator``. Texts follow each other
+    The parts of an author, joined by ``part``, are its texts, trimmed unless ``trim`` is off, joined by ``separator``. Texts follow each other
     by ``order`` (numeric; default a seeded digest of ``doc_id``); missing texts are skipped. An author whose text is short has one row; a long
     one spreads over rows and tasks, so no row or group grows with the author.
     """
     keys, gap = list(keys), len(separator)
-    texts = docs.withColumn("text", F.trim("text"))
+    texts = docs.withColumn("text", F.trim("text")) if trim else docs
     texts = texts.withColumns({"_n": F.coalesce(F.length("text"), F.lit(0)), "_texts": F.col("text").isNotNull().cast("int")})
     if order is None:
         texts = texts.withColumn("_digest", X.seeded_digest("doc_id", seed=seed))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ from penstroke.staging import stage
 TEXT_KEYS = ("source", "author")
 
 
-def concat_author_texts(texts: DataFrame, order: str = "pos", part_chars: int = D.PART_CHARS, hot_chars: int = D.HOT_CHARS) -> DataFrame:
-    """Texts of an author joined by one blank in row order, in bounded parts; missing texts are skipped."""
-    return D.pack_authors(texts, " ", TEXT_KEYS, order, part_chars=part_chars, hot_chars=hot_chars)
+def concat_author_texts(
+    texts: DataFrame, order: str = "pos", part_chars: int = D.PART_CHARS, hot_chars: int = D.HOT_CHARS, keys: Sequence[str] = TEXT_KEYS
+) -> DataFrame:
+    """Texts of an author as they are, joined by one blank in row order, in bounded parts; missing texts are skipped."""
+    return D.pack_authors(texts, " ", keys, order, part_chars=part_chars, hot_chars=hot_chars, trim=False)
 
 
 def author_vectors(
