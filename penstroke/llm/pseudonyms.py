@@ -13,19 +13,31 @@ KEY = "penstroke"
 
 # What may be private, in the order it is tried at a place in the text.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|(?<=[0-9])(?=[A-Za-z._%+-])|(?<=[A-Z])(?=[._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![0-9A-Za-z.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![0-9A-Za-z]|\.\d)",
     "secret": r"(?<![0-9A-Za-z])(?:(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}|(?=[0-9A-F]{0,63}\d)[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "date": r"(?<![0-9A-Za-z./-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![0-9A-Za-z]|[./-]\d)",
+    "date": r"(?<![0-9A-Za-z./-])(?:\d{4}-\d\d-\d\d(?=T(?![A-Za-z]))|(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![0-9A-Za-z]|[./-]\d))",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d\d-\d{4}(?![0-9A-Za-z]|-\d)",
     "phone": r"(?:(?<![0-9A-Za-z])\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![0-9A-Za-z(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![0-9A-Za-z]|-\d)",
-    "card": r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z]|-\d)",
+    "card": r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
 }
 _ANY = "|".join(KINDS.values())
+_AHEAD = 64
+"""Characters after a match that are kept with it, more than any kind but the first three, which need no second try, is long."""
+
+# Characters of an account number by country, from the register of account number formats.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 _LETTERS, _BASE_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 _DAYS = 146_097  # of 400 years from 1800 on; 189 * 773
 _FIRST_DAY = "1800-01-01"
+_LATE_DAYS = 88_497  # of these the ones after the 12th of a month, which tell that the month comes first; 9 * 9833
+_MONTHS = 4_800
 _PART = 22
 """Digits permuted at once; a longer numeral is permuted part by part."""
 
@@ -143,29 +155,88 @@ def _number(text: Column, separator: str, i: int) -> Column:
 
 def _iso(text: Column) -> Column:
     turned = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2))
-    return F.when(text.rlike("^....-"), text).otherwise(turned)
+    swapped = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2))
+    return F.when(text.rlike("^....-"), text).when(_month_first(text), swapped).otherwise(turned)
+
+
+def _month_first(text: Column) -> Column:
+    """Whether a date with slashes can only be read with the month first: its second number is no month."""
+    return text.contains("/") & (F.substring(text, 4, 2) > "12")
 
 
 def _day(text: Column) -> Column:
     return F.datediff(F.try_to_date(_iso(text), "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date"))
 
 
-def kind_of(match: Column) -> Column:
-    """The first kind that a match has the form of and validates as; null if none."""
-    bare = F.regexp_replace(match, " ", "")
-    area, group, serial = (_number(match, "-", i) for i in range(3))
-    valid = {
-        "iban": _remainder97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1,
-        "date": _day(match).between(0, _DAYS - 1),
-        "ssn": area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0),
-        "card": _let(_only(match, "0-9"), lambda d: _digit_sum(d, 1) % 10 == 0),
+def _late_number(text: Column) -> Column:
+    """The number of a month-first date among the days after the 12th of a month."""
+    month = (F.substring(text, 7, 4).cast("int") - int(_FIRST_DAY[:4])) * 12 + F.substring(text, 1, 2).cast("int")
+    return _day(text) - 12 * month
+
+
+def _late_date(number: Column) -> Column:
+    """The date with this number among the days after the 12th."""
+    first = F.lit(_FIRST_DAY).cast("date")
+    before = lambda k: F.datediff(F.add_months(first, k), first) - 12 * k
+
+    def dated(n: Column) -> Column:
+        near = F.floor(n * _MONTHS / _LATE_DAYS).cast("int")
+        month = F.array_max(F.filter(F.sequence(F.greatest(near - 3, F.lit(0)), near + 3), lambda k: before(k) <= n))
+        return _let(month, lambda k: F.date_add(F.add_months(first, k), (n - before(k) + 12).cast("int")))
+
+    return _let(number, dated)
+
+
+def _longest(match: Column, least: int, valid: Callable[[Column], Column], first: Callable[[Column], Column] | None = None) -> Column:
+    """The longest beginning of a match, cut where letters and digits end, that is ``valid``; one that is ``first``
+    goes before the others. Null if none is."""
+
+    def chosen(m: Column) -> Column:
+        ends = F.filter(F.sequence(F.length(m), F.lit(least), F.lit(-1)), lambda n: F.substr(m, n, F.lit(2)).rlike("^[0-9A-Z](?:[^0-9A-Z]|$)"))
+        good = F.filter(F.transform(ends, lambda n: F.substr(m, F.lit(1), n)), valid)
+        return _let(good, lambda g: F.coalesce(F.get(F.filter(g, first), 0), F.get(g, 0)) if first else F.get(g, 0))
+
+    return F.when(F.length(match) >= least, _let(match, chosen))
+
+
+def _is_card(text: Column) -> Column:
+    return _let(_only(text, "0-9"), lambda d: (F.length(d) >= 13) & (_digit_sum(d, 1) % 10 == 0))
+
+
+def _is_account(text: Column) -> Column:
+    bare = F.regexp_replace(text, " ", "")
+    return _remainder97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1
+
+
+def _has_country_length(text: Column) -> Column:
+    lengths = F.create_map(*(F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)))
+    return F.length(F.regexp_replace(text, " ", "")) == F.try_element_at(lengths, F.substring(text, 1, 2))
+
+
+def found_at(place: Column) -> Column:
+    """``(kind, text)`` of the first kind with a valid value at the second character of ``place``, which is followed by
+    what comes after it in the text; null if none.
+
+    A card or account number that fails as a whole is tried shorter, since it may have taken in what comes after it.
+    """
+
+    def ssn(t: Column) -> Column:
+        area, group, serial = (_number(t, "-", i) for i in range(3))
+        return area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+
+    value = {
+        "iban": lambda t: _longest(t, 12, lambda p: (F.length(F.regexp_replace(p, " ", "")) >= 12) & _is_account(p), _has_country_length),
+        "date": lambda t: F.when(_day(t).between(0, _DAYS - 1), t),
+        "ssn": lambda t: F.when(ssn(t), t),
+        "card": lambda t: _longest(t, 13, _is_card),
     }
-    out = None
-    for kind, form in KINDS.items():
-        test = match.rlike(f"^(?:{form})$")
-        test = test & valid[kind] if kind in valid else test
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out
+
+    def of(kind: str, form: str) -> Column:
+        match = F.nullif(F.regexp_extract(place, f"(?s)^.({form})", 1), F.lit(""))
+        held = value.get(kind, lambda t: t)
+        return _let(match, lambda t: _let(F.when(t.isNotNull(), held(t)), lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("text")))))
+
+    return F.coalesce(*(of(kind, form) for kind, form in KINDS.items()))
 
 
 def _jobs(m: Column) -> Column:
@@ -185,6 +256,7 @@ def _jobs(m: Column) -> Column:
     numeral = F.coalesce(_numeral(digits, 10, tweak), none)
     found = F.when(kind == "ip", _pair("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536))
     found = found.when(kind == "ssn", _pair("ssn", place * 99 + group - 1, serial - 1, 898 * 99, 9999))
+    found = found.when((kind == "date") & _month_first(text), _let(_late_number(text), lambda n: _pair("late date", F.floor(n / 9833), n % 9833, 9, 9833)))
     found = found.when(kind == "date", _let(_day(text), lambda d: _pair("date", F.floor(d / 773), d % 773, _DAYS // 773, 773)))
     found = found.when(kind == "secret", _numeral(F.lower(text), 16, kind))
     return F.coalesce(found.when(kind == "email", F.concat(F.coalesce(letters, none), numeral)).otherwise(numeral), none)
@@ -214,43 +286,67 @@ def _finished(m: Column, done: Column) -> Column:
         lettered = _refill(local, F.translate(F.substr(s, F.lit(1), n), _BASE_26, _LETTERS), F.lit("[A-Za-z]"))
         return F.concat(_refill(lettered, F.substr(s, n + 1, F.length(s)), F.lit("[0-9]")), F.lit("@"), F.substring_index(text, "@", -1))
 
-    out = F.when(kind.isNull(), text).when(kind == "ip", F.concat_ws(".", *(x.cast("string") for x in octets)))
+    out = F.when(kind == "ip", F.concat_ws(".", *(x.cast("string") for x in octets)))
     out = out.when(kind == "ssn", F.format_string("%03d-%02d-%04d", area + (area >= 666).cast("int"), a % 99 + 1, b + 1))
+    out = out.when((kind == "date") & _month_first(text), F.call_function("date_format", _late_date(a * 9833 + b), F.lit("MM/dd/yyyy")))
     out = out.when(kind == "date", F.call_function("date_format", new_day, form))
     return out.when(kind == "email", _let(symbols, email)).otherwise(_let(symbols, numeral))
 
 
-def _replacement(match: Column, key: str) -> Column:
-    """Kind and pseudonym of a match; one that validates as nothing stays and has no kind."""
+def _replacement(place: Column, key: str) -> Column:
+    """Kind, length and pseudonym of the value that starts at a place; null if none is valid there."""
 
     def made(m: Column) -> Column:
         new = _let(_evaluate(_jobs(m), key), lambda done: _finished(m, done))
-        return F.struct(m["kind"].alias("kind"), new.alias("new"))
+        return F.when(m.isNotNull(), F.struct(m["kind"].alias("kind"), F.length(m["text"]).alias("n"), new.alias("new")))
+
+    return _let(found_at(place), made)
+
+
+def _replaced(parts: Column, found: Column) -> Column:
+    """The parts of a text, of which all but the first start at a place, with the values found there replaced, and
+    their kinds. A place within a value that was replaced is passed over."""
+
+    def add(done: Column, x: Column) -> Column:
+        part, m = x["part"], x["found"]
+        n = F.length(part)
+        covered = done["skip"] > 0
+        hit = ~covered & m.isNotNull()
+        over = F.when(covered, done["skip"]).when(hit, m["n"]).otherwise(0)
+        rest = _let(F.struct(part.alias("part"), over.alias("over")), lambda r: F.substr(r["part"], r["over"] + 1, F.length(r["part"])))
+        out = F.concat(done["out"], F.array(F.concat(F.when(hit, m["new"]).otherwise(""), rest)))
+        kinds = F.when(hit, F.concat(done["kinds"], F.array(m["kind"]))).otherwise(done["kinds"])
+        return F.struct(F.greatest(over - n, F.lit(0)).alias("skip"), out.alias("out"), kinds.alias("kinds"))
 
-    return _let(F.struct(match.alias("text"), kind_of(match).alias("kind")), made)
+    pairs = F.zip_with(F.slice(parts, F.lit(2), F.size(parts)), found, lambda p, m: F.struct(p.alias("part"), m.alias("found")))
+    start = F.struct(F.lit(0).alias("skip"), F.array(F.get(parts, 0)).alias("out"), F.array().cast("array<string>").alias("kinds"))
+    return F.aggregate(pairs, start, add)
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", kinds_column: str | None = "private_kinds") -> DataFrame:
     """Replace private values in ``text`` by pseudonyms of the same format; other columns stay.
 
     Numbers are validated first: card numbers by their check digit, bank accounts by theirs, social security numbers
-    and dates by their ranges; one that fails stays, unless another kind fits. A pseudonym depends on the value and
-    the key alone, so equal values stay equal everywhere, and it is valid in the same way. Different values of a kind
-    and format never meet, since every map is a permutation. ``kinds_column`` adds the kinds replaced, in order.
+    and dates by their ranges; one that fails stays, unless another kind fits, or its beginning is valid by itself, or
+    a value that starts further on within it. A pseudonym depends on the value and the key alone, so equal values stay
+    equal everywhere, and it is valid in the same way. Different values of a kind and format never meet, since every
+    map is a permutation. ``kinds_column`` adds the kinds replaced, in order.
 
-    Everything happens in the row: the text is cut at the matches and put together again. A missing text stays
-    missing and has no kinds; an empty text stays empty.
+    Everything happens in the row: the text is cut at all places where a value may start, and put together again. A
+    missing text stays missing and has no kinds; an empty text stays empty.
     """
     value = F.col(text)
     some = value.rlike("[0-9@]")
-    matches = F.when(some, F.regexp_extract_all(value, F.lit(f"({_ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    held = docs.withColumn("__matches", matches)
-    new = F.when(F.size("__matches") > 0, F.transform("__matches", lambda m: _replacement(m, key)))
-    held = held.withColumn("__new", new)
-    between = F.split(value, _ANY, -1)
-    joined = F.array_join(F.zip_with(between, F.concat(F.col("__new.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    result = held.withColumn(text, F.when(F.col("__new").isNotNull(), joined).otherwise(value))
+    # The line feed gives the first place something before it; a cut at the very start would leave no empty part.
+    led = F.concat(F.lit("\n"), value)
+    places = F.when(some, F.regexp_extract_all(led, F.lit(f"(?=((?:{_ANY})[\\s\\S]{{0,{_AHEAD}}}))"), F.lit(1)))
+    held = docs.withColumn("__places", F.coalesce(places, F.array().cast("array<string>")))
+    held = held.withColumn("__parts", F.when(F.size("__places") > 0, F.split(led, f"(?={_ANY})", -1)))
+    before = F.zip_with(F.slice("__parts", F.lit(1), F.size("__places")), "__places", lambda b, p: F.concat(F.substring(b, -1, 1), p))
+    held = held.withColumn("__found", F.transform(before, lambda p: _replacement(p, key)))
+    held = held.withColumn("__new", F.when(F.col("__parts").isNotNull(), _replaced(F.col("__parts"), F.col("__found"))))
+    joined = F.array_join("__new.out", "")
+    result = held.withColumn(text, F.when(F.col("__new").isNotNull(), F.substr(joined, F.lit(2), F.length(joined))).otherwise(value))
     if kinds_column:
-        kinds = F.filter(F.coalesce(F.col("__new.kind"), F.array().cast("array<string>")), lambda k: k.isNotNull())
-        result = result.withColumn(kinds_column, kinds)
-    return result.drop("__matches", "__new")
+        result = result.withColumn(kinds_column, F.coalesce("__new.kinds", F.array().cast("array<string>")))
+    return result.drop("__places", "__parts", "__found", "__new")

@@ -241,3 +241,35 @@ def test_pipeline(spark):
         after = stage(spark, docs, SMALL)
         assert after.columns == docs.columns
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_pseudonyms_of_values_within_longer_matches(spark):
+    card, account = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    cases = [  # the value, what comes before and after it, its kind
+        (card, "", " 123", "card"), (card, "12 ", "", "card"), (card, "", "-123", "card"), (card, "4111-", " 7 9", "card"),
+        (account, "", " IN", "iban"), (account, "", " 2024", "iban"), (account, "", " IN 12 DE", "iban"), ("PL61 1090 1014 0000 0712 1981 2874", "", " EUR", "iban"),
+        ("NO93 8601 1117 947", "", " KR", "iban"), ("12/31/2020", "", "", "date"), ("2020-01-02", "", "T10:00", "date"), ("31/12/2020", "", "", "date"),
+        ("078-05-1120", "4111 ", " 4111 11", "ssn"),
+    ]
+    texts = [f"see {b}{v}{a}, then {b}{v}{a}!" for v, b, a, _ in cases] + [f"4222222222222 {card}", f"{card}-ann@x.com", "13/31/2020 2020-01-02x 2020-01-02Tue"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(docs).collect()}
+    for i, (v, b, a, kind) in enumerate(cases):
+        form = re.sub(r"[0-9]", r"\\d", re.escape(v)) if kind != "iban" else re.sub(r"\d", r"\\d", v)
+        new = re.fullmatch(f"see {re.escape(b)}({form}){re.escape(a)}, then {re.escape(b)}(\\1){re.escape(a)}!", got[i].text)
+        assert new and new[1] != v and got[i].private_kinds == [kind, kind], (texts[i], got[i])
+        if kind == "card":
+            assert luhn(new[1])
+        if kind == "iban":
+            bare = new[1].replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    n = len(cases)
+    assert got[n].private_kinds == ["card", "card"] and got[n + 1].private_kinds == ["card", "email"]
+    assert (got[n + 2].text, got[n + 2].private_kinds) == (texts[n + 2], [])
+
+
+def test_month_first_dates_are_a_permutation(spark):
+    days = spark.range(3000).selectExpr("id as doc_id", "date_format(date_add(date'1996-01-01', cast(id as int)), 'MM/dd/yyyy') as text")
+    days = days.where("substring(text, 4, 2) > '12'")
+    got = pseudonyms.pseudonymize(days)
+    assert got.where("substring(text, 4, 2) > '12' and try_to_date(text, 'MM/dd/yyyy') is not null").select("text").distinct().count() == days.count()
