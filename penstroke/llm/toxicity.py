@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +20,15 @@ from penstroke.staging import stage
 INSULTS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
 
 LABELLED_ROWS = 4_000
-"""Documents per label, and as many of the others, that lexicons and classifier are fitted on."""
+"""Documents per label, and as many of the others, that the classifier is fitted on; weights restore their shares."""
 
 LEAST_DOCUMENTS = 3
+LEAST_SHARE = 3 / 4_000
 LEAST_RATIO = 6.0
-"""A voter takes a term up from this many toxic documents on, if it is this many times likelier there."""
+"""A voter takes a term up from this many toxic documents and this share of them on, if it is this many times likelier there."""
+
+COUNTED_TERMS, COUNTED_ROWS = 300_000, 500
+"""Terms that a task counts before it passes its counts on, and documents that it counts at a time."""
 
 BUCKETS = 1 << 18
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.2, 1.0, 0.5, 0.05
@@ -115,17 +118,55 @@ def votes_of(texts: pa.Array, table: WordTable) -> np.ndarray:
     return out
 
 
-def learn_lexicons(texts: pa.Array, toxic: np.ndarray) -> dict[str, int]:
-    """``term -> voter`` from labelled texts: terms of several toxic texts that are much rarer in the others."""
-    row, word, words = distinct_words(texts)
-    terms = [terms_of(w) for w in words]
-    n = [Counter(), Counter()]
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
-        n[int(toxic[i])].update({t for w in word[bounds[i] : bounds[i + 1]].tolist() for t in terms[w]})
-    share = [(toxic == y).sum() + 1 for y in (0, 1)]
-    likelier = lambda t: ((n[1][t] + 0.5) / share[1]) / ((n[0][t] + 0.5) / share[0])
-    return {t: voter_of(t) for t, k in n[1].items() if k >= LEAST_DOCUMENTS and likelier(t) >= LEAST_RATIO}
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(term, clean, toxic)``: in how many of the texts ``(text, toxic)`` of a task each term occurs, by label. A term
+    may have several rows."""
+    number: dict[str, int] = {}
+    known: dict[str, list[int]] = {}
+    n = np.zeros((2, 0), np.int64)
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(n[0]), pa.array(n[1])], names=["term", "clean", "toxic"])
+
+    for batch in batches:
+        toxic = batch.column(1).to_numpy() > 0
+        for a, b in K.slices(batch.column(0)):
+            row, word, words = distinct_words(batch.column(0).slice(a, b - a))
+            for w in words:
+                if w not in known:
+                    known[w] = [number.setdefault(t, len(number)) for t in terms_of(w)]
+            n = np.pad(n, ((0, 0), (0, len(number) - n.shape[1])))
+            lists = [known[w] for w in words]
+            size = np.array([len(x) for x in lists], np.int64)
+            flat = np.array([t for x in lists for t in x], np.int64)
+            start = np.cumsum(size) - size
+            ends = np.searchsorted(row, np.arange(b - a + 1))
+            for first in range(0, b - a, COUNTED_ROWS):
+                at = slice(ends[first], ends[min(first + COUNTED_ROWS, b - a)])
+                many = size[word[at]]
+                term = flat[np.repeat(start[word[at]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                key = np.unique(np.repeat(row[at], many) * len(number) + term)
+                label = toxic[a + key // len(number)]
+                for y in (0, 1):
+                    n[y] += np.bincount(key[label == y] % len(number), minlength=len(number))
+            if len(number) > COUNTED_TERMS:
+                yield counted()
+                number, known, n = {}, {}, np.zeros((2, 0), np.int64)
+    yield counted()
+
+
+def learn_lexicons(labelled: DataFrame, rows: dict[int, int]) -> dict[str, int]:
+    """``term -> voter`` from all rows ``(text, toxic)``: terms of several toxic texts that are much rarer in the
+    others. ``rows`` counts the rows of each label.
+
+    Only the terms taken up, at most (terms of a toxic document) / ``LEAST_SHARE``, reach the driver.
+    """
+    n = labelled.mapInArrow(count_terms, "term string, clean long, toxic long")
+    n = n.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    toxic, clean = (sum(k for y, k in rows.items() if (y > 0) == of) for of in (True, False))
+    likelier = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
+    found = n.where((F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_SHARE * toxic)) & (likelier >= LEAST_RATIO))
+    return {t: voter_of(t) for t in sorted(r["term"] for r in found.select("term").collect())}
 
 
 @dataclass(frozen=True)
@@ -218,10 +259,10 @@ def _correlation_tree(bits: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndar
     return parent
 
 
-def train_classifier(texts: pa.Array, target: np.ndarray) -> tuple[np.ndarray, float]:
+def train_classifier(texts: pa.Array, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights per hashed term and a bias, by follow-the-regularised-leader on the log loss of soft labels.
 
-    A document's features are, per term, how many of its distinct words have it.
+    A document counts as ``weight`` documents. Its features are, per term, how many of its distinct words have it.
     """
     row, word, words = distinct_words(texts)
     buckets = [np.array([bucket_of(t) for t in terms_of(w)]) for w in words]
@@ -237,9 +278,9 @@ def train_classifier(texts: pa.Array, target: np.ndarray) -> tuple[np.ndarray, f
         at, x = np.unique(np.concatenate(mine), return_counts=True) if mine else (np.empty(0, np.int64), np.empty(0, np.int64))
         cases.append((np.append(at, BUCKETS), np.append(x, 1).astype(float)))
     for _ in range(EPOCHS):
-        for (at, x), y in zip(cases, target.tolist()):
+        for (at, x), y, many in zip(cases, target.tolist(), weight.tolist()):
             w = weights(at)
-            g = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) * x
+            g = many * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
     w = weights(np.arange(BUCKETS + 1))
@@ -267,8 +308,9 @@ def _smallest(rows: DataFrame, by: list[str], n: int) -> DataFrame:
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fit on ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``), both without held-out rows.
 
-    Lexicons and classifier see up to ``LABELLED_ROWS`` documents of each label and as many others, chosen by the
-    digest of their id. The label model sees the votes on all of ``docs``. Ids and other columns are never features.
+    The classifier sees up to ``LABELLED_ROWS`` documents of each label and as many others, chosen by the digest of their
+    id and weighted so that the three have the shares that they have in all of ``docs``. The lexicons count all labelled
+    rows and the label model sees the votes on all of ``docs``. Ids and other columns are never features.
     Without labels only the fixed insults vote. Of several labels of one id the highest counts.
     """
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
@@ -278,18 +320,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     chosen = stage(_smallest(gold, ["toxic"], LABELLED_ROWS).unionByName(others).distinct(), "toxic-chosen")
     sample = stage(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxic-sample")
 
-    def lexicons(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["toxic"] >= 0].sort_values("doc_id", kind="stable")
-        found = learn_lexicons(pa.array(frame["text"], pa.string()), frame["toxic"].to_numpy())
-        return pd.DataFrame({"term": list(found), "voter": list(found.values())})
-
     one = sample.withColumn("all", F.lit(0)).groupBy("all")
-    found = one.applyInPandas(lambda frame: lexicons(frame), "term string, voter int").toPandas()
-    lexicon = dict(zip(found["term"].tolist(), found["voter"].tolist()))
+    rows = {r["toxic"]: r["n"] for r in docs.select("doc_id").join(gold, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    lexicon = learn_lexicons(docs.join(gold, "doc_id").select("text", "toxic"), rows)
 
     voted = stage(docs.select("doc_id", votes(F.col("text"), lexicon, docs).alias("votes")), "votes")
     patterns = voted.join(gold, "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("toxic")).agg(F.count("*").alias("n")).toPandas()
     patterns = patterns.sort_values(["votes", "toxic"])
+    share = patterns.groupby("toxic")["n"].sum() / max(1, patterns["n"].sum())
     model = fit_label_model(patterns["votes"].to_numpy(), patterns["toxic"].to_numpy(), patterns["n"].to_numpy().astype(float))
 
     def classifier(frame: pd.DataFrame) -> pd.DataFrame:
@@ -297,7 +335,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         frame = frame.iloc[np.argsort([zlib.crc32(str(d).encode()) for d in frame["doc_id"]], kind="stable")]
         texts, label = pa.array(frame["text"], pa.string()), frame["toxic"].to_numpy()
         posterior = np.concatenate([np.empty(0), *(model.posterior(votes_of(t, WordTable(lexicon, None))) for t in _slices(texts))])
-        weights, bias = train_classifier(texts, np.where(label >= 0, 0.9 * label + 0.1 * posterior, posterior))
+        weight = frame["toxic"].map(share / frame["toxic"].value_counts(normalize=True)).to_numpy()  # one on average
+        weights, bias = train_classifier(texts, np.where(label >= 0, 0.9 * label + 0.1 * posterior, posterior), weight)
         return pd.DataFrame({"weights": [np.append(weights, bias).astype("<f8").tobytes()]})
 
     trained = one.applyInPandas(lambda frame: classifier(frame), "weights binary").toPandas()
@@ -307,7 +346,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def votes(text: Column, lexicon: dict[str, int], docs: DataFrame) -> Column:
     """The bits of the voters that fire; 0 for a missing text."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the terms of LABELLED_ROWS documents
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the terms of a document / LEAST_SHARE
 
     @F.pandas_udf("long")
     def voted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -273,3 +273,37 @@ def test_month_first_dates_are_a_permutation(spark):
     days = days.where("substring(text, 4, 2) > '12'")
     got = pseudonyms.pseudonymize(days)
     assert got.where("substring(text, 4, 2) > '12' and try_to_date(text, 'MM/dd/yyyy') is not null").select("text").distinct().count() == days.count()
+
+
+def test_toxicity_does_not_depend_on_the_size_of_the_sample(spark, monkeypatch):
+    import pyarrow as pa
+
+    random = np.random.default_rng(0)
+    common, rare, insults = ([f"{k}{i:03d}x" for i in range(n)] for k, n in (("plain", 300), ("odd", 150), ("foul", 40)))
+    toxic = (random.random(1200) < 0.08).astype(int)
+    texts = [" ".join([*random.choice(common, 30), *random.choice(rare, 1), *(random.choice(insults, 2) if y or random.random() < 0.02 else [])]) for y in toxic]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic) if i % 3], "doc_id long, toxic int")
+    labelled = [i for i in range(len(texts)) if i % 3]
+    n = [{}, {}]
+    for i in labelled:
+        for t in {t for w in set(texts[i].split()) for t in toxicity.terms_of(w)}:
+            n[toxic[i]][t] = n[toxic[i]].get(t, 0) + 1
+    share = [sum(toxic[i] == y for i in labelled) + 1 for y in (0, 1)]
+    expected = {t: toxicity.voter_of(t) for t, k in n[1].items() if k >= 3 and ((k + 0.5) / share[1]) / ((n[0].get(t, 0) + 0.5) / share[0]) >= 6}
+    monkeypatch.setattr(toxicity, "COUNTED_TERMS", 100)
+    monkeypatch.setattr(toxicity, "COUNTED_ROWS", 7)
+    batches = [pa.RecordBatch.from_pydict({"text": [texts[i] for i in part], "toxic": [int(toxic[i]) for i in part]}) for part in np.array_split(labelled, 9)]
+    parts = list(toxicity.count_terms(iter(batches)))
+    assert len(parts) > 2 and pa.Table.from_batches(parts).group_by("term").aggregate([]).num_rows == len({*n[0], *n[1]})
+    for y, column in enumerate(("clean", "toxic")):
+        assert {t: sum(k for b in parts for u, k in zip(b["term"].to_pylist(), b[column].to_pylist()) if u == t) for t in list(n[y])[:50]} == {t: n[y][t] for t in list(n[y])[:50]}
+    means, flagged = [], []
+    for rows in (4000, 40):
+        monkeypatch.setattr(toxicity, "LABELLED_ROWS", rows)
+        model = toxicity.fit_toxicity(docs, labels)
+        assert model.lexicon == expected
+        got = docs.select(toxicity.score(F.col("text"), model, docs).alias("s")).agg(F.avg("s"), F.avg((F.col("s") >= 0.5).cast("int"))).first()
+        means.append(got[0])
+        flagged.append(got[1])
+    assert abs(means[0] - means[1]) < 0.05 and abs(flagged[0] - flagged[1]) < 0.05, (means, flagged)
