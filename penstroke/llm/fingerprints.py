@@ -13,7 +13,7 @@ BAND = (0.0005, 0.05)
 """Shares of the documents between which a term's document frequency lies: neither rare nor common."""
 
 SLOTS = 1 << 17
-"""Places of the lexicon table; of terms that meet in one, the one with the smallest hash stays."""
+"""Places of the lexicon table; terms that meet in one are listed there together."""
 
 SUBSETS = 32
 BLOCKS = 200
@@ -29,19 +29,19 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND, slots: int = SLOTS) -> DataFrame:
-    """One row, one array: the hashes of the terms in ``band``, each at its hash modulo ``slots``.
+    """One row, one array of arrays: the sorted hashes of all terms in ``band``, each listed at its hash modulo ``slots``.
 
-    Frequencies count all documents. At most (terms per document) / ``band[0]`` terms can lie in the band, and the
-    table has ``slots`` places whatever the input, so it is safe to send to every task.
+    Frequencies count all documents. At most (terms per document) / ``band[0]`` terms can lie in the band whatever the
+    number of documents, so the table is safe to send to every task. A place without terms is null.
     """
     counted = docs.select(F.explode(term_hashes(F.col(text))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     total = docs.agg(F.count("*").alias("total"))
     low, high = F.greatest(F.lit(2.0), F.col("total") * band[0]), F.greatest(F.lit(2.0), F.col("total") * band[1])
     in_band = counted.withColumn("total", total.scalar()).where((F.col("n") >= low) & (F.col("n") <= high))
-    placed = in_band.groupBy(F.pmod("h", F.lit(slots)).cast("int").alias("slot")).agg(F.min("h").alias("h"))
+    placed = in_band.groupBy(F.pmod("h", F.lit(slots)).cast("int").alias("slot")).agg(F.array_sort(F.collect_list("h")).alias("hs"))
     places = placed.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    listed = F.array_sort(F.collect_list(F.struct("slot", "h")))
-    return places.join(placed, "slot", "left").agg(F.transform(listed, lambda s: s["h"]).alias("table"))
+    listed = F.array_sort(F.collect_list(F.struct("slot", "hs")))
+    return places.join(placed, "slot", "left").agg(F.transform(listed, lambda s: s["hs"]).alias("table"))
 
 
 def _subset_hashes(chosen: Column) -> Column:
@@ -68,7 +68,7 @@ def with_fingerprint(rows: DataFrame, text: str, out: str, table: DataFrame) ->
     held = rows.withColumn("__table", table.scalar())
 
     def kept(b: Column) -> Column:
-        found = F.filter(b["all"], lambda h: F.get(b["table"], F.pmod(h, F.lit(SLOTS)).cast("int")) == h)
+        found = F.filter(b["all"], lambda h: F.array_contains(F.get(b["table"], F.pmod(h, F.lit(SLOTS)).cast("int")), h))
         return _let(found, lambda f: F.array_sort(F.when(F.size(f) > 0, f).otherwise(b["all"])))
 
     bound = F.struct(term_hashes(F.col(text)).alias("all"), F.col("__table").alias("table"))
