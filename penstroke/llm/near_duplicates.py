@@ -23,8 +23,8 @@ TREE_SIZE = 4096
 _HASHES = 1 << 20
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: a 64-bit fingerprint of every text, as a signed long.
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)``: a 64-bit fingerprint of every text, as a signed long; then the long columns ``carried``.
 
     A-Z are lowered and words are runs without ASCII white space. A bit is set if it is set in more than half of the
     hashes of the shingles, repeats included. A text with fewer words than a shingle has one hash; without words, or
@@ -61,9 +61,11 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
                     made.append(flush(hashes, counts))
                     hashes, counts = [], []
             made.append(flush(hashes, counts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(made))], names=["doc_id", "fp"])
+            others = [rows.column(2 + i) for i in range(len(carried))]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(made)), *others], names=["doc_id", "fp", *carried])
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried))
+    return docs.select(F.col(id_column).cast("long"), F.col(text), *carried).mapInArrow(run, schema)
 
 
 class Trees:
@@ -226,9 +228,37 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, id_column: str
     shuffled. An empty table gives no row.
     """
     rows = stage(fingerprints(docs, id_column, text), "simhash")
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    joined = stage(components(links(classes.select("fp"), radius)), "components")
-    lead = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("lead", "fp").alias("lead"))
+    lead = _leads(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), radius)
     first = lead.groupBy("lead").agg(F.min("least").alias("component_id"))
     named = lead.join(first, "lead").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _leads(classes: DataFrame, radius: int) -> DataFrame:
+    """``(fp, least, lead)`` for ``classes`` ``(fp, least)``, one row per fingerprint: ``lead`` names its component."""
+    classes = stage(classes, "simhash-classes")
+    joined = stage(components(links(classes.select("fp"), radius)), "components")
+    return classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("lead", "fp").alias("lead"))
+
+
+def one_of_each_group(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` per group of near copies, found by the row's own fingerprint and not by its id.
+
+    The smallest id stays, one without an id only if no member has one; then the smallest digest of the text, then of
+    the row. The least row of a group is a minimum with partial aggregation, first per fingerprint. Columns stay.
+    """
+    keys = ["__text", "__row"]
+    hashed = {keys[0]: F.xxhash64(text), keys[1]: F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))}
+    marked = docs.withColumns(hashed)
+    rows = stage(fingerprints(marked, id_column, text, tuple(keys)), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *keys)
+    lead = _leads(rows.groupBy("fp").agg(F.min(order).alias("least")), radius)
+    first = stage(lead.groupBy("lead").agg(F.min("least").alias("least")).select(*(f"least.{k}" for k in keys)), "kept-rows")
+    # Most rows stay, so the join is a shuffle at any size that matters; it is one at small sizes as well.
+    found = marked.join(first.hint("merge"), keys, "left_semi")
+    repeated = stage(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated-rows")
+    if repeated.isEmpty():
+        return found.drop(*keys)
+    single = found.join(repeated, keys, "left_anti")
+    several = found.join(repeated, keys, "left_semi").dropDuplicates(keys)
+    return single.unionByName(several).drop(*keys)

@@ -243,6 +243,80 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 
 
+def brute_force_i_match(texts, others):
+    """Fingerprints of ``others`` over the whole lexicon of ``texts``."""
+    terms = lambda t: {xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\W_]+", t.lower())}
+    signed = lambda h: h - (h >> 63 << 64)
+    counts = {}
+    for t in texts:
+        for h in terms(t):
+            counts[h] = counts.get(h, 0) + 1
+    low, high = (max(2.0, len(texts) * b) for b in fingerprints.BAND)
+    lexicon = {h for h, n in counts.items() if low <= n <= high}
+
+    def digest(chosen):
+        out = ""
+        for k in range(fingerprints.SUBSETS):
+            mine, value = sorted(signed(h) for h in chosen if h >> 59 == k), 42
+            for h in mine:
+                value = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), value)
+            out += f"{value & 65535:04X}" if mine else "...."
+        return out
+
+    def one(text):
+        kept = terms(text) & lexicon or terms(text)
+        level = max(0, int(np.ceil(np.log2(len(kept) / fingerprints.SUBSETS)))) if kept else 0
+        at = lambda b: digest([h for h in kept if h >> 24 & ((1 << b) - 1) == 0])
+        return f"{level:02d}" + at(level) + at(level + 1)
+
+    return {signed(h) for h in lexicon}, [one(t) for t in others]
+
+
+def brute_force_likeness(a, b):
+    if a == b:
+        return 1.0
+    levels, half = (int(a[:2]), int(b[:2])), 4 * fingerprints.SUBSETS
+    if abs(levels[0] - levels[1]) > 1:
+        return 0.0
+    from_a, from_b = (2 + half * (levels[0] < levels[1])), (2 + half * (levels[1] < levels[0]))
+    n = 2 * fingerprints.SUBSETS if levels[0] == levels[1] else fingerprints.SUBSETS
+    pairs = [(a[from_a + 4 * k :][:4], b[from_b + 4 * k :][:4]) for k in range(n)]
+    pairs = [p for p in pairs if p != ("....", "....")]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+
+def test_edit_fingerprints_use_every_term_of_the_band(spark, documents):
+    texts = [t or "" for _, t in documents]
+    after = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, after)]
+    lexicon, expected = brute_force_i_match(texts, texts + edited)
+    table = fingerprints.lexicon(spark.createDataFrame([(t,) for t in texts], "text string")).first()["table"]
+    assert sorted(h for place in table for h in place or []) == sorted(lexicon)
+    n = len(texts)
+    for i, r in enumerate(sorted(queries.i_match(spark, SMALL).collect())):
+        assert (r.fingerprint, r.edited_fingerprint) == (expected[i], expected[n + i])
+        assert r.near_edited == pytest.approx(brute_force_likeness(expected[i], expected[n + i]))
+        assert r.near_next == pytest.approx(brute_force_likeness(expected[i], expected[(i + 1) % n]))
+
+
+def test_near_copies_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(hashlib.md5(f"{k}{i}".encode()).hexdigest() for i in range(40)) for k in "abcd")
+    near = a.replace(" ", "\n", 3).upper()  # the same shingles in another text
+    rows = [(None, a, "x"), (7, a, "x"), (None, b, "x"), (None, b.upper(), "x"), (5, c, "x"), (5, c + " ", "x"), (5, near, "x"), (3, d, "x"), (5, d, "y"), (9, None, None), (9, None, None), (9, "", "z"), (9, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for at in (docs, docs.repartition(7)):
+        got = corpus_pipeline.drop_near_copies(spark, at, SMALL)
+        assert got.columns == docs.columns
+        kept = sorted((tuple(r) for r in got.collect()), key=repr)
+        words = lambda t: hashlib.md5(" ".join((t or "").lower().split()).encode()).hexdigest()
+        assert sorted(words(t) for _, t, _ in kept) == sorted({words(t) for _, t, _ in rows})
+        ids = {words(t): i for i, t, _ in kept}
+        assert ids == {words(a): 5, words(b): None, words(c): 5, words(d): 3, words(""): 9}
+        assert all(r in rows for r in kept)
+
+
 def test_pseudonyms_of_values_within_longer_matches(spark):
     card, account = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
     cases = [  # the value, what comes before and after it, its kind
@@ -307,59 +381,3 @@ def test_toxicity_does_not_depend_on_the_size_of_the_sample(spark, monkeypatch):
         means.append(got[0])
         flagged.append(got[1])
     assert abs(means[0] - means[1]) < 0.05 and abs(flagged[0] - flagged[1]) < 0.05, (means, flagged)
-
-
-def brute_force_i_match(texts, others):
-    """Fingerprints of ``others`` over the whole lexicon of ``texts``."""
-    terms = lambda t: {xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\W_]+", t.lower())}
-    signed = lambda h: h - (h >> 63 << 64)
-    counts = {}
-    for t in texts:
-        for h in terms(t):
-            counts[h] = counts.get(h, 0) + 1
-    low, high = (max(2.0, len(texts) * b) for b in fingerprints.BAND)
-    lexicon = {h for h, n in counts.items() if low <= n <= high}
-
-    def digest(chosen):
-        out = ""
-        for k in range(fingerprints.SUBSETS):
-            mine, value = sorted(signed(h) for h in chosen if h >> 59 == k), 42
-            for h in mine:
-                value = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), value)
-            out += f"{value & 65535:04X}" if mine else "...."
-        return out
-
-    def one(text):
-        kept = terms(text) & lexicon or terms(text)
-        level = max(0, int(np.ceil(np.log2(len(kept) / fingerprints.SUBSETS)))) if kept else 0
-        at = lambda b: digest([h for h in kept if h >> 24 & ((1 << b) - 1) == 0])
-        return f"{level:02d}" + at(level) + at(level + 1)
-
-    return {signed(h) for h in lexicon}, [one(t) for t in others]
-
-
-def brute_force_likeness(a, b):
-    if a == b:
-        return 1.0
-    levels, half = (int(a[:2]), int(b[:2])), 4 * fingerprints.SUBSETS
-    if abs(levels[0] - levels[1]) > 1:
-        return 0.0
-    from_a, from_b = (2 + half * (levels[0] < levels[1])), (2 + half * (levels[1] < levels[0]))
-    n = 2 * fingerprints.SUBSETS if levels[0] == levels[1] else fingerprints.SUBSETS
-    pairs = [(a[from_a + 4 * k :][:4], b[from_b + 4 * k :][:4]) for k in range(n)]
-    pairs = [p for p in pairs if p != ("....", "....")]
-    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
-
-
-def test_edit_fingerprints_use_every_term_of_the_band(spark, documents):
-    texts = [t or "" for _, t in documents]
-    after = texts[1:] + texts[:1]
-    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, after)]
-    lexicon, expected = brute_force_i_match(texts, texts + edited)
-    table = fingerprints.lexicon(spark.createDataFrame([(t,) for t in texts], "text string")).first()["table"]
-    assert sorted(h for place in table for h in place or []) == sorted(lexicon)
-    n = len(texts)
-    for i, r in enumerate(sorted(queries.i_match(spark, SMALL).collect())):
-        assert (r.fingerprint, r.edited_fingerprint) == (expected[i], expected[n + i])
-        assert r.near_edited == pytest.approx(brute_force_likeness(expected[i], expected[n + i]))
-        assert r.near_next == pytest.approx(brute_force_likeness(expected[i], expected[(i + 1) % n]))
