@@ -83,9 +83,9 @@ def emb_batches(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.withColumn("batch_id", F.floor(F.col("vec_id") / 100))
 
 
-def emb_part(spark: SparkSession, sf: str, part: int) -> DataFrame:
-    """One of four roles of the embeddings: train known, train unknown, test known, test unknown."""
-    vectors = table(spark, sf, "embeddings").where(F.col("vec_id") % 4 == part)
+def emb_part(spark: SparkSession, sf: str, part: int, parts: int = 2) -> DataFrame:
+    """One role of the embeddings: known and unknown; with four parts train known, train unknown, test known, test unknown."""
+    vectors = table(spark, sf, "embeddings").where(F.col("vec_id") % parts == part)
     return vectors.withColumn("author", F.col("label").cast("string"))
 
 

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penstroke.functions import vectors as V
-from penstroke.operators.distributed import keep_members, salted_join
+from penstroke.operators.distributed import global_rank, keep_members, salted_join
 from penstroke.operators.neighbours import knn1_leave_one_view
 from penstroke.staging import stage
 
 MAX_ITERATIONS = 1000
-ROWS_PER_TASK = 20_000
+TOLERANCE = 1e-9
+"""The largest change of a coefficient, against their size, with which a fit ends."""
+
+STATE_BYTES = 64 << 20
+"""Coefficients that are fitted, and sent to all tasks, at a time."""
+
+MODELS_HELD, SUMS_PER_GROUP = 64, 32
+"""Models whose sums a task holds before it passes them on, and sums of tasks that are added up at a time."""
+
 PREDICTION_COLUMNS = ("known_author", "unknown_author", "corpus", "ground_truth", "predicted", "correct")
 
 
@@ -115,32 +122,134 @@ def verification_features(problems: DataFrame, known: DataFrame, unknown: DataFr
     ).drop("known", "unknown")
 
 
-def fit_verifier(features: DataFrame, max_iter: int = MAX_ITERATIONS) -> LogisticRegressionModel:
-    """Logistic regression with an L2 penalty at C = 1 and balanced class weights n / (2 * n_class).
-
-    The weights add up to n and the solver averages over them, so C = 1 is a penalty of 1 / n.
+def _partial_sums(coefficients: Mapping[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of a task, per model: loss, gradient and Hessian of the weighted log loss at the given coefficients."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            sums = [x.astype("<f8").tobytes() for x in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(sums, pa.binary())], names=["model", "sums"])
+
+        for batch in batches:
+            model, y, weight = (batch.column(c).to_numpy() for c in ("model", "label", "weight"))
+            flat = batch.column("features").flatten().to_numpy().astype(np.float64)
+            x = np.hstack([np.ones((batch.num_rows, 1)), flat.reshape(batch.num_rows, -1)])
+            for m in np.unique(model).tolist():
+                if m not in coefficients:
+                    continue
+                at = model == m
+                xs, ys, ws = x[at], y[at], weight[at]
+                z = xs @ coefficients[m]
+                p = 1 / (1 + np.exp(-z))
+                loss = (ws * np.logaddexp(0, np.where(ys == 1, -z, z))).sum()
+                gradient, hessian = xs.T @ (ws * (p - ys)), (xs * (ws * p * (1 - p))[:, None]).T @ xs
+                sums = np.concatenate([[loss], gradient, hessian.ravel()])
+                held[m] = held[m] + sums if m in held else sums
+                if len(held) > MODELS_HELD:
+                    yield flush()
+                    held = {}
+        if held:
+            yield flush()
+
+    return run
+
+
+def _added_up(frame: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(s, "<f8") for s in frame["sums"].to_pylist())
+    return pa.table({"model": frame["model"][:1], "place": frame["place"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _newton_step(coefficients: Mapping[int, np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+    """The penalised loss of a model at its coefficients, and the step from there to the minimum of its quadratic."""
+
+    def run(frame: pa.Table) -> pa.Table:
+        model = frame["model"][0].as_py()
+        at = coefficients[model]
+        total = sum(np.frombuffer(s, "<f8") for s in frame["sums"].to_pylist())
+        penalty = np.r_[0.0, np.ones(len(at) - 1)]
+        loss = total[0] + 0.5 * (penalty * at * at).sum()
+        gradient = total[1 : len(at) + 1] + penalty * at
+        hessian = total[len(at) + 1 :].reshape(len(at), -1) + np.diag(np.where(penalty > 0, penalty, 1e-12))
+        step = np.linalg.solve(hessian, gradient)
+        return pa.table({"model": [model], "loss": [loss], "step": pa.array([step.tobytes()], pa.binary())})
+
+    return run
+
+
+def _evaluate(rows: DataFrame, coefficients: Mapping[int, np.ndarray], parts: int) -> dict[int, tuple[float, np.ndarray]]:
+    """Loss and Newton step of all models in one job: sums per task, added up in groups of ``SUMS_PER_GROUP``."""
+    sums = rows.mapInArrow(_partial_sums(coefficients), "model long, sums binary")
+    sums = sums.withColumn("place", F.spark_partition_id().cast("long"))
+    while parts > SUMS_PER_GROUP:
+        parts = -(-parts // SUMS_PER_GROUP)
+        sums = sums.withColumn("place", F.pmod("place", F.lit(parts))).groupBy("model", "place")
+        sums = sums.applyInArrow(_added_up, "model long, place long, sums binary")
+    found = sums.groupBy("model").applyInArrow(_newton_step(coefficients), "model long, loss double, step binary")
+    return {r["model"]: (r["loss"], np.frombuffer(r["step"], "<f8")) for r in found.collect()}
+
+
+def fit_verifier(
+    features: DataFrame, max_iter: int = MAX_ITERATIONS, keys: Sequence[str] = ("corpus",), tolerance: float = TOLERANCE
+) -> DataFrame:
+    """One logistic regression per corpus, with an L2 penalty at C = 1 and balanced class weights n / (2 * n_class).
+
+    Result, stored: ``keys``, ``intercept``, ``coefficients``, ``iterations``. A corpus whose pairs are of one class has none.
+
+    All corpora are fitted together by Newton's method: a job adds up gradient and Hessian of every corpus from the
+    rows, on the map side first, and solves for the steps; a step that does not lower the loss is halved. The driver
+    holds the coefficients alone; corpora whose coefficients would pass ``STATE_BYTES`` are fitted in several turns.
     """
-    counts = features.groupBy("label").agg(F.count("*").alias("_of_class"))
-    by_class = {row["label"]: row["_of_class"] for row in counts.collect()}  # two classes, so at most two rows
-    if len(by_class) != 2:
-        raise ValueError("a verifier needs pairs of one author and pairs of two")
-    n = sum(by_class.values())
-    weight = F.when(F.col("label") == 1, n / (2 * by_class[1])).otherwise(n / (2 * by_class[0]))
-    rows = features.select(
-        array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight")
-    )
-    # Every iteration runs one job over the rows, so few rows should not be spread over many tasks.
-    rows = rows.coalesce(max(1, n // ROWS_PER_TASK))
-    solver = LogisticRegression(
-        maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="weight"
-    )
-    return solver.fit(rows)
-
-
-def predict_verifier(model: LogisticRegressionModel, features: DataFrame) -> DataFrame:
-    """``known_author, unknown_author, corpus, ground_truth, predicted, correct``."""
-    vectors = features.withColumn("features", array_to_vector("features")).withColumnRenamed("label", "ground_truth")
-    scored = model.transform(vectors).withColumn("predicted", F.col("prediction").cast("int"))
+    keys, spark = list(keys), features.sparkSession
+    sizes = features.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("_1"), F.count_if(F.col("label") != 1).alias("_0"))
+    both = sizes.where((F.col("_0") > 0) & (F.col("_1") > 0))
+    models = stage(global_rank(both, keys, "model"), "models")
+    n = F.col("_0") + F.col("_1")
+    weight = F.when(F.col("label") == 1, n / (2 * F.col("_1"))).otherwise(n / (2 * F.col("_0")))
+    wanted = salted_join(features.select(*keys, "label", "features"), models, keys)
+    rows = wanted.select("model", (F.col("label") == 1).cast("double").alias("label"), weight.alias("weight"), F.col("features").cast("array<double>").alias("features"))
+    rows = stage(rows, "verifier-rows")
+    width = 1 + (rows.agg(F.max(F.size("features"))).first()[0] or 0)
+    in_turn, n_models = max(1, STATE_BYTES // (8 * width)), models.count()
+    out = None
+    for first in range(0, max(1, n_models), in_turn):
+        last = min(first + in_turn, n_models)
+        of_turn = rows if last - first == n_models else rows.where(F.col("model").between(first, last - 1))
+        fitted = _newton(of_turn, range(first, last), width, max_iter, tolerance)
+        frame = [(m, float(w[0]), [float(v) for v in w[1:]], i) for m, (w, i) in fitted.items()]
+        found = stage(spark.createDataFrame(frame, "model long, intercept double, coefficients array<double>, iterations int"), "coefficients")
+        out = found if out is None else out.unionByName(found)
+    return models.join(out, "model").select(*keys, "intercept", "coefficients", "iterations")
+
+
+def _newton(rows: DataFrame, models: range, width: int, max_iter: int, tolerance: float) -> dict[int, tuple[np.ndarray, int]]:
+    """Coefficients of the models, the intercept first, and how many evaluations each took."""
+    at = {m: np.zeros(width) for m in models}
+    base, done = {}, {}
+    parts = rows.rdd.getNumPartitions() if len(models) else 0
+    for i in range(1, max_iter + 1):
+        if not at:
+            break
+        for m, (loss, step) in _evaluate(rows, at, parts).items():
+            before = base.get(m)
+            if before is not None and loss > before[1] + 1e-12 * abs(before[1]):
+                # The step went too far: half of it from where it started.
+                base[m] = (before[0], before[1], before[2] / 2)
+            else:
+                base[m] = (at[m], loss, step)
+            start, _, taken = base[m]
+            at[m] = start - taken
+            if np.abs(taken).max() <= tolerance * (1 + np.abs(start).max()):
+                done[m] = (at.pop(m), i)
+    return done | {m: (w, max_iter) for m, w in at.items()}
+
+
+def predict_verifier(models: DataFrame, features: DataFrame, keys: Sequence[str] = ("corpus",)) -> DataFrame:
+    """``known_author, unknown_author, corpus, ground_truth, predicted, correct`` of the pairs whose corpus has a model."""
+    joined = salted_join(features, models.select(*keys, "intercept", "coefficients"), list(keys))
+    side = F.col("intercept") + V.dot("features", "coefficients")
+    scored = joined.withColumnRenamed("label", "ground_truth").withColumn("predicted", (side > 0).cast("int"))
     return scored.withColumn("correct", (F.col("predicted") == F.col("ground_truth")).cast("int")).select(*PREDICTION_COLUMNS)
 
 
@@ -152,12 +261,12 @@ def union_predictions(predictions: Sequence[DataFrame]) -> DataFrame:
 
 
 def verify_all_corpora(
-    train: DataFrame, test: DataFrame, corpora: Sequence[str], parallel: int = 4
+    train: DataFrame, test: DataFrame, corpora: Sequence[str]
 ) -> tuple[DataFrame | None, Mapping[str, str]]:
     """Fit and predict per corpus; returns all predictions, and why a corpus was skipped.
 
     ``train`` and ``test`` come from ``verification_features`` and should be stored. Which of the named corpora can be
-    fitted comes from one aggregate per table. ``parallel`` fits run at a time, as the jobs of one fit are short.
+    fitted comes from one aggregate per table. All of them are fitted in the same jobs.
     """
     named = F.col("corpus").isin(*corpora)
     classes = train.where(named).groupBy("corpus").agg(F.count_distinct("label").alias("n"))
@@ -175,7 +284,5 @@ def verify_all_corpora(
             fitted.append(corpus)
     if not fitted:
         return None, skipped
-    with ThreadPoolExecutor(parallel) as pool:
-        models = list(pool.map(lambda c: fit_verifier(corpus_filter(train, c)), fitted))
-    predictions = [predict_verifier(m, corpus_filter(test, c)) for m, c in zip(models, fitted)]
-    return union_predictions(predictions), skipped
+    of_fitted = F.col("corpus").isin(*fitted)
+    return predict_verifier(fit_verifier(train.where(of_fitted)), test.where(of_fitted)), skipped

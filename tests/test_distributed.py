@@ -39,14 +39,38 @@ def test_top_of_a_hot_key(skewed, top):
 def test_hot_key_is_divided(skewed):
     hot = D.hot_keys(skewed, ["k"], 100)
     assert [r.k for r in hot.collect()] == ["hot"]
-    divided = D.divide_hot_keys(skewed, hot, ["k"], "o", 100)
-    sizes = [r["count"] for r in divided.where("_hot").groupBy("_part").count().collect()]
+    ordinary, divided = D.divide_hot_keys(skewed, hot, ["k"], "o", ["id"], 100)
+    sizes = [r["count"] for r in divided.groupBy("_part").count().collect()]
     assert len(sizes) >= 8 and max(sizes) < 400
-    assert divided.where("not _hot and _part <> 0").count() == 0
-    spans = divided.where("_hot").groupBy("_part").agg(F.min("o").alias("a"), F.max("o").alias("b")).orderBy("_part").collect()
+    assert rows(ordinary) == rows(skewed.where("k <> 'hot'"))
+    place = F.struct("o", "id")
+    spans = divided.groupBy("_part").agg(F.min(place).alias("a"), F.max(place).alias("b")).orderBy("_part").collect()
     assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
 
 
+def test_hot_key_in_very_many_parts(skewed):
+    hot = D.hot_keys(skewed, ["k"], 3)
+    _, divided = D.divide_hot_keys(skewed, hot, ["k"], "o", ["id"], 3)
+    assert divided.where("k = 'hot'").select("_part").distinct().count() > 256
+    got = D.number_rows(skewed, ["k"], "o", ["id"], "rn", {"before": "v"}, hot_rows=3)
+    assert rows(got, "id", "rn", "before") == rows(expected(skewed), "id", "rn", "before")
+
+
+def test_more_hot_keys_than_are_kept(skewed, monkeypatch):
+    monkeypatch.setattr(D, "MAX_HOT_KEYS", 2)
+    hot = D.hot_keys(skewed, ["k"], 10)
+    sizes = sorted((r["count"] for r in skewed.groupBy("k").count().collect()), reverse=True)
+    assert sorted((r._n for r in hot.collect()), reverse=True) == sizes[:2]
+    got = D.number_rows(skewed, ["k"], "o", ["id"], "rn", hot_rows=10)
+    assert rows(got, "id", "rn") == rows(expected(skewed), "id", "rn")
+
+
+def test_missing_hot_key(spark, skewed):
+    missing = skewed.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    got = D.number_rows(missing, ["k"], "o", ["id"], "rn", {"before": "v"}, hot_rows=50)
+    assert rows(got, "id", "rn", "before") == rows(expected(skewed), "id", "rn", "before")
+
+
 def test_all_values_of_a_hot_key_equal(spark):
     same = spark.range(500).select(F.lit("k").alias("k"), F.lit(7).cast("bigint").alias("o"), "id")
     got = D.number_rows(same, ["k"], "o", ["id"], "rn", hot_rows=10)
@@ -63,12 +87,41 @@ def test_rank_within(skewed):
     assert rows(got.select("id", (F.col("at") + 1).alias("rn"))) == rows(expected(skewed), "id", "rn")
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join(spark, skewed, how):
     small = spark.createDataFrame([("hot", 1), ("k3", 2), ("other", 3)], "k string, w int")
     assert rows(D.salted_join(skewed, small, ["k"], how)) == rows(skewed.join(small, "k", how))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("columns", [["k"], ["k", "o", "id", "v"]])
+def test_salted_join_of_hot_keys(spark, skewed, how, columns, no_broadcast):
+    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("other", 3)], "k string, w int")
+    large = skewed.select(*columns).unionByName(spark.createDataFrame([(None,)] * 300, "k string"), allowMissingColumns=True)
+    assert rows(D.salted_join(large, small, ["k"], how, hot_rows=200)) == rows(large.join(small, "k", how))
+
+
+@pytest.mark.parametrize("columns", [["k"], ["k", "id"]])
+def test_only_hot_keys_are_copied_and_their_rows_spread(skewed, columns):
+    large, small = skewed.select(*columns), skewed.select("k").distinct()
+    hot, alike = D.heavy_hitters(large, ["k"], 300)
+    assert list(hot.values()) == [1200] and alike == (columns == ["k"])
+    dealt, copied = D.deal_hot_keys(large, small, ["k"], hot, alike, 300)
+    copies = {r.k: r["count"] for r in copied.groupBy("k").count().collect()}
+    assert copies.pop("hot") == 4 and set(copies.values()) == {1}
+    salts = {r["_salt"]: r["count"] for r in dealt.where("k = 'hot'").groupBy("_salt").count().collect()}
+    assert set(salts) == set(range(4)) and max(salts.values()) < 400
+    assert dealt.where("k <> 'hot' and _salt <> 0").count() == 0
+
+
 def test_members(spark, skewed):
     members = spark.createDataFrame([("hot",), ("hot",), ("k3",)], "k string")
     kept, dropped = D.keep_members(skewed, members, ["k"]), D.drop_members(skewed, members, ["k"])

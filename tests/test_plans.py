@@ -68,7 +68,7 @@ def test_top_per_author_is_cut_before_the_shuffle(spark):
 def test_hot_keys_are_shuffled_by_part(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
     assert "hashpartitioning(k#" in plan(D.number_rows(df, ["k"], "o", []))
-    assert re.search(r"hashpartitioning\(k#\d+L?, _part#\d+", plan(D.number_rows(df, ["k"], "o", [], hot_rows=10)))
+    assert re.search(r"hashpartitioning\(_hot#\d+L?, _part#\d+", plan(D.number_rows(df, ["k"], "o", [], hot_rows=10)))
 
 
 def test_ranks_use_ranges(spark, monkeypatch):

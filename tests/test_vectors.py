@@ -30,27 +30,44 @@ def unit(x):
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
-@pytest.mark.parametrize("block_rows", [3, 1000])
-def test_knn(embeddings, data, block_rows):
+@pytest.mark.parametrize("strip_rows", [3, 20, 1000])
+def test_knn(embeddings, data, strip_rows):
     u, want = unit(data), []
     for v in range(VIEWS):
         for a in range(AUTHORS):
             for w in range(VIEWS):
                 if w != v:
                     want.append((v, a * VIEWS + w, a, int(np.argmax(u[:, v] @ u[a, w]))))
-    got = N.knn1_leave_one_view(embeddings, block_rows=block_rows)
+    got = N.knn1_leave_one_view(embeddings, strip_rows=strip_rows)
     assert rows(got, "view", "vec_id", "truth", "pred") == sorted(want, key=repr)
 
 
 def test_knn_ties_go_to_the_lowest_label(spark):
     same = [(i, label, view, [1.0, 0.0]) for i, (label, view) in enumerate((a, v) for a in (4, 2, 9) for v in (0, 1))]
     df = spark.createDataFrame(same, "vec_id bigint, author int, view int, embedding array<double>")
-    assert {r.pred for r in N.knn1_leave_one_view(df, block_rows=1).collect()} == {2}
-
-
-@pytest.mark.parametrize("block_rows", [2, 1000])
-def test_supcon(embeddings, data, block_rows):
-    sims = N.pairwise_similarity(embeddings, label="author", block_rows=block_rows)
+    assert {r.pred for r in N.knn1_leave_one_view(df, strip_rows=1).collect()} == {2}
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_pivots_skip_blocks_and_change_nothing(spark, spread):
+    """Two views of 1200 authors in 8 clusters: the nearest are the same, and tight clusters are skipped."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(8, 5))
+    x = unit(centers[np.arange(2400) % 8] + spread * rng.normal(size=(2400, 5)))
+    place, sim, blocks, skipped = N.nearest_of_run(x[:1200], x[1200:], x[:8])
+    sims = np.round(x[:1200] @ x[1200:].T, 9)
+    assert (place == sims.argmax(axis=1)).all() and (sim == sims.max(axis=1)).all()
+    assert blocks == 100 and (skipped > 50 if spread < 0.1 else skipped >= 0)
+    df = spark.createDataFrame([(i, i % 1200, i // 1200, x[i].tolist()) for i in range(2400)], "vec_id bigint, author int, view int, embedding array<double>")
+    assert rows(N.knn1_leave_one_view(df)) == rows(N.knn1_leave_one_view(df, pivots=0))
+    assert rows(N.knn1_leave_one_view(df, strip_rows=500)) == rows(N.knn1_leave_one_view(df, pivots=0))
+    counted = N.skipped_blocks(df).agg(F.sum("blocks"), F.sum("skipped")).first()
+    assert counted[0] >= 200 and (counted[1] > 0 or spread == 1.0)
+
+
+@pytest.mark.parametrize("strip_rows", [2, 1000])
+def test_supcon(embeddings, data, strip_rows):
+    sims = N.pairwise_similarity(embeddings, label="author", strip_rows=strip_rows)
     got = {r.batch_id: (r.n, r.loss) for r in N.supcon_loss(sims).collect()}
     for batch in range(3):
         authors = np.array([a for a in range(AUTHORS) if a % 3 == batch])
@@ -124,19 +141,52 @@ def features(spark, n, seed, corpus="c"):
     return spark.createDataFrame(out, "corpus string, known_author string, unknown_author string, features array<double>, label int"), x, y
 
 
-def test_verifier_is_at_the_optimum(spark):
-    """The gradient of the penalised, class-balanced loss vanishes."""
-    df, x, y = features(spark, 300, 1)
-    model = E.fit_verifier(df)
-    w, b = model.coefficients.toArray(), model.intercept
-    weight = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum())))
-    residual = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
-    assert np.abs(x.T @ residual + w).max() < 1e-2 and abs(residual.sum()) < 1e-2
-    assert np.abs(x.T @ residual).max() > 1e-2
-    got = E.predict_verifier(model, df)
-    assert got.columns == list(E.PREDICTION_COLUMNS)
-    assert rows(got, "unknown_author", "predicted") == sorted(((f"u{i}", int(p)) for i, p in enumerate(x @ w + b > 0)), key=repr)
-    assert got.where("correct <> cast(predicted = ground_truth as int)").count() == 0
+def newton_by_hand(x, y):
+    """The optimum of the penalised, class-balanced loss, intercept first."""
+    n = len(y)
+    x = np.hstack([np.ones((n, 1)), x])
+    weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    penalty, w = np.r_[0.0, np.ones(x.shape[1] - 1)], np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        gradient = x.T @ (weight * (p - y)) + penalty * w
+        w = w - 0.5 * np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
+    assert np.abs(gradient).max() < 1e-10
+    return w
+
+
+def test_verifiers_are_at_the_optimum(spark, monkeypatch):
+    """Many corpora in the same jobs, one of them separable, over many parts, and in several turns."""
+    made = [features(spark, n, i, f"c{i}") for i, n in enumerate((300, 40, 900))]
+    x = np.r_[np.full((9, 4), -30.0), np.full((9, 4), 30.0)] + np.arange(72).reshape(18, 4)
+    y = np.r_[np.zeros(9, int), np.ones(9, int)]
+    apart = spark.createDataFrame([("apart", f"k{i}", f"u{i}", x[i].tolist(), int(y[i])) for i in range(18)], made[0][0].schema)
+    one_class = made[0][0].where("label = 1").withColumn("corpus", F.lit("flat"))
+    df = made[0][0].unionByName(made[1][0]).unionByName(made[2][0]).unionByName(apart).unionByName(one_class).repartition(7)
+    want = {f"c{i}": newton_by_hand(m[1], m[2]) for i, m in enumerate(made)} | {"apart": newton_by_hand(x, y)}
+    fitted = E.fit_verifier(df)
+    for state_bytes, held, group in ((E.STATE_BYTES, 64, 32), (8 * 5 * 2, 1, 2)):
+        monkeypatch.setattr(E, "STATE_BYTES", state_bytes)
+        monkeypatch.setattr(E, "MODELS_HELD", held)
+        monkeypatch.setattr(E, "SUMS_PER_GROUP", group)
+        fitted = E.fit_verifier(df)
+        got = {r.corpus: np.r_[r.intercept, r.coefficients] for r in fitted.collect()}
+        assert set(got) == set(want)
+        for corpus, w in want.items():
+            assert np.allclose(got[corpus], w, atol=1e-6, rtol=1e-6)
+    predicted = E.predict_verifier(fitted, df)
+    assert predicted.columns == list(E.PREDICTION_COLUMNS)
+    for i, (_, xs, _) in enumerate(made):
+        w = want[f"c{i}"]
+        side = {f"u{j}": int(z > 0) for j, z in enumerate(w[0] + xs @ w[1:])}
+        assert {r.unknown_author: r.predicted for r in predicted.where(f"corpus = 'c{i}'").collect()} == side
+    assert predicted.where("correct <> cast(predicted = ground_truth as int) or corpus = 'flat'").count() == 0
+
+
+def test_no_verifier(spark):
+    df = features(spark, 30, 1)[0]
+    assert E.fit_verifier(df.where("label = 1")).count() == 0
+    assert E.predict_verifier(E.fit_verifier(df.limit(0)), df).count() == 0
 
 
 def test_all_corpora(spark):
