@@ -72,15 +72,26 @@ def read_tsv_headerless(spark, sf):
 
 
 def written_pages(spark, sf):
+    """A folder with a file per page, and one without content."""
     path = fresh_path(spark, "pages")
     pages = X.table(spark, sf, "pages")
     pages.select(F.col("page_id").alias("book"), "html").repartition("book").write.partitionBy("book").text(path)
-    return I.read_text_files(spark, path, r"book=(\d+)/")
+    empty = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/book=999999999999/part.txt")
+    empty.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(empty).close()
+    return path
 
 
-@query("read_text_files", "SELECT CAST(page_id AS VARCHAR) AS id, html || chr(10) AS text FROM pages")
+BOOK = r"book=(\d+)/"
+
+
+@query("read_text_files", "SELECT CAST(page_id AS VARCHAR) AS id, html || chr(10) AS text FROM pages UNION ALL SELECT '999999999999', ''")
 def read_text_files(spark, sf):
-    return written_pages(spark, sf)
+    return I.read_text_files(spark, written_pages(spark, sf), BOOK)
+
+
+@query("list_files", "SELECT CAST(page_id AS VARCHAR) AS id, strlen(html) + 1 AS length FROM pages UNION ALL SELECT '999999999999', 0")
+def list_files(spark, sf):
+    return I.list_files(spark, written_pages(spark, sf), BOOK).select("id", "length")
 
 
 META = "meta AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'a' || (doc_id % 40) AS author, lang AS language FROM documents)"
@@ -102,14 +113,22 @@ def read_metadata(spark, sf):
     return I.read_metadata(spark, path)
 
 
+WITH_FILES = f"""{META}, files AS (SELECT CAST(page_id AS VARCHAR) AS id, html || chr(10) AS text FROM pages UNION ALL SELECT '999999999999', ''),
+listed AS (FROM meta UNION ALL SELECT '999999999999', 'a0', 'en')"""
+
+
+def with_empty_book(spark, sf):
+    """Metadata of all documents, and of the book without content."""
+    return metadata(spark, sf).unionByName(spark.createDataFrame([("999999999999", "a0", "en")], "id string, author string, language string"))
+
+
 @query(
     "join_metadata_files",
-    f"WITH {META} SELECT id, author, language, html AS text, page_id IS NOT NULL AS has_file"
-    " FROM meta LEFT JOIN pages ON CAST(page_id AS VARCHAR) = id",
+    f"WITH {WITH_FILES} SELECT id, author, language, text, files.id IS NOT NULL AS has_file FROM listed LEFT JOIN files USING (id)",
 )
 def join_metadata_files(spark, sf):
-    files = X.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
-    found, missing = I.join_metadata_files(metadata(spark, sf), files)
+    files = I.read_text_files(spark, written_pages(spark, sf), BOOK)
+    found, missing = I.join_metadata_files(with_empty_book(spark, sf), files)
     absent = missing.withColumns({"text": F.lit(None).cast("string"), "has_file": F.lit(False)})
     return found.withColumn("has_file", F.lit(True)).unionByName(absent)
 
@@ -162,26 +181,30 @@ PROBLEMS = """problems AS (SELECT 'c' || (conv_id % 4) AS corpus, CAST(conv_id A
 
 @query(
     "read_verification_tables",
-    f"WITH {CONV}, {PROBLEMS}, parts AS (SELECT 'train' AS part UNION ALL SELECT 'test')"
-    " SELECT part, corpus, author, texttype AS other, text FROM conv, parts"
-    " UNION ALL SELECT part, corpus, known_author, unknown_author, NULL FROM problems, parts",
+    f"WITH {CONV}, {PROBLEMS}, parts AS (SELECT 'train' AS part UNION ALL SELECT 'test'),"
+    " placed AS (SELECT *, row_number() OVER (ORDER BY CAST(author AS BIGINT), pos) - 1 AS place FROM conv)"
+    " SELECT part, corpus, CASE WHEN pos % 5 = 3 THEN NULL ELSE author END AS author, texttype AS other, CASE WHEN pos % 3 = 2 THEN 'nan' ELSE text END AS text,"
+    " place AS pos, part || '_' || place AS doc_id FROM placed, parts"
+    " UNION ALL SELECT part, corpus, known_author, unknown_author, NULL, NULL, NULL FROM problems, parts",
 )
 def read_verification_tables(spark, sf):
+    """Texts in file order, some of them and some authors missing."""
     folder = fresh_path(spark, "verification")
-    texts = X.conv_texts(spark, sf).select("corpus", "author", "texttype", "text")
+    texts = X.conv_texts(spark, sf).orderBy(F.col("author").cast("bigint"), "pos")
+    author, text = F.when(F.col("pos") % 5 == 3, "NA").otherwise(F.col("author")), F.when(F.col("pos") % 3 == 2, "NaN").otherwise(F.col("text"))
+    texts = texts.withColumns({"author": author, "text": text}).select("corpus", "author", "texttype", "text")
     for part in ("train", "test"):
-        texts.write.csv(f"{folder}/{part}_corpus.csv", header=True, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        X.conv_problems(spark, sf).write.csv(f"{folder}/{part}_problems.csv", header=True)
-    tables = I.read_verification_tables(spark, folder)
-    out = None
+        X.write_csv(texts, f"{folder}/{part}_corpus.csv")
+        X.write_csv(X.conv_problems(spark, sf), f"{folder}/{part}_problems.csv")
+    tables, out = I.read_verification_tables(spark, folder), []
     for part in ("train", "test"):
-        rows = tables[f"{part}_corpus"].select(F.lit(part).alias("part"), "corpus", "author", F.col("texttype").alias("other"), "text")
-        pairs = tables[f"{part}_problems"].select(
-            F.lit(part).alias("part"), "corpus", F.col("known_author").alias("author"), F.col("unknown_author").alias("other"), F.lit(None).cast("string").alias("text")
-        )
-        both = rows.unionByName(pairs)
-        out = both if out is None else out.unionByName(both)
-    return out
+        named = F.lit(part).alias("part")
+        out.append(tables[f"{part}_corpus"].select(named, "corpus", "author", F.col("texttype").alias("other"), "text", "pos", "doc_id"))
+        out.append(tables[f"{part}_problems"].select(named, "corpus", F.col("known_author").alias("author"), F.col("unknown_author").alias("other")))
+    first, *others = out
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first
 
 
 # --- schema, ids, filters, cleaning
@@ -432,13 +455,14 @@ def ordered_report(spark, sf):
 
 @query(
     "corpus_coverage_report",
-    f"WITH {META} SELECT count(page_id) AS docs, count(DISTINCT CASE WHEN page_id IS NOT NULL THEN author END) AS authors,"
-    " count(*) - count(page_id) AS missing_docs, count(DISTINCT CASE WHEN page_id IS NULL THEN author END) AS missing_authors"
-    " FROM meta LEFT JOIN pages ON CAST(page_id AS VARCHAR) = id WHERE language = 'en'",
+    f"WITH {WITH_FILES} SELECT count(files.id) AS docs, count(DISTINCT CASE WHEN files.id IS NOT NULL THEN author END) AS authors,"
+    " count(*) - count(files.id) AS missing_docs, count(DISTINCT CASE WHEN files.id IS NULL THEN author END) AS missing_authors"
+    " FROM listed LEFT JOIN files USING (id) WHERE language = 'en'",
 )
 def corpus_coverage_report(spark, sf):
-    files = X.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"))
-    return P.corpus_coverage_report(D.filter_language(metadata(spark, sf), "en"), files)
+    """From the listing of the files alone."""
+    files = I.list_files(spark, written_pages(spark, sf), BOOK).select("id")
+    return P.corpus_coverage_report(D.filter_language(with_empty_book(spark, sf), "en"), files)
 
 
 @query("valid_author_ids", "SELECT label, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) >= 50")

@@ -114,17 +114,22 @@ def conv_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def conv_problems(spark: SparkSession, sf: str) -> DataFrame:
-    """Every conversation with itself and with the next one of its corpus, which may be missing."""
+def conv_problems(spark: SparkSession, sf: str, apart: int = 4) -> DataFrame:
+    """Every conversation with itself and with a later one of its corpus, which may be missing."""
     conv = F.col("conv_id")
     each = table(spark, sf, "conversations").select("conv_id").distinct()
-    return each.withColumn("step", F.explode(F.array(F.lit(0), F.lit(4)))).select(
+    return each.withColumn("step", F.explode(F.array(F.lit(0), F.lit(apart)))).select(
         F.concat(F.lit("c"), conv % 4).alias("corpus"),
         conv.cast("string").alias("known_author"),
         (conv + F.col("step")).cast("string").alias("unknown_author"),
     )
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """With a header, every field quoted, in the order of the rows."""
+    df.write.csv(path, header=True, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of documents: quality as the truth, toxic as the prediction."""
     return table(spark, sf, "labels").select(

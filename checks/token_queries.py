@@ -1,5 +1,7 @@
 """Tokens, chunks, counts, ranks and batches."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ def chunk_packed(spark, sf):
 
 
 DOC_TOKENS = f"""{RAW}, {Q.VOCAB}, {Q.tokens("raw")}, {Q.chunked("pieces", "alltok")},
-lasts AS (SELECT doc_id, max(chunk_idx) AS last FROM alltok GROUP BY doc_id)"""
+lasts AS (SELECT doc_id, max(chunk_idx) AS last FROM alltok GROUP BY doc_id),
+empties AS (SELECT source, author, doc_id, 0 AS chunk_idx FROM raw WHERE len(regexp_extract_all(text, '{Q.WORD}')) = 0)"""
 
 
 @query("chunk_tokens", f"{DOC_TOKENS} SELECT source, author, doc_id, chunk_idx, {Q.ARRAYS} FROM alltok WHERE size = {Q.PAYLOAD} GROUP BY ALL")
@@ -89,11 +92,12 @@ def keep_full_chunks(spark, sf):
 @query(
     "drop_edge_chunks",
     f"{DOC_TOKENS} SELECT source, author, doc_id, chunk_idx, count(*) AS n_tokens FROM alltok JOIN lasts USING (doc_id)"
-    " WHERE source <> 'en' OR (chunk_idx > 0 AND chunk_idx < last) GROUP BY ALL",
+    " WHERE source <> 'en' OR (chunk_idx > 0 AND chunk_idx < last) GROUP BY ALL"
+    " UNION ALL SELECT *, 0 FROM empties WHERE source <> 'en'",
 )
 def drop_edge_chunks(spark, sf):
     chunks = C.chunk_documents(X.encoded(X.raw_docs(spark, sf)), X.LENGTH)
-    inner = C.drop_edge_chunks(chunks, ["en"]).where(F.size("input_ids") > 2)
+    inner = C.drop_edge_chunks(chunks, ["en"])
     return inner.select(*KEY, (F.size("input_ids") - 2).alias("n_tokens"))
 
 
@@ -103,23 +107,24 @@ def drop_edge_chunks(spark, sf):
        '0,' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) || ',2' || repeat(',1', {Q.PAYLOAD} - count(*)) AS input_ids,
        '-1,' || string_agg(CAST(word_id AS VARCHAR), ',' ORDER BY pos) || ',-1' || repeat(',-1', {Q.PAYLOAD} - count(*)) AS word_ids,
        rtrim(repeat('1,', count(*) + 2) || repeat('0,', {Q.PAYLOAD} - count(*)), ',') AS attention_mask
-       FROM alltok GROUP BY ALL""",
+       FROM alltok GROUP BY ALL
+       UNION ALL SELECT *, '0,2' || repeat(',1', {Q.PAYLOAD}), '-1,-1' || repeat(',-1', {Q.PAYLOAD}), '1,1' || repeat(',0', {Q.PAYLOAD}) FROM empties""",
 )
 def chunk_tokens_keep_tail(spark, sf):
     chunks = C.chunk_tokens_keep_tail(X.encoded(X.raw_docs(spark, sf)), X.LENGTH)
-    filled = chunks.where(F.exists("word_ids", lambda w: w >= 0) | (F.size(F.filter("attention_mask", lambda m: m == 1)) > 2))
-    return shown(filled, "input_ids", "word_ids", "attention_mask")
+    return shown(chunks, "input_ids", "word_ids", "attention_mask")
 
 
 @query(
     "attention_mask",
-    f"{DOC_TOKENS} SELECT source, author, doc_id, chunk_idx, count(*) + 2 AS n_real, {Q.PAYLOAD} - count(*) AS n_padding FROM alltok GROUP BY ALL",
+    f"{DOC_TOKENS} SELECT source, author, doc_id, chunk_idx, count(*) + 2 AS n_real, {Q.PAYLOAD} - count(*) AS n_padding FROM alltok GROUP BY ALL"
+    f" UNION ALL SELECT *, 2, {Q.PAYLOAD} FROM empties",
 )
 def attention_mask(spark, sf):
     chunks = C.chunk_tokens_keep_tail(X.encoded(X.raw_docs(spark, sf)), X.LENGTH)
     mask = A.attention_mask("input_ids", C.PAD)
     ones = F.aggregate(mask, F.lit(0).cast("tinyint"), lambda s, m: (s + m).cast("tinyint")).cast("int")
-    return chunks.select(*KEY, ones.alias("n_real"), (F.size(mask) - ones).alias("n_padding")).where("n_real > 2")
+    return chunks.select(*KEY, ones.alias("n_real"), (F.size(mask) - ones).alias("n_padding"))
 
 
 @query(
@@ -127,10 +132,10 @@ def attention_mask(spark, sf):
     f"{CHUNKS} SELECT source, author, doc_id, chunk_idx, '-1,' || string_agg(CAST(word_id AS VARCHAR), ',' ORDER BY pos) || ',-1' AS word_ids FROM tok GROUP BY ALL",
 )
 def local_word_ids(spark, sf):
-    """Renumbering word ids made sparse on purpose gives the chunk's own ids back."""
+    """Numbers that run on from chunk to chunk, as in a packed text, give the chunk's own ids."""
     chunks = X.packed_chunks(spark, sf)[0]
-    sparse = F.transform("word_ids", lambda w: F.when(w >= 0, w.cast("bigint") * 3 + 7))
-    return chunks.select(*KEY, X.joined(A.renumber_word_ids(sparse)).alias("word_ids"))
+    running = F.transform("word_ids", lambda w: F.when(w >= 0, w.cast("bigint") + F.col("chunk_idx") * 1000))
+    return chunks.select(*KEY, X.joined(A.local_word_ids(running)).alias("word_ids"))
 
 
 @query("read_chunks", f"{KEYS} SELECT author, doc_id, chunk_idx FROM keys")
@@ -140,6 +145,58 @@ def read_chunks(spark, sf):
     return I.read_chunks(spark, path, ["author", "doc_id", "chunk_idx"])
 
 
+@query("read_corpora", f"{KEYS} SELECT author, doc_id, chunk_idx, source FROM keys WHERE source IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) < 0.2 * (SELECT count(*) FROM documents))")
+def read_corpora(spark, sf):
+    """Of chunks in folders by corpus, those of the corpora with less than a fifth of the documents."""
+    path = fresh_path(spark, "chunks")
+    O.write_parquet(X.packed_chunks(spark, sf)[0], path, ["source"])
+    docs = X.table(spark, sf, "documents")
+    sizes = docs.groupBy(F.col("lang").alias("source")).agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") < 0.2 * docs.agg(F.count("*")).scalar())
+    return I.read_corpora(spark, path, small, ["author", "doc_id", "chunk_idx"])
+
+
+# A user's tokenizer: a word between blanks or line ends is one token, named by its length.
+USER_IDS = f"""{RAW}, user_words AS (
+  SELECT source, author, doc_id, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS place FROM (SELECT *, regexp_extract_all(text, '[^ \n]+') AS l FROM raw)
+), user_tokens AS (SELECT *, 7 + length(w) % 50 AS id, place // {Q.PAYLOAD} AS chunk_idx, count(*) OVER (PARTITION BY doc_id, place // {Q.PAYLOAD}) AS size FROM user_words)"""
+
+
+def length_tokenizer():
+    """Stands for a tokenizer that is loaded once per task."""
+    word = re.compile(r"[^ \n]+")
+
+    def encode(texts):
+        return [([7 + len(w) % 50 for w in words], list(range(len(words)))) for words in map(word.findall, texts)]
+
+    return encode
+
+
+def user_encoded(spark, sf):
+    return C.encode_with(X.raw_docs(spark, sf), length_tokenizer)
+
+
+@query(
+    "encode_with",
+    f"{USER_IDS} SELECT raw.doc_id, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY place), '') AS ids, count(id) AS n_tokens"
+    " FROM raw LEFT JOIN user_tokens u ON u.doc_id = raw.doc_id GROUP BY raw.doc_id",
+)
+def encode_with(spark, sf):
+    return user_encoded(spark, sf).select("doc_id", X.joined("ids").alias("ids"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
+
+
+@query(
+    "user_token_ranks",
+    f"{USER_IDS}, counted AS (SELECT id AS key, count(*) AS n FROM user_tokens WHERE size = {Q.PAYLOAD} GROUP BY id)"
+    " SELECT key, n, row_number() OVER (ORDER BY n DESC, key) - 1 AS rank FROM counted",
+)
+def user_token_ranks(spark, sf):
+    """A user's tokenizer from text to chunks, counts and ranks."""
+    chunks = C.chunk_tokens(user_encoded(spark, sf), X.LENGTH)
+    tokens = [*C.RESERVED, *(f"length {i}" for i in range(50))]
+    return R.rank_map(R.count_tokens(chunks, spark.createDataFrame(list(enumerate(tokens)), "id int, token string")))
+
+
 COUNTED = "(SELECT author FROM keys GROUP BY author HAVING count(*) >= 200)"
 
 
@@ -184,6 +241,18 @@ def union_corpora(spark, sf):
     return shown(P.chunk_corpora(docs, X.SETTINGS, X.vocab(docs), X.LENGTH, seed=X.SEED), "input_ids", "word_ids")
 
 
+APART = f"""{CORPORA}, valid_apart AS (
+  SELECT source, author FROM (SELECT DISTINCT author, source, doc_id, chunk_idx FROM tok) GROUP BY ALL HAVING count(*) >= 16
+)"""
+
+
+@query("chunk_corpora_apart", f"{APART} SELECT source, author, doc_id, chunk_idx, {Q.ARRAYS} FROM tok JOIN valid_apart USING (source, author) GROUP BY ALL")
+def chunk_corpora_apart(spark, sf):
+    """The same, where an author needs enough chunks in each corpus by itself."""
+    docs = X.raw_docs(spark, sf)
+    return shown(P.chunk_corpora(docs, X.SETTINGS, X.vocab(docs), X.LENGTH, unify=False, seed=X.SEED), "input_ids", "word_ids")
+
+
 @query(
     "shuffle_within_author",
     f"{KEYS} SELECT *, row_number() OVER (PARTITION BY source, author ORDER BY md5(doc_id || ':' || chunk_idx || '{X.SEED}'), doc_id, chunk_idx) AS chunk_rn FROM keys",
@@ -253,9 +322,15 @@ def rank_map_top_k(spark, sf):
     return R.rank_map_top_k(R.count_words(*X.packed_chunks(spark, sf)), 1000)
 
 
-@query("threshold_top_k", f"{COUNTS} SELECT CAST(max(1000) AS INTEGER) AS threshold FROM tcounts")
+@query(
+    "threshold_top_k",
+    f"{RANKS} SELECT source, author, doc_id, chunk_idx, '0,' || string_agg(CAST(CASE WHEN rank >= 1000 AND rank <> -1 THEN 4 ELSE id END AS VARCHAR), ',' ORDER BY pos) || ',2' AS input_ids"
+    " FROM tok JOIN lookup USING (id) GROUP BY ALL",
+)
 def threshold_top_k(spark, sf):
-    return R.masking_threshold(R.count_tokens(*X.packed_chunks(spark, sf)), "top_k", 1000)
+    """Masking with the threshold that is the number itself; the counts are read for the ranks alone."""
+    chunks, _, counts, lookup = token_rank_tables(spark, sf)
+    return shown(R.mask_content(R.attach_token_ranks(chunks, lookup), R.masking_threshold(counts, "top_k", 1000)), "input_ids")
 
 
 @query("threshold_percentile", f"{COUNTS} SELECT CAST(floor(count(*)::DOUBLE * 0.7::DOUBLE) AS INTEGER) AS threshold FROM tcounts")
@@ -301,10 +376,10 @@ ranked AS (
 )"""
 
 
-def word_ranked(spark, sf):
+def word_ranked(spark, sf, **kwargs):
     chunks, vocab = X.stored_chunks(spark, sf)
-    ranks = R.rank_map_top_k(R.count_words(chunks, vocab), 2000)
-    return R.attach_word_ranks(chunks, ranks, vocab, head_ranks=500)
+    ranks = stage(R.rank_map_top_k(R.count_words(chunks, vocab), 2000), "word-ranks")
+    return R.attach_word_ranks(chunks, ranks, vocab, head_ranks=500, **kwargs)
 
 
 @query(
@@ -312,10 +387,19 @@ def word_ranked(spark, sf):
     f"{WORD_RANKS} SELECT source, author, doc_id, chunk_idx, '-1,' || string_agg(CAST(rank AS VARCHAR), ',' ORDER BY pos) || ',-1' AS ranks FROM ranked GROUP BY ALL",
 )
 def attach_word_ranks(spark, sf):
-    """Ranks of the 2000 most frequent words; the first 500 go by broadcast, the others by shuffle."""
+    """Ranks of the 2000 most frequent words, looked up in the row."""
     return shown(word_ranked(spark, sf), "ranks")
 
 
+@query(
+    "join_word_ranks",
+    f"{WORD_RANKS} SELECT source, author, doc_id, chunk_idx, '-1,' || string_agg(CAST(rank AS VARCHAR), ',' ORDER BY pos) || ',-1' AS ranks FROM ranked GROUP BY ALL",
+)
+def join_word_ranks(spark, sf):
+    """The same as for a table too large for a task: the first 500 go by broadcast, the others by shuffle."""
+    return shown(word_ranked(spark, sf, table_bytes=0), "ranks")
+
+
 @query(
     "content_mask",
     f"""{RANKS}, bound AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM tcounts)
@@ -412,30 +496,34 @@ def shuffle_batch(spark, sf):
 
 
 # Batches over the chunk authors, by their first corpus; corpora with fewer authors than slots repeat them.
-COLLATED = f"""{RANKS}, {Q.CHUNK_KEYS}, bound AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM tcounts),
+def collated(*epochs):
+    return f"""{RANKS}, {Q.CHUNK_KEYS}, bound AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM tcounts),
 listed AS (
   SELECT author, source, row_number() OVER (ORDER BY author) - 1 AS label,
     (row_number() OVER (PARTITION BY source ORDER BY author) - 1) % 2 AS shard
   FROM (SELECT author, arg_min(source, (doc_id, chunk_idx, source)) AS source FROM keys GROUP BY author HAVING count(*) >= {X.VIEWS})
 ){SHARDED},
 turns AS (
-  SELECT l.*, n, n_batches, greatest(1, n // 4) AS per, p.pass, CAST(ceil(4 / n) AS BIGINT) AS repeats
-  FROM listed l JOIN sizes USING (shard, source) JOIN batches_of USING (shard),
+  SELECT l.*, e.epoch, n, n_batches, greatest(1, n // 4) AS per, p.pass, CAST(ceil(4 / n) AS BIGINT) AS repeats
+  FROM listed l JOIN sizes USING (shard, source) JOIN batches_of USING (shard), unnest({list(epochs)}) AS e(epoch),
     unnest(range(CAST(ceil(n_batches / greatest(1, n // 4)) AS BIGINT))) AS p(pass)
 ),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY shard, source, pass ORDER BY md5(author || ':' || pass || ':0{X.SEED}'), author) - 1 AS place FROM turns
+  SELECT *, row_number() OVER (PARTITION BY epoch, shard, source, pass ORDER BY md5(author || ':' || pass || ':' || epoch || '{X.SEED}'), author) - 1 AS place FROM turns
 ),
 seated AS (
   SELECT *, s.seat FROM placed, unnest(CASE WHEN n >= 4 THEN [place] ELSE range(place, 4, n) END) AS s(seat)
 ),
 batches AS (
-  SELECT shard, pass * per + seat // 4 AS batch_id, source, author, label, pass * repeats + seat // n AS visit, seat >= n AS repeated
+  SELECT epoch, shard, pass * per + seat // 4 AS batch_id, source, author, label, pass * repeats + seat // n AS visit, seat >= n AS repeated
   FROM seated WHERE seat // 4 < per AND pass * per + seat // 4 < n_batches
 ),
+shuffled AS (
+  SELECT *, row_number() OVER (PARTITION BY epoch, shard, batch_id ORDER BY md5(author || ':' || batch_id || ':' || epoch || ':' || visit || '{X.SEED}'), author, visit) AS position FROM batches
+),
 places AS (
-  SELECT *, row_number() OVER (PARTITION BY author ORDER BY md5(doc_id || ':' || chunk_idx || ':0{X.SEED}'), doc_id, chunk_idx) - 1 AS place,
-    count(*) OVER (PARTITION BY author) AS n FROM keys
+  SELECT *, row_number() OVER (PARTITION BY epoch, author ORDER BY md5(doc_id || ':' || chunk_idx || ':' || epoch || '{X.SEED}'), doc_id, chunk_idx) - 1 AS place,
+    count(*) OVER (PARTITION BY epoch, author) AS n FROM keys, unnest({list(epochs)}) AS e(epoch)
 ),
 content AS (
   SELECT source, author, doc_id, chunk_idx,
@@ -446,37 +534,75 @@ content AS (
 
 @query(
     "collate_batches",
-    f"""{COLLATED} SELECT 0 AS epoch, shard, batch_id, label, b.author, visit, repeated, view, p.source, p.doc_id, p.chunk_idx, input_ids
+    f"""{collated(0)} SELECT b.epoch, shard, batch_id, label, b.author, visit, repeated, view, p.source, p.doc_id, p.chunk_idx, input_ids
     FROM batches b, unnest(range({X.VIEWS})) AS v(view)
-    JOIN places p ON p.author = b.author AND p.place = (b.visit * {X.VIEWS} + v.view) % p.n
+    JOIN places p ON p.epoch = b.epoch AND p.author = b.author AND p.place = (b.visit * {X.VIEWS} + v.view) % p.n
     JOIN content c ON c.source = p.source AND c.author = p.author AND c.doc_id = p.doc_id AND c.chunk_idx = p.chunk_idx""",
 )
 def collate_batches(spark, sf):
     chunks, _, counts, lookup = token_rank_tables(spark, sf)
     ranked = R.attach_token_ranks(chunks, lookup)
     threshold = R.masking_threshold(counts, "percentile", 0.70)
-    members = B.shard_authors(B.label_encode(B.first_source_of_author(C.filter_valid_authors(chunks, X.VIEWS))), X.WORLD)
-    batches = B.balanced_batches(members, X.SLOTS, 0, X.SEED)
+    batches = stage(B.balanced_batches(P.training_members(chunks, X.VIEWS, X.WORLD), X.SLOTS, 0, X.SEED), "batches")
     rows = B.collate_batches(batches, ranked, X.VIEWS, True, threshold, seed=X.SEED)
     return rows.withColumn("input_ids", X.joined("input_ids"))
 
 
+@query(
+    "training_batches",
+    f"""{collated(0, 1)} SELECT b.epoch, shard, batch_id, position, label, b.author, visit, repeated, view, p.source, p.doc_id, p.chunk_idx, input_ids
+    FROM shuffled b, unnest(range({X.VIEWS})) AS v(view)
+    JOIN places p ON p.epoch = b.epoch AND p.author = b.author AND p.place = (b.visit * {X.VIEWS} + v.view) % p.n
+    JOIN content c ON c.source = p.source AND c.author = p.author AND c.doc_id = p.doc_id AND c.chunk_idx = p.chunk_idx""",
+)
+def training_batches(spark, sf):
+    """The input of two epochs, written by epoch and shard and read back shard by shard."""
+    chunks, _, counts, lookup = token_rank_tables(spark, sf)
+    path, epochs = fresh_path(spark, "training-batches"), (0, 1)
+    masking = {"content_masking": True, "threshold": R.masking_threshold(counts, "percentile", 0.70)}
+    members = P.training_members(chunks, X.VIEWS, X.WORLD)
+    P.write_training_batches(members, R.attach_token_ranks(chunks, lookup), path, epochs, X.SLOTS, X.VIEWS, X.SEED, **masking)
+    read = D.union_corpora([P.read_training_batches(spark, path, e, w) for e in epochs for w in range(X.WORLD)])
+    return read.withColumn("input_ids", X.joined("input_ids"))
+
+
+@query(
+    "validation_batches",
+    f"""{RANKS}, {Q.CHUNK_KEYS}, bound AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM tcounts),
+    content AS (
+      SELECT source, author, doc_id, chunk_idx,
+        '0,' || string_agg(CAST(CASE WHEN rank >= threshold AND rank <> -1 THEN 4 ELSE id END AS VARCHAR), ',' ORDER BY pos) || ',2' AS input_ids
+      FROM tok JOIN lookup USING (id), bound GROUP BY ALL
+    ), views AS ({views_sql(0)}),
+    kept AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS label FROM keys GROUP BY author HAVING count(*) >= {X.VIEWS})
+    SELECT author, source, doc_id, chunk_idx, view, label, label // 8 AS batch_id, label % 8 AS position, input_ids
+    FROM views JOIN kept USING (author) JOIN content USING (source, author, doc_id, chunk_idx)""",
+)
+def validation_batches(spark, sf):
+    chunks, _, counts, lookup = token_rank_tables(spark, sf)
+    threshold = R.masking_threshold(counts, "percentile", 0.70)
+    rows = P.validation_batches(R.attach_token_ranks(chunks, lookup), X.VIEWS, 8, X.SEED, threshold)
+    return rows.withColumn("input_ids", X.joined("input_ids"))
+
+
 # --- the flagship
 
 
-def flagship(spark, sf):
-    """Documents to chunks of valid authors, split by author, masked by training ranks: the share masked per corpus."""
+def masked_shares(spark, sf, unit):
     docs = X.raw_docs(spark, sf)
     vocab = X.vocab(docs)
     settings = {source: P.CorpusSettings() for source in X.SETTINGS}
     chunks = stage(P.chunk_corpora(docs, settings, vocab, X.LENGTH, seed=X.SEED), "chunks")
-    split = S.split_by_author(chunks, X.VAL_AUTHORS, X.CAPS, X.SEED)
-    return P.masked_share(P.masked_training_chunks(split, vocab))
+    split = stage(S.split_by_author(chunks, X.VAL_AUTHORS, X.CAPS, X.SEED), "split")
+    return P.masked_share(P.masked_training_chunks(split, vocab, unit=unit))
 
 
-query(
-    "masked_share",
-    f"""{CHUNKS}, {Q.CHUNK_KEYS},
+def flagship(spark, sf):
+    """Documents to chunks of valid authors, split by author, masked by training ranks: the share masked per corpus."""
+    return masked_shares(spark, sf, "token")
+
+
+SPLITS = f"""{CHUNKS}, {Q.CHUNK_KEYS},
 kept AS (SELECT author FROM keys GROUP BY author HAVING count(*) >= 16),
 drawn AS (
   SELECT source, author, row_number() OVER (PARTITION BY source ORDER BY md5(author || '{X.SEED}'), author) AS rn
@@ -486,16 +612,40 @@ splits AS (
   SELECT source, author, CASE WHEN rn <= {X.VAL_AUTHORS} THEN 'val' ELSE 'train' END AS split FROM drawn
   WHERE source <> 'en' OR rn <= {X.VAL_AUTHORS + X.CAPS['en']}
 ),
-stok AS (SELECT tok.*, split FROM tok JOIN splits USING (source, author)),
+stok AS (SELECT tok.*, split FROM tok JOIN splits USING (source, author))"""
+SHARES = f"""SELECT split, source, count(DISTINCT (doc_id, chunk_idx)) AS n_chunks, count(DISTINCT author) AS n_authors,
+  count(DISTINCT (doc_id, chunk_idx)) * {X.LENGTH} AS n_tokens,
+  count(*) FILTER (rank >= threshold AND rank <> -1 OR id = 4) AS n_masked,
+  round(n_masked / n_tokens, 6) AS masked_share"""
+
+
+query(
+    "masked_share",
+    f"""{SPLITS},
 tcounts AS (
   SELECT id AS key, count(*) AS n FROM stok JOIN vocab vv USING (id)
   WHERE split = 'train' AND regexp_matches(token, '\\p{{L}}') AND token NOT IN {Q.PROTECTED_LIST} GROUP BY id
 ),
 {Q.TOKEN_RANKS},
 bound AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM tcounts)
-SELECT split, source, count(DISTINCT (doc_id, chunk_idx)) AS n_chunks, count(DISTINCT author) AS n_authors,
-  count(DISTINCT (doc_id, chunk_idx)) * {X.LENGTH} AS n_tokens,
-  count(*) FILTER (rank >= threshold AND rank <> -1 OR id = 4) AS n_masked,
-  round(n_masked / n_tokens, 6) AS masked_share
-FROM stok JOIN lookup USING (id), bound GROUP BY split, source""",
+{SHARES} FROM stok JOIN lookup USING (id), bound GROUP BY split, source""",
 )(flagship)
+
+
+@query(
+    "masked_share_words",
+    f"""{SPLITS}, {Q.WORDS},
+wcounts AS (
+  SELECT word AS key, count(*) AS n FROM words JOIN splits USING (source, author) WHERE split = 'train' AND regexp_matches(word, '\\p{{L}}') GROUP BY word
+),
+wranks AS (SELECT key, row_number() OVER (ORDER BY n DESC, key) - 1 AS rank FROM wcounts),
+bound AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM wcounts),
+ranked AS (
+  SELECT t.*, CASE WHEN t.word_id < 0 OR NOT regexp_matches(w.word, '\\p{{L}}') THEN -1 ELSE coalesce(r.rank, (SELECT count(*) FROM wranks)) END AS rank
+  FROM stok t LEFT JOIN words w USING (source, author, doc_id, chunk_idx, word_id) LEFT JOIN wranks r ON r.key = w.word
+)
+{SHARES} FROM ranked, bound GROUP BY split, source""",
+)
+def masked_share_words(spark, sf):
+    """The same with the words of the training part counted, ranked and masked."""
+    return masked_shares(spark, sf, "word")

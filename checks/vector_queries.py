@@ -13,7 +13,8 @@ from penstroke.operators import evaluation as E
 from penstroke.operators import neighbours as N
 from penstroke.operators import ranks as R
 from penstroke.plans import verification as P
-from penstroke.staging import stage
+from penstroke.sources import writers as O
+from penstroke.staging import fresh_path, stage
 
 UNIT = """unit AS (
   SELECT vec_id, label, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u
@@ -204,9 +205,13 @@ def supcon_loss(spark, sf):
 # --- embedding chunks
 
 BAG = f"""WITH {Q.RAW}, {Q.VOCAB}, {Q.tokens("raw")}, {Q.chunked("pieces", "alltok")},
+edged AS (
+  SELECT DISTINCT source, author, doc_id, chunk_idx FROM alltok
+  UNION ALL SELECT source, author, doc_id, 0 FROM raw WHERE len(regexp_extract_all(text, '{Q.WORD}')) = 0
+),
 ids AS (
   SELECT source, author, doc_id, chunk_idx, id FROM alltok
-  UNION ALL SELECT DISTINCT source, author, doc_id, chunk_idx, e FROM alltok, (VALUES (0), (2)) AS edge(e)
+  UNION ALL SELECT source, author, doc_id, chunk_idx, e FROM edged, (VALUES (0), (2)) AS edge(e)
 ),
 cells AS (SELECT source, author, doc_id, chunk_idx, id % {X.DIMENSION} AS pos, count(*) AS n FROM ids GROUP BY ALL),
 bags AS (
@@ -219,10 +224,13 @@ def embedded_docs(spark, sf):
     return M.embed_chunks(chunks, M.hashed_bag(X.DIMENSION), ["source", "author", "doc_id", "chunk_idx"])
 
 
-@query("embed_chunks", f"{BAG} SELECT source, doc_id, chunk_idx, pos, round(x, 6) AS value FROM bags")
+@query(
+    "embed_chunks",
+    f"{BAG} SELECT source, doc_id, chunk_idx, pos, round(coalesce(x, 0), 6) + 0.0 AS value"
+    f" FROM (SELECT *, unnest(range({X.DIMENSION})) AS pos FROM edged) LEFT JOIN bags USING (source, author, doc_id, chunk_idx, pos)",
+)
 def embed_chunks(spark, sf):
-    cells = X.long_vector(embedded_docs(spark, sf), ["source", "doc_id", "chunk_idx"], "embedding")
-    return cells.where("value > 0")
+    return X.long_vector(embedded_docs(spark, sf), ["source", "doc_id", "chunk_idx"], "embedding")
 
 
 # --- verification
@@ -305,29 +313,35 @@ def cosine_split(spark, sf, first=0, parts=2):
     return stage(aligned.withColumns({"features": cosine, "label": V.pair_label("known_author", "unknown_author")}).drop("known", "unknown"), "cosines")
 
 
-def newton_sql(parts, first):
-    """Newton's method on intercept and weight of every corpus, as a recursion with a step per round."""
-    return f"""{sides_sql(parts)}, whole AS (
-  SELECT part, label, list(c ORDER BY pos) AS v FROM cents GROUP BY ALL
-), cosines AS (
-  SELECT a.part, corpus, k, q, CAST(k = q AS INTEGER) AS y,
-    list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-12)) AS x
-  FROM problems JOIN whole a ON a.label = k JOIN whole b ON b.label = q AND b.part = a.part + 1
-), pairs AS (
-  SELECT corpus, y, x, count(*) OVER (PARTITION BY corpus) / (2 * count(*) OVER (PARTITION BY corpus, y)) AS weight FROM cosines WHERE part = {first}
-), newton AS (
-  SELECT corpus, 0 AS i, 0.0::DOUBLE AS b, 0.0::DOUBLE AS w FROM pairs GROUP BY corpus HAVING count(DISTINCT y) = 2
+NEWTON = """newton AS (
+  SELECT corpus, 0 AS i, 0.0::DOUBLE AS b, 0.0::DOUBLE AS w FROM weighed GROUP BY corpus HAVING count(DISTINCT y) = 2
   UNION ALL
   SELECT corpus, i + 1, b - (hww * gb - hbw * gw) / (hbb * hww - hbw * hbw), w - (hbb * gw - hbw * gb) / (hbb * hww - hbw * hbw)
   FROM (
     SELECT corpus, i, b, w, sum(weight * (p - y)) AS gb, sum(weight * (p - y) * x) + w AS gw,
       sum(weight * p * (1 - p)) AS hbb, sum(weight * p * (1 - p) * x) AS hbw, sum(weight * p * (1 - p) * x * x) + 1 AS hww
-    FROM (SELECT corpus, i, b, w, y, x, weight, 1 / (1 + exp(-(b + w * x))) AS p FROM newton JOIN pairs USING (corpus) WHERE i < 20)
+    FROM (SELECT corpus, i, b, w, y, x, weight, 1 / (1 + exp(-(b + w * x))) AS p FROM newton JOIN weighed USING (corpus) WHERE i < 20)
     GROUP BY corpus, i, b, w
   )
 ), fitted AS (SELECT corpus, b, w FROM newton WHERE i = 20)"""
 
 
+def cosine_of(a, b):
+    return f"list_dot_product({a}, {b}) / (greatest(sqrt(list_dot_product({a}, {a})), 1e-12) * greatest(sqrt(list_dot_product({b}, {b})), 1e-12))"
+
+
+def newton_sql(parts, first):
+    """Newton's method on intercept and weight of every corpus, as a recursion with a step per round."""
+    return f"""{sides_sql(parts)}, whole AS (
+  SELECT part, label, list(c ORDER BY pos) AS v FROM cents GROUP BY ALL
+), cosines AS (
+  SELECT a.part, corpus, k, q, CAST(k = q AS INTEGER) AS y, {cosine_of("a.v", "b.v")} AS x
+  FROM problems JOIN whole a ON a.label = k JOIN whole b ON b.label = q AND b.part = a.part + 1
+), weighed AS (
+  SELECT corpus, y, x, count(*) OVER (PARTITION BY corpus) / (2 * count(*) OVER (PARTITION BY corpus, y)) AS weight FROM cosines WHERE part = {first}
+), {NEWTON}"""
+
+
 def coefficients(models):
     """One row per coefficient, the intercept first."""
     listed = F.concat(F.array("intercept"), "coefficients")
@@ -369,7 +383,16 @@ def verify_all_corpora(spark, sf):
     return predictions
 
 
-TEXT_FEATURES = f"""{MATCHED},
+def text_features(matched, masked=False):
+    """Centroids of the joined texts of all authors, and the matched pairs; ``masked`` hides the tokens of the rarest 30 %."""
+    ranked = f"""tcounts AS (
+  SELECT id AS key, count(*) AS n FROM rawpieces JOIN vocab ON token = piece
+  WHERE regexp_matches(token, '\\p{{L}}') AND token NOT IN {Q.PROTECTED_LIST} GROUP BY id
+),
+{Q.TOKEN_RANKS},
+limited AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM tcounts),
+shown AS (SELECT a.* EXCLUDE (id), CASE WHEN rank >= threshold AND rank <> -1 THEN 4 ELSE id END AS id FROM alltok a JOIN lookup USING (id), limited),"""
+    return f"""{matched},
 raw AS (SELECT corpus AS source, author || texttype AS author, 'd' || author || texttype AS doc_id, string_agg(text, ' ' ORDER BY pos) AS text FROM conv GROUP BY ALL),
 {Q.tokens("raw")}, rawpieces AS (
   SELECT t.i AS at, substring(w, 4 * t.i + 1, 4) AS piece FROM (SELECT unnest(regexp_extract_all(text, '{Q.WORD}')) AS w FROM documents), unnest(range((length(w) + 3) // 4)) AS t(i)
@@ -380,8 +403,9 @@ vocab AS (
   UNION ALL SELECT id, token FROM (VALUES {Q.RESERVED}) AS r(token, id)
 ),
 {Q.chunked("pieces", "alltok")},
+{ranked if masked else "shown AS (SELECT * FROM alltok),"}
 ids AS (
-  SELECT source, author, chunk_idx, id FROM alltok
+  SELECT source, author, chunk_idx, id FROM shown
   UNION ALL SELECT DISTINCT source, author, chunk_idx, e FROM alltok, (VALUES (0), (2)) AS edge(e)
 ),
 cells AS (SELECT source, author, chunk_idx, id % {X.DIMENSION} AS pos, count(*) AS n FROM ids GROUP BY ALL),
@@ -392,6 +416,9 @@ pairs AS (SELECT *, row_number() OVER () AS pair_id, known_author || 'known' AS
 full_cents AS (SELECT s.source, s.author, s.pos, coalesce(c, 0.0) AS c FROM (SELECT * FROM sizes, unnest(range({X.DIMENSION})) AS t(pos)) s LEFT JOIN cents USING (source, author, pos))"""
 
 
+TEXT_FEATURES = text_features(MATCHED)
+
+
 @query(
     "verification_split",
     f"""{TEXT_FEATURES} SELECT corpus, known_author, unknown_author, CAST(known_author = unknown_author AS INTEGER) AS label,
@@ -412,3 +439,59 @@ def verification_split(spark, sf):
 
     named = zip(("known", "unknown", "difference", "product"), range(4), strict=True)
     return split.select("corpus", "known_author", "unknown_author", "label", *(part(i).alias(n) for n, i in named))
+
+
+# From files to predictions: even and odd rounds of conversations are the training and the test tables.
+FOLDER_MATCHED = f"""WITH RECURSIVE {CONV}, problems AS (
+  SELECT 'c' || (conv_id % 4) AS corpus, CAST(conv_id AS VARCHAR) AS known_author, CAST(conv_id + 8 * step AS VARCHAR) AS unknown_author, conv_id // 4 % 2 AS part
+  FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES (0), (1)) AS t(step)
+),
+matched AS (
+  SELECT * FROM problems p WHERE EXISTS (FROM conv c WHERE c.corpus = p.corpus AND author = known_author AND texttype = 'known')
+  AND EXISTS (FROM conv c WHERE c.corpus = p.corpus AND author = unknown_author AND texttype = 'unknown')
+)"""
+
+
+def folder_sql(masked):
+    return f"""{text_features(FOLDER_MATCHED, masked)}, whole AS (
+  SELECT source, author, list(c ORDER BY pos) AS v FROM full_cents GROUP BY ALL
+), cosines AS (
+  SELECT part, corpus, known_author, unknown_author, CAST(known_author = unknown_author AS INTEGER) AS y, {cosine_of("a.v", "b.v")} AS x
+  FROM pairs JOIN whole a ON a.source = corpus AND a.author = k JOIN whole b ON b.source = corpus AND b.author = q
+), weighed AS (
+  SELECT corpus, y, x, count(*) OVER (PARTITION BY corpus) / (2 * count(*) OVER (PARTITION BY corpus, y)) AS weight FROM cosines WHERE part = 0
+), {NEWTON}
+SELECT known_author, unknown_author, corpus, y AS ground_truth, CAST(b + w * x > 0 AS INTEGER) AS predicted, CAST((b + w * x > 0) = (y = 1) AS INTEGER) AS correct
+FROM cosines JOIN fitted USING (corpus) WHERE part = 1"""
+
+
+def verified_folder(spark, sf, masked):
+    folder = fresh_path(spark, "verification")
+    texts, part = X.conv_texts(spark, sf), F.floor(F.col("conv_id") / 4) % 2
+    problems = X.conv_problems(spark, sf, 8)
+    for i, name in enumerate(("train", "test")):
+        of_part = texts.withColumn("conv_id", F.col("author").cast("bigint")).where(part == i).orderBy("conv_id", "pos")
+        X.write_csv(of_part.select("texttype", "text", "corpus", "author"), f"{folder}/{name}_corpus.csv")
+        X.write_csv(problems.withColumn("conv_id", F.col("known_author").cast("bigint")).where(part == i).drop("conv_id"), f"{folder}/{name}_problems.csv")
+    docs = X.raw_docs(spark, sf)
+    vocab = X.vocab(docs)
+    counts = stage(R.count_tokens(C.chunk_documents(X.encoded(docs, vocab), X.LENGTH), vocab), "token-counts") if masked else None
+    predictions, _ = P.verify_folder(
+        spark, folder, vocab, counts=counts, features=V.cosine_feature, encoder=M.hashed_bag(X.DIMENSION), length=X.LENGTH
+    )
+    path = fresh_path(spark, "predictions")
+    O.write_predictions_csv(predictions, path)
+    schema = "known_author string, unknown_author string, corpus string, ground_truth int, predicted int, correct int"
+    return spark.read.schema(schema).csv(path, header=True)
+
+
+@query("verify_folder", folder_sql(False))
+def verify_folder(spark, sf):
+    """Four CSV tables to predictions in a CSV table."""
+    return verified_folder(spark, sf, False)
+
+
+@query("verify_masked_folder", folder_sql(True))
+def verify_masked_folder(spark, sf):
+    """The same with content masked by token rank before it is embedded."""
+    return verified_folder(spark, sf, True)

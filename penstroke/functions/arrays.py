@@ -43,26 +43,6 @@ def local_word_ids(numbers: Column | str) -> Column:
     return with_value(F.array_min(numbers), by_least).cast("array<smallint>")
 
 
-def renumber_word_ids(ids: Column | str) -> Column:
-    """Chunk-local word ids from arbitrary word ids: null gives -1, and an id after a null starts a new word."""
-    ids = _col(ids)
-    start = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("last"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        at = F.when(x.isNull() | x.eqNullSafe(acc["last"]), acc["at"]).otherwise(acc["at"] + 1)
-        shown = F.when(x.isNull(), F.lit(-1)).otherwise(at)
-        return F.struct(
-            at.alias("at"),
-            x.cast("bigint").alias("last"),
-            F.concat(acc["out"], F.lit(","), shown.cast("string")).alias("out"),
-        )
-
-    listed = F.aggregate(ids, start, step, lambda acc: F.substring(acc["out"], F.lit(2), F.length(acc["out"])))
-    return F.when(F.size(ids) == 0, F.array().cast("array<smallint>")).otherwise(
-        F.split(listed, ",").cast("array<smallint>")
-    )
-
-
 def chunk_words(input_ids: Column | str, word_ids: Column | str, id_to_token: Column) -> Column:
     """Lower-cased words of a chunk, at the index of their chunk-local word id.
 

@@ -37,6 +37,11 @@ def siamese_features(a: Column | str, b: Column | str) -> Column:
     return F.concat(a, b, F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.zip_with(a, b, lambda x, y: x * y))
 
 
+def cosine_feature(a: Column | str, b: Column | str) -> Column:
+    """The cosine as the only feature of a pair."""
+    return F.array(cosine_similarity(a, b))
+
+
 def pair_label(known: Column | str, unknown: Column | str) -> Column:
     """1 for a pair by one author, else 0."""
     known = F.col(known) if isinstance(known, str) else known

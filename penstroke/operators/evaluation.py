@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penstroke.functions import vectors as V
@@ -114,11 +114,18 @@ def align_centroids(problems: DataFrame, known: DataFrame, unknown: DataFrame, k
     return aligned
 
 
-def verification_features(problems: DataFrame, known: DataFrame, unknown: DataFrame, keys: Sequence[str] = ("corpus",)) -> DataFrame:
-    """Pairs with ``features`` (siamese vector) and ``label``; pairs without both centroids drop out."""
+def verification_features(
+    problems: DataFrame,
+    known: DataFrame,
+    unknown: DataFrame,
+    keys: Sequence[str] = ("corpus",),
+    features: Callable[[str, str], Column] = V.siamese_features,
+) -> DataFrame:
+    """Pairs with ``features`` of their centroids (by default the siamese vector) and ``label``; pairs without both
+    centroids drop out."""
     aligned = align_centroids(problems, known, unknown, keys)
     return aligned.withColumns(
-        {"features": V.siamese_features("known", "unknown"), "label": V.pair_label("known_author", "unknown_author")}
+        {"features": features("known", "unknown"), "label": V.pair_label("known_author", "unknown_author")}
     ).drop("known", "unknown")
 
 

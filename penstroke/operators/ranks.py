@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from penstroke.functions import arrays as A
 from penstroke.functions import text as X
-from penstroke.operators.chunking import MASK, PROTECTED_TOKENS, id_to_token
-from penstroke.operators.distributed import global_rank
+from penstroke.operators.chunking import MASK, PROTECTED_TOKENS, SLOTS, id_to_token, token_slots
+from penstroke.operators.distributed import global_rank, salted_join
 
 PROTECTED_RANK = -1
 CHUNK_KEY = ("source", "author", "doc_id", "chunk_idx")
 HEAD_RANKS = 20_000
 """Ranks of the most frequent words that are broadcast; a word past them is too rare to be a hot join key."""
 
+TABLE_BYTES, ENTRY_BYTES = 64 << 20, 32
+"""Bytes of a rank table that every task may hold, and what an entry takes besides its word."""
+
 
 def detokenize_words(chunks: DataFrame, vocab: DataFrame, keep: Sequence[str] = CHUNK_KEY) -> DataFrame:
     """The lower-cased words of every chunk as the array ``words``, indexed by chunk-local word id."""
@@ -70,8 +73,8 @@ def relative_frequency(counts: DataFrame) -> DataFrame:
 
 
 def threshold_top_k(counts: DataFrame, k: float) -> DataFrame:
-    """One row ``threshold``: ``k`` itself."""
-    return counts.agg(F.max(F.lit(int(k))).alias("threshold"))
+    """One row ``threshold``: ``k`` itself, whatever the counts, which are not read."""
+    return counts.sparkSession.range(1).select(F.lit(int(k)).alias("threshold"))
 
 
 def threshold_percentile(counts: DataFrame, share: float) -> DataFrame:
@@ -120,14 +123,45 @@ def attach_token_ranks(chunks: DataFrame, lookup: DataFrame) -> DataFrame:
     return looked_up.select(*chunks.columns, A.token_ranks("input_ids", F.col("_lookup")).alias("ranks"))
 
 
+def word_slots(ranks: DataFrame) -> DataFrame:
+    """One row ``table``: the ranks as an array of ``SLOTS`` small maps, each word in the map its hash picks."""
+    by_word = ranks.select(F.col("key").alias("token"), F.col("rank").cast("int").alias("id"))
+    return token_slots(by_word)
+
+
 def attach_word_ranks(
-    chunks: DataFrame, ranks: DataFrame, vocab: DataFrame, head_ranks: int = HEAD_RANKS
+    chunks: DataFrame, ranks: DataFrame, vocab: DataFrame, head_ranks: int = HEAD_RANKS, table_bytes: int = TABLE_BYTES
 ) -> DataFrame:
     """Add ``ranks`` by word, written to every token of the word; -1 for words without a letter and special tokens.
 
-    The ``head_ranks`` most frequent words are looked up by broadcast. What remains is joined by shuffle: no
-    remaining word can have more than 1/head_ranks of the tokens, and the rows already ranked, which do not match
-    there, are spread by a salt.
+    A rank table of up to ``table_bytes`` is looked up in the row itself, without explode, join or shuffle; masking
+    needs no ranks past its threshold, so ``rank_map_top_k`` keeps a table as small as that. A larger table is joined.
+    """
+    n, size = ranks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + ENTRY_BYTES), F.lit(0))).first()
+    if size > table_bytes:
+        return _join_word_ranks(chunks, ranks, vocab, head_ranks)
+    words = chunks.withColumn("_tokens", id_to_token(vocab).scalar())
+    words = words.select(*chunks.columns, A.chunk_words("input_ids", "word_ids", F.col("_tokens")).alias("_words"))
+    held = words.withColumn("_table", word_slots(ranks).scalar())
+    unranked = lambda w: F.when(X.is_countable_word(w), F.lit(n)).otherwise(PROTECTED_RANK)
+
+    def found(w):
+        of_slot = F.get(F.col("_table"), F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
+        return F.coalesce(F.try_element_at(of_slot, w), unranked(w))
+
+    return held.select(*chunks.columns, _written("word_ids", F.transform("_words", found)).alias("ranks"))
+
+
+def _written(word_ids: str, by_word: Column) -> Column:
+    """The ranks of words at their tokens."""
+    at_tokens = lambda ranks: F.transform(word_ids, lambda w: F.when(w < 0, PROTECTED_RANK).otherwise(F.get(ranks, w.cast("int"))))
+    return A.with_value(by_word, at_tokens)
+
+
+def _join_word_ranks(chunks: DataFrame, ranks: DataFrame, vocab: DataFrame, head_ranks: int) -> DataFrame:
+    """The ``head_ranks`` most frequent words are looked up by broadcast. What remains is joined by shuffle: no
+    remaining word can have more than 1/head_ranks of the tokens, words that still are hot are copied, and the rows
+    already ranked, which do not match there, are spread by a salt.
     """
     key = list(CHUNK_KEY)
     runs = word_runs(chunks, vocab).withColumn("word", F.when(X.is_countable_word("word"), F.col("word")))
@@ -136,13 +170,8 @@ def attach_word_ranks(
     tail = by_word.where(F.col("rank") >= head_ranks).select(F.col("word").alias("_word"), F.col("rank").alias("_tail"))
     spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*key, "word_id"), F.lit(4096)))
     rare = F.when(F.col("word").isNotNull() & F.col("_head").isNull(), F.col("word")).otherwise(spread)
-    ranked = (
-        runs.join(F.broadcast(head), "word", "left")
-        .withColumn("_word", rare)
-        .join(tail, "_word", "left")
-        .withColumn("_oov", out_of_vocabulary_rank(ranks))
-    )
-    rank = F.when(F.col("word").isNull(), PROTECTED_RANK).otherwise(F.coalesce("_head", "_tail", "_oov"))
+    ranked = salted_join(runs.join(F.broadcast(head), "word", "left").withColumn("_word", rare), tail, ["_word"], "left")
+    rank = F.when(F.col("word").isNull(), PROTECTED_RANK).otherwise(F.coalesce("_head", "_tail", out_of_vocabulary_rank(ranks)))
     of_chunk = (
         ranked.select(*key, F.struct("word_id", rank.alias("rank")).alias("w"))
         .groupBy(*key)
@@ -151,10 +180,7 @@ def attach_word_ranks(
     )
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]
     joined = chunks.join(of_chunk, same, "left")
-    written = F.transform(
-        "word_ids", lambda w: F.when(w < 0, PROTECTED_RANK).otherwise(F.get(F.col("_by_word"), w.cast("int")))
-    )
-    return joined.select(*chunks.columns, written.alias("ranks"))
+    return joined.select(*chunks.columns, _written("word_ids", F.col("_by_word")).alias("ranks"))
 
 
 def mask_content(chunks: DataFrame, threshold: DataFrame | int, mask_id: int = MASK) -> DataFrame:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penstroke.functions import text as X
+from penstroke.operators import batches as B
 from penstroke.operators import chunking as C
 from penstroke.operators import corpus as D
 from penstroke.operators import ranks as R
 from penstroke.operators import sampling as S
-from penstroke.operators.distributed import HOT_ROWS, keep_members
+from penstroke.operators.distributed import HOT_ROWS, keep_members, salted_join
+from penstroke.sources import writers as O
 from penstroke.staging import stage
 
 KEYS = ("source", "author")
@@ -92,18 +94,67 @@ def chunk_corpora(
 
 
 def masked_training_chunks(
-    split_chunks: DataFrame, vocab: DataFrame, strategy: str = "percentile", value: float = 0.70
+    split_chunks: DataFrame, vocab: DataFrame, strategy: str = "percentile", value: float = 0.70, unit: str = "token"
 ) -> DataFrame:
-    """Split chunks with token ranks counted on the training part, content masked by the threshold.
+    """Split chunks with ranks counted on the training part, content masked by the threshold.
 
-    ``split_chunks`` should be a stored table: it is read for the counts and for the result.
+    ``unit`` is what is counted and ranked: ``token`` or ``word``. Ranks past the threshold all mean masked, so of the words
+    only those before it are kept. ``split_chunks`` should be a stored table: it is read for the counts and for the
+    result.
     """
-    counts = stage(R.count_tokens(split_chunks.where(F.col("split") == "train"), vocab), "token-counts")
+    train = split_chunks.where(F.col("split") == "train")
+    if unit == "word":
+        counts = stage(R.count_words(train, vocab), "word-counts")
+        threshold = R.masking_threshold(counts, strategy, value).first()["threshold"]
+        ranked = R.attach_word_ranks(split_chunks, stage(R.rank_map_top_k(counts, threshold), "word-ranks"), vocab)
+        return R.mask_content(ranked, threshold)
+    counts = stage(R.count_tokens(train, vocab), "token-counts")
     ranks = R.rank_map(counts)
     ranked = R.attach_token_ranks(split_chunks, R.rank_lookup_table(ranks, vocab))
     return R.mask_content(ranked, R.masking_threshold(counts, strategy, value))
 
 
+def training_members(chunks: DataFrame, n_views: int, world: int) -> DataFrame:
+    """``author, source, label, shard`` of the authors with enough chunks for a visit, stored."""
+    enough = C.filter_valid_authors(chunks.select("author", "source", "doc_id", "chunk_idx"), n_views)
+    return stage(B.shard_authors(B.label_encode(B.first_source_of_author(enough)), world), "members")
+
+
+def write_training_batches(
+    members: DataFrame, chunks: DataFrame, path: str, epochs: Sequence[int], slots: int, n_views: int, seed: str = "42", **masking
+) -> None:
+    """The trainer's input of several epochs, as folders by epoch and shard; a file holds whole batches in their order.
+
+    A trainer process reads the folder of its shard alone, with ``read_training_batches``.
+    """
+    of_epochs = D.union_corpora([B.balanced_batches(members, slots, epoch, seed) for epoch in epochs])
+    batches = stage(B.shuffle_batch(of_epochs, seed), "batches")
+    rows = B.collate_batches(batches, chunks, n_views, seed=seed, **masking)
+    order = ["epoch", "shard", "batch_id", "position", "view"]
+    O.write_parquet(rows.repartitionByRange(*order[:3]).sortWithinPartitions(*order), path, ["epoch", "shard"])
+
+
+def read_training_batches(spark: SparkSession, path: str, epoch: int, shard: int) -> DataFrame:
+    """The batches of one shard in one epoch; no other folder is read."""
+    return spark.read.parquet(path).where((F.col("epoch") == epoch) & (F.col("shard") == shard))
+
+
+def validation_batches(
+    chunks: DataFrame, n_views: int, batch_size: int, seed: str = "42", threshold: DataFrame | int | None = None
+) -> DataFrame:
+    """The validation input: every author with its fixed views, in the order of authors, masked when there is a threshold.
+
+    ``batch_id`` and ``position`` follow from ``label``, the author's place; the last batch may be smaller.
+    """
+    keys = ["author", "source", "doc_id", "chunk_idx"]
+    views = stage(S.fixed_val_views(C.filter_valid_authors(chunks.select(*keys), n_views), n_views, seed), "views")
+    labelled = salted_join(views, B.label_encode(views.select("author").distinct()), ["author"])
+    if threshold is not None:
+        chunks = R.mask_content(chunks, threshold)
+    placed = labelled.withColumns({"batch_id": F.floor(F.col("label") / batch_size), "position": F.col("label") % batch_size})
+    return placed.join(chunks.select(*keys, "input_ids"), keys)
+
+
 def masked_share(masked: DataFrame) -> DataFrame:
     """Per split and corpus: chunks, authors, tokens, masked tokens and their share."""
     n_masked = F.size(F.filter("input_ids", lambda t: t == C.MASK))

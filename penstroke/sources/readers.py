@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ TWEET_COLUMNS = ("author", "tweet_id", "text", "created_at")
 METADATA_COLUMNS = ("id", "author", "language")
 CORPUS_COLUMNS = ("corpus", "author", "texttype", "text")
 PROBLEM_COLUMNS = ("corpus", "known_author", "unknown_author")
+BOOK_PATTERN = r"([^/]+)_text\.txt$"
 
 # Field contents that count as missing in delimited files.
 MISSING_VALUES = (
@@ -114,11 +115,33 @@ def read_metadata(spark: SparkSession, path: str, columns: Sequence[str] = METAD
     return rows.select(*METADATA_COLUMNS)
 
 
-def read_text_files(spark: SparkSession, path: str, id_pattern: str = r"([^/]+)_text\.txt$") -> DataFrame:
-    """``(id, text)``, one row per file; the id is the first group of the pattern in the file's path."""
+def list_files(spark: SparkSession, path: str, id_pattern: str = BOOK_PATTERN) -> DataFrame:
+    """``(id, path, length)`` of every file whose path has the pattern, without reading one.
+
+    Spark's scans pass over empty files, so what the listing has and a scan of names and sizes has not is empty. The
+    listing is the one that Spark's driver makes for any scan.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    filled = scan.select(F.col("_metadata.file_path").alias("path"), "length")
+    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string").withColumn("path", _one_slash("path"))
+    sized = listed.join(filled.withColumn("path", _one_slash("path")), "path", "left")
+    found = F.regexp_extract("path", id_pattern, 1)
+    return sized.select(found.alias("id"), "path", F.coalesce("length", F.lit(0)).alias("length")).where(F.col("path").rlike(id_pattern))
+
+
+def _one_slash(path: str) -> Column:
+    """A local path as the scan and the listing both may write it."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def read_text_files(spark: SparkSession, path: str, id_pattern: str = BOOK_PATTERN) -> DataFrame:
+    """``(id, text)``, one row per file whose path has the pattern; the id is its first group. An empty file has an
+    empty text."""
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    found = F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1)
-    return whole.select(found.alias("id"), F.col("value").alias("text"))
+    named = F.col("_metadata.file_path")
+    filled = whole.where(named.rlike(id_pattern)).select(F.regexp_extract(named, id_pattern, 1).alias("id"), F.col("value").alias("text"))
+    empty = list_files(spark, path, id_pattern).where(F.col("length") == 0)
+    return filled.unionByName(empty.select("id", F.lit("").alias("text")))
 
 
 def join_metadata_files(meta: DataFrame, files: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -131,6 +154,16 @@ def union_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType
     return spark.read.schema(schema).parquet(*paths)
 
 
+def read_corpora(spark: SparkSession, path: str, corpora: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Chunks of the listed corpora from a folder that ``write_parquet`` partitioned by source.
+
+    ``corpora`` has ``source`` and may be computed by any query: what it holds is known when the scan starts, and only the
+    folders of these corpora are read.
+    """
+    wanted = corpora.select("source").distinct()
+    return read_chunks(spark, path, columns and [*dict.fromkeys([*columns, "source"])]).join(F.broadcast(wanted), "source", "left_semi")
+
+
 def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Chunks, reading only the given columns."""
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
@@ -157,15 +190,20 @@ def read_counts_json(spark: SparkSession, path: str) -> DataFrame:
 def read_verification_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The four tables ``train_corpus``, ``test_corpus``, ``train_problems`` and ``test_problems``, as CSV with header.
 
-    Columns are found by name, in any order and among others; a missing one is an error.
+    Columns are found by name, in any order and among others; a missing one is an error. A field that counts as missing is
+    null, but a missing text is ``nan``. Texts also get ``pos``, the position in file order, and ``doc_id``.
     """
     tables = {}
     for part in ("train", "test"):
         for kind, columns in (("corpus", CORPUS_COLUMNS), ("problems", PROBLEM_COLUMNS)):
             path = f"{folder.rstrip('/')}/{part}_{kind}.csv"
-            rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-            lacking = [c for c in columns if c not in rows.columns]
+            names = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').columns
+            lacking = [c for c in columns if c not in names]
             if lacking:
                 raise ValueError(f"{path} has no column {', '.join(lacking)}")
-            tables[f"{part}_{kind}"] = rows.select(*columns)
+            rows = _delimited(spark, path, names)
+            if kind == "corpus":
+                placed = number_in_file_order(rows, "_position").select(*columns, F.col("_position").alias("pos"))
+                rows = placed.withColumns({"text": F.coalesce("text", F.lit("nan")), "doc_id": F.concat(F.lit(f"{part}_"), "pos")})
+            tables[f"{part}_{kind}"] = rows if kind == "corpus" else rows.select(*columns)
     return tables

@@ -46,6 +46,14 @@ def test_no_row_carries_the_vocabulary(spark, vocab):
     assert "Exchange hash" not in plan(R.attach_token_ranks(chunks, lookup))
 
 
+def test_word_ranks_are_looked_up_in_the_row(spark, vocab):
+    chunks = spark.createDataFrame([], C.CHUNK_SCHEMA)
+    ranks = spark.createDataFrame([("word", 0)], "key string, rank bigint")
+    shape = plan(R.attach_word_ranks(chunks, ranks, vocab))
+    shape = "".join(line for line in shape.splitlines() if not re.match(r"\s*:", line))  # without the subqueries
+    assert "Exchange" not in shape and "Generate" not in shape and "Join" not in shape
+
+
 def test_no_python_in_the_text_path(spark, vocab):
     chunks = C.chunk_packed(C.encode(X.raw_docs(spark, SMALL), vocab), length=X.LENGTH)
     for df in (chunks, R.count_words(chunks, vocab), S.sample_views(chunks, 4)):

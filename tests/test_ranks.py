@@ -89,12 +89,12 @@ def test_rank_map(chunks, vocab, counted):
     assert sorted(r["rank"] for r in ranks) == list(range(len(counted[0])))
 
 
-@pytest.mark.parametrize("head", [1, 5, 1000])
+@pytest.mark.parametrize(("head", "table_bytes"), [(1, 0), (5, 0), (1000, 0), (1, 1 << 20)])
 @pytest.mark.parametrize("top", [8, 10_000])
-def test_word_ranks(chunks, vocab, counted, head, top):
+def test_word_ranks(chunks, vocab, counted, head, table_bytes, top):
     counts, tokens = counted
     by_word = {w: i for i, w in enumerate(ordered(counts)[:top])}
-    ranked = R.attach_word_ranks(chunks, R.rank_map_top_k(R.count_words(chunks, vocab), top), vocab, head)
+    ranked = R.attach_word_ranks(chunks, R.rank_map_top_k(R.count_words(chunks, vocab), top), vocab, head, table_bytes)
     assert ranked.count() == chunks.count()
     for r in ranked.collect():
         of_word = [by_word.get(w, len(by_word)) if countable(w) else -1 for w in words_of(r, tokens)]
@@ -137,6 +137,7 @@ def test_relative_frequency(spark):
 def test_strategies(spark):
     counts = table(spark, [5, 4])
     assert R.masking_threshold(counts, "top_k", 7.9).first()[0] == 7
+    assert R.masking_threshold(counts.limit(0), "top_k", 7.9).first()[0] == 7
     with pytest.raises(ValueError):
         R.masking_threshold(counts, "other", 1)
     with pytest.raises(ValueError):

@@ -55,15 +55,18 @@ def test_tsv(spark, tmp_path):
 
 
 def test_books(spark, tmp_path):
-    (tmp_path / "meta.csv").write_text("id,author,language\nPG1,\"Twain, M\",\"['en']\"\nPG2,Anon,\"['fr']\"\n")
+    (tmp_path / "meta.csv").write_text("id,author,language\nPG1,\"Twain, M\",\"['en']\"\nPG2,Anon,\"['fr']\"\nPG3,Void,\"['en']\"\n")
     books = tmp_path / "books"
     books.mkdir()
     (books / "PG1_text.txt").write_text("line one\nline two\n")
     (books / "other.txt").write_text("x")
+    (books / "deep er").mkdir()
+    (books / "deep er" / "PG3_text.txt").touch()
     meta = I.read_metadata(spark, str(tmp_path / "meta.csv"))
     files = I.read_text_files(spark, str(books))
     found, missing = I.join_metadata_files(meta, files)
-    assert rows(found) == [("PG1", "Twain, M", "['en']", "line one\nline two\n")]
+    assert rows(found) == [("PG1", "Twain, M", "['en']", "line one\nline two\n"), ("PG3", "Void", "['en']", "")]
+    assert rows(I.list_files(spark, str(books)), "id", "length") == [("PG1", 18), ("PG3", 0)]
     assert rows(missing) == [("PG2", "Anon", "['fr']")]
 
 
@@ -91,13 +94,33 @@ def test_verification_columns_are_found_by_name(spark, tmp_path):
         (tmp_path / f"{part}_corpus.csv").write_text('id,text,author,texttype,corpus\n1,"a ""b""\nc",ann,known,c0\n')
         (tmp_path / f"{part}_problems.csv").write_text("unknown_author,corpus,known_author\nbob,c0,ann\n")
     tables = I.read_verification_tables(spark, str(tmp_path))
-    assert rows(tables["train_corpus"]) == [("c0", "ann", "known", 'a "b"\nc')]
+    assert rows(tables["train_corpus"]) == [("c0", "ann", "known", 'a "b"\nc', 0, "train_0")]
     assert rows(tables["test_problems"]) == [("c0", "ann", "bob")]
     (tmp_path / "test_problems.csv").write_text("corpus,known_author\nc0,ann\n")
     with pytest.raises(ValueError):
         I.read_verification_tables(spark, str(tmp_path))
 
 
+def test_missing_fields_of_verification_tables(spark, tmp_path):
+    for part in ("train", "test"):
+        (tmp_path / f"{part}_corpus.csv").write_text('corpus,author,texttype,text\nc0,NA,known,x\nc0,ann,known,\nc0,ann,unknown,null\n')
+        (tmp_path / f"{part}_problems.csv").write_text("corpus,known_author,unknown_author\nNaN,ann,ann\n")
+    tables = I.read_verification_tables(spark, str(tmp_path))
+    got = [tuple(r) for r in tables["test_corpus"].orderBy("pos").collect()]
+    assert got == [("c0", None, "known", "x", 0, "test_0"), ("c0", "ann", "known", "nan", 1, "test_1"), ("c0", "ann", "unknown", "nan", 2, "test_2")]
+    assert rows(tables["train_problems"]) == [(None, "ann", "ann")]
+
+
+def test_corpora_of_a_query_prune_the_scan(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"a{i}", "d", f"s{i % 5}", i, [0, 2], [-1, -1]) for i in range(40)], I.CHUNK_SCHEMA)
+    O.write_parquet(chunks, str(tmp_path / "c"), ["source"])
+    sizes = spark.createDataFrame([(f"s{i}", i) for i in range(5)], "source string, n int")
+    got = I.read_corpora(spark, str(tmp_path / "c"), sizes.where("n > 3"), ["author"])
+    shape = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in shape and "ReadSchema: struct<author:string>" in shape
+    assert rows(got, "author") == sorted(((f"a{i}",) for i in range(40) if i % 5 == 4), key=repr)
+
+
 def test_empty_predictions_are_not_written(spark, tmp_path):
     empty = spark.createDataFrame([], "known_author string")
     assert not O.write_predictions_csv(empty, str(tmp_path / "e"))

@@ -59,12 +59,6 @@ def test_words_and_pieces(spark):
     assert one(spark, text, X.piece_words(X.words("x"))) == [0, 0, 0, 1, 2, 3, -5, 5, 5, 6, 7, 8]
 
 
-def test_renumber_word_ids(spark):
-    ids = [None, 7, 7, 9, None, 9, 10]
-    assert one(spark, ids, A.renumber_word_ids("x"), "array<int>") == [-1, 0, 0, 1, -1, 2, 3]
-    assert one(spark, [], A.renumber_word_ids("x"), "array<int>") == []
-
-
 def test_local_word_ids(spark):
     # 12 is a separator inside the text, null one between texts.
     numbers = [10, 10, 11, -13, 13, None, 14, 14]
