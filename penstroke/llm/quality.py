@@ -29,7 +29,7 @@ NONZERO, SEED = 4, 42
 NEIGHBOURS = 2
 """Index vectors have so many places of +1 or -1; words so far away on either side count as neighbours."""
 
-POSITIONS = 1 << 16
+POSITIONS = 1 << 18
 """Words in running text whose vectors a task holds at a time."""
 
 CACHED_TOKENS = 200_000
@@ -46,6 +46,8 @@ _PARTS = re.compile(r"\w+|[^\w\s]+")
 def words_of(token: str) -> list[str]:
     """The words of a token without blanks: letters and digits in small letters, signs apart; capitals are marked by a
     word of their own, a run of signs is cut to two."""
+    if token.isalpha():
+        return ["<capitals>", token.lower()] if len(token) > 1 and token.isupper() else [token.lower()]
     out = []
     for part in _PARTS.findall(token):
         if not part[0].isalnum():
@@ -84,31 +86,34 @@ class TokenTable:
 
 
 def index_vectors() -> np.ndarray:
-    """A sparse vector of +1 and -1 per bucket, the same everywhere."""
+    """A sparse vector of +1 and -1 per bucket, the same everywhere, by dimension; the last column, all 0, is no word."""
     random = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS, DIMENSIONS), np.int32)
+    out = np.zeros((BUCKETS + 1, DIMENSIONS), np.int8)
     places = random.random((BUCKETS, DIMENSIONS)).argsort(1)[:, :NONZERO]
     out[np.arange(BUCKETS)[:, None], places] = random.integers(0, 2, (BUCKETS, NONZERO)) * 2 - 1
+    return np.ascontiguousarray(out.T)
+
+
+def _apart(bucket: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The buckets of all texts with room before, between and after them, where no word is."""
+    text = np.cumsum(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+    out = np.full(len(bucket) + NEIGHBOURS * (int(text[-1]) + 1 if len(text) else 1), BUCKETS, np.int32)
+    out[np.arange(len(bucket)) + NEIGHBOURS * text] = bucket
     return out
 
 
 def add_contexts(total: np.ndarray, bucket: np.ndarray, row: np.ndarray, index: np.ndarray) -> None:
     """Add to ``total`` the neighbours' index vectors of every word, and in the last column how often it occurs."""
-    for start in range(0, len(bucket), POSITIONS):
-        low, high = max(0, start - NEIGHBOURS), min(len(bucket), start + POSITIONS + NEIGHBOURS)
-        vectors, of = index[bucket[low:high]], row[low:high]
-        context = np.zeros_like(vectors)
-        for k in range(1, NEIGHBOURS + 1):
-            same = (of[k:] == of[:-k])[:, None]
-            context[k:] += vectors[:-k] * same
-            context[:-k] += vectors[k:] * same
-        mine = slice(start - low, min(start + POSITIONS, len(bucket)) - low)
-        b, context = bucket[low:high][mine], context[mine]
-        order = np.argsort(b, kind="stable")
-        b = b[order]
-        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        total[b[first], :DIMENSIONS] += np.add.reduceat(context[order], first, axis=0)
-        total[b[first], DIMENSIONS] += np.diff(np.r_[first, len(b)])
+    spread = _apart(bucket, row)
+    for start in range(NEIGHBOURS, len(spread) - NEIGHBOURS, POSITIONS):
+        end = min(start + POSITIONS, len(spread) - NEIGHBOURS)
+        near, word = spread[start - NEIGHBOURS : end + NEIGHBOURS], spread[start:end]
+        total[:, DIMENSIONS] += np.bincount(word, minlength=BUCKETS + 1)[:BUCKETS]
+        n = end - start
+        for d in range(DIMENSIONS):
+            v = index[d][near]
+            context = sum(v[k : k + n] for k in range(2 * NEIGHBOURS + 1) if k != NEIGHBOURS)
+            total[:, d] += np.bincount(word, context, BUCKETS + 1)[:BUCKETS].astype(np.int64)
 
 
 def _portions(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -136,33 +141,38 @@ def count_contexts(texts: DataFrame, text: str) -> np.ndarray:
 
 
 def word_vectors(total: np.ndarray) -> np.ndarray:
-    """Unit word vectors, less the mean of all words in running text, and the logarithm of a word's share."""
+    """Unit word vectors, less the mean of all words in running text, and the logarithm of a word's share, by dimension."""
     n = total[:, DIMENSIONS]
     mean = total[:, :DIMENSIONS].sum(0) / max(1.0, n.sum())
     vectors = total[:, :DIMENSIONS] / np.maximum(n, 1)[:, None] - mean
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
     share = np.log((n + 1) / (n.sum() + BUCKETS))
-    return np.concatenate([vectors, share[:, None] / 4], 1).astype(np.float32)
+    return np.ascontiguousarray(np.concatenate([vectors, share[:, None] / 4], 1).T)
 
 
 def pool(bucket: np.ndarray, row: np.ndarray, rows: int, vectors: np.ndarray) -> np.ndarray:
     """Per text the mean, the spread, and the mean size of the step to the next word, of the vectors of its words, and the
-    logarithm of their number; zeros for a text without words. Rounded, so the order of sums doesn't show."""
-    width = vectors.shape[1]
-    sums = np.zeros((rows, 3 * width))
-    n = np.bincount(row, minlength=rows).astype(float)[:, None]
+    logarithm of their number; zeros for a text without words. ``vectors`` are by dimension. Rounded, so the order of
+    sums doesn't show."""
+    width = len(vectors)
+    sums = np.zeros((3, width, rows))
+    n = np.bincount(row, minlength=rows)
     for start in range(0, len(bucket), POSITIONS):
-        at = slice(start, start + POSITIONS + 1)  # one word more for the last step
-        v, of = vectors[bucket[at]].astype(np.float64), row[at]
-        step = np.zeros_like(v)
-        step[:-1] = np.abs(v[1:] - v[:-1]) * (of[1:] == of[:-1])[:, None]
-        v, of, step = v[:POSITIONS], of[:POSITIONS], step[:POSITIONS]
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        for k, x in enumerate((v, v * v, step)):
-            sums[of[first], k * width : (k + 1) * width] += np.add.reduceat(x, first, axis=0)
-    mean, square, step = (sums[:, k * width : (k + 1) * width] / np.maximum(n, 1) for k in range(3))
+        here, of = bucket[start : start + POSITIONS + 1], row[start : start + POSITIONS + 1]  # one word more for the last step
+        size = min(len(here), POSITIONS)
+        ends = np.flatnonzero(of[1:] != of[:-1])
+        first = np.r_[0, ends[ends < size - 1] + 1]
+        text = of[first]
+        for d in range(width):
+            v = vectors[d][here]
+            step = np.abs(np.diff(v, append=v[-1:]))
+            step[ends] = 0
+            v, step = v[:size], step[:size]
+            for k, x in enumerate((v, v * v, step)):
+                sums[k, d, text] += np.add.reduceat(x, first)
+    mean, square, step = (sums / np.maximum(n, 1)).transpose(0, 2, 1)
     spread = np.sqrt(np.maximum(square - mean * mean, 0))
-    return np.round(np.concatenate([mean, spread, step, np.log1p(n)], 1), 5)
+    return np.round(np.concatenate([mean, spread, step, np.log1p(n)[:, None]], 1), 5)
 
 
 def pooled_vectors(docs: DataFrame, vectors: np.ndarray, key: str, text: str) -> DataFrame:
