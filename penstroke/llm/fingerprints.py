@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,9 @@ SLOTS = 1 << 17
 """Places of the lexicon table; terms that meet in one are listed there together."""
 
 SUBSETS = 32
-BLOCKS = 200
-"""Ranges of ids in which documents are put in order."""
+BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 62_500
+"""Text of a range of ids in which documents are put in order, about, and ranges at most; as many numbers as that
+are held by the driver and looked up in two steps."""
 
 _EMPTY = "...."
 
@@ -45,47 +47,93 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAN
 
 
 def _subset_hashes(chosen: Column) -> Column:
-    """The hash of the sorted terms of every subset, 4 hex digits each; a subset without terms has dots."""
+    """The hash of the sorted terms of every subset, 4 hex digits each; a subset without terms has dots.
 
-    def one(k: Column) -> Column:
-        mine = F.filter(chosen, lambda h: F.shiftrightunsigned(h, 59).cast("int") == k)
-        return F.transform(F.array(mine), lambda m: F.when(F.size(m) == 0, _EMPTY).otherwise(F.lpad(F.hex(F.xxhash64(m).bitwiseAND(F.lit(65535))), 4, "0")))
+    A subset is the terms with the same first five bits, so it is a run of the sorted terms: its bounds are where the
+    subset of a term differs from that of the one before.
+    """
+    subset = lambda h: F.shiftrightunsigned(h, 59).cast("int")
 
-    return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)), "")
+    def cut(terms: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (subset(F.get(terms, i)) != subset(F.get(terms, i - 1))))
+        return _let(F.struct(terms.alias("terms"), F.when(F.size(terms) > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts")), runs)
 
+    def runs(b: Column) -> Column:
+        def run(at: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(b["starts"], i + 1), F.size(b["terms"]))
+            value = F.xxhash64(F.slice(b["terms"], at + 1, end - at)).bitwiseAND(F.lit(65535))
+            return F.struct(subset(F.get(b["terms"], at)).alias("k"), F.lpad(F.hex(value), 4, "0").alias("h"))
+
+        return _let(F.transform(b["starts"], run), placed)
+
+    def placed(found: Column) -> Column:
+        def add(done: Column, k: Column) -> Column:
+            # Runs come with subsets 16 to 31 first, as signed numbers do, and so do the steps.
+            here = F.get(found, done["n"])
+            hit = here["k"] == k
+            return F.struct((done["n"] + F.when(hit, 1).otherwise(0)).alias("n"), F.concat(done["out"], F.when(hit, here["h"]).otherwise(_EMPTY)).alias("out"))
+
+        order = F.concat(F.sequence(F.lit(SUBSETS // 2), F.lit(SUBSETS - 1)), F.sequence(F.lit(0), F.lit(SUBSETS // 2 - 1)))
+        start = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
+        half = 4 * (SUBSETS // 2)
+        return F.aggregate(order, start, add, lambda done: F.concat(F.substr(done["out"], F.lit(half + 1), F.lit(half)), F.substr(done["out"], F.lit(1), F.lit(half))))
+
+    return _let(chosen, cut)
 
-def with_fingerprint(rows: DataFrame, text: str, out: str, table: DataFrame) -> DataFrame:
-    """Add the fingerprint of ``text`` as ``out``.
+
+def _fingerprint(kept: str) -> Column:
+    """The fingerprint of the sorted terms ``kept`` of a document.
 
     The lexicon is split at random into ``SUBSETS`` smaller ones, thinned by halves until a document has about one
     term in each: two digits give the number of halvings, then come the hashes at that level and at the next, so that
-    two documents of nearly equal size share a level. A document without a term in the band uses all its terms; one
-    without terms has empty subsets only.
+    two documents of nearly equal size share a level.
+    """
+
+    def leveled(b: Column) -> Column:
+        held = lambda bits: lambda h: F.shiftrightunsigned(h, 24).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1) == 0
+        this = F.filter(b["terms"], held(b["level"]))
+        both = lambda t: F.concat(_subset_hashes(t), _subset_hashes(F.filter(t, held(b["level"] + 1))))
+        return F.concat(F.lpad(b["level"].cast("string"), 2, "0"), _let(this, both))
+
+    def sized(terms: Column) -> Column:
+        halvings = F.when(F.size(terms) > SUBSETS, F.ceil(F.log2(F.size(terms) / SUBSETS))).otherwise(0).cast("int")
+        return _let(F.struct(terms.alias("terms"), halvings.alias("level")), leveled)
+
+    return _let(F.col(kept), sized)
+
+
+def with_fingerprints(rows: DataFrame, shared: str, ends: dict[str, str], table: DataFrame) -> DataFrame:
+    """Add a fingerprint per entry ``column: end`` of ``ends``: that of the text ``shared`` followed by ``end``.
+
+    No word may reach over the place where the two meet, so the shared part is cut and looked up once. A document
+    without a term in the band uses all its terms; one without terms has empty subsets only. A missing end gives null.
     """
     columns = rows.columns
     # The next projection reads the table once and drops it, so the optimizer puts the subquery there; as a column of
     # its own it would be copied into every row.
     held = rows.withColumn("__table", table.scalar())
 
-    def kept(b: Column) -> Column:
-        found = F.filter(b["all"], lambda h: F.array_contains(F.get(b["table"], F.pmod(h, F.lit(SLOTS)).cast("int")), h))
-        return _let(found, lambda f: F.array_sort(F.when(F.size(f) > 0, f).otherwise(b["all"])))
+    def looked_up(b: Column) -> Column:
+        found = lambda all_: F.filter(all_, lambda h: F.array_contains(F.get(b["table"], F.pmod(h, F.lit(SLOTS)).cast("int")), h))
+        return F.transform(b["parts"], lambda p: F.struct(p.alias("all"), found(p).alias("kept")))
 
-    bound = F.struct(term_hashes(F.col(text)).alias("all"), F.col("__table").alias("table"))
-    held = held.select(*columns, _let(bound, kept).alias("__kept"))
-    halvings = F.when(F.size("__kept") > SUBSETS, F.ceil(F.log2(F.size("__kept") / SUBSETS))).otherwise(0).cast("int")
-    held = held.withColumn("__level", halvings)
+    def joined(parts: Column) -> Column:
+        def one(i: int) -> Column:
+            first, last = F.get(parts, 0), F.get(parts, i)
+            kept = F.array_union(first["kept"], last["kept"])
+            return _let(kept, lambda k: F.array_sort(F.when(F.size(k) > 0, k).otherwise(F.array_union(first["all"], last["all"]))))
 
-    def thinned(level: Column) -> Column:
-        mask = F.expr("shiftleft(1L, __level)") * (2 if level is _NEXT else 1) - 1
-        return F.filter("__kept", lambda h: F.shiftrightunsigned(h, 24).bitwiseAND(mask) == 0)
+        return F.struct(*(one(i).alias(c) for i, c in enumerate(ends, 1)))
 
-    held = held.withColumn("__this", thinned(None)).withColumn("__next", thinned(_NEXT)).drop("__kept")
-    value = F.concat(F.lpad(F.col("__level").cast("string"), 2, "0"), _subset_hashes(F.col("__this")), _subset_hashes(F.col("__next")))
-    return held.withColumn(out, value).drop("__level", "__this", "__next")
+    parts = F.array(*(term_hashes(F.col(c)) for c in (shared, *ends.values())))
+    bound = F.struct(parts.alias("parts"), F.col("__table").alias("table"))
+    held = held.select(*columns, _let(_let(bound, looked_up), joined).alias("__terms"))
+    return held.withColumns({c: _fingerprint(f"__terms.{c}") for c in ends}).drop("__terms")
 
 
-_NEXT = object()
+def with_fingerprint(rows: DataFrame, text: str, out: str, table: DataFrame) -> DataFrame:
+    """Add the fingerprint of ``text`` as ``out``."""
+    return with_fingerprints(rows.withColumn("__none", F.lit("")), "__none", {out: text}, table).drop("__none")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -113,25 +161,51 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
 
-def with_next_text(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``: looked up among every so many, then between two of them."""
+    if not cuts:
+        return F.lit(0)
+    width = math.ceil(len(cuts) ** 0.5)
+    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    firsts, inner = F.lit([g[0] for g in groups]).cast("array<long>"), F.array(*(F.lit(g).cast("array<long>") for g in groups))
+
+    def fine(group: Column) -> Column:
+        return F.when(group < 0, 0).otherwise(group * width + F.size(F.filter(F.get(inner, group), lambda c: c <= value)))
+
+    return _let(F.size(F.filter(firsts, lambda c: c <= value)) - 1, fine)
+
+
+def _cuts(rows: DataFrame, value: Column, blocks: int) -> list[int]:
+    """Approximate percentiles of ``value`` that cut ``rows`` into at most ``blocks`` ranges."""
+    if blocks < 2:
+        return []
+    found = rows.agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], max(10_000, 20 * blocks)).alias("c")).first()["c"]
+    return sorted(set(found or []))
+
+
+def with_next_text(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows ``(doc_id, text, block, ghost, next_text)`` where ``next_text`` belongs to the next id, or to the first.
 
-    Ids are cut at approximate percentiles into at most ``blocks`` ranges, each a window partition. The first row of a
-    range also stands, as a ghost, behind the rows of the range before it. The texts are shuffled once. Only the cut
-    points and the first id of each range, at most ``blocks`` numbers, reach the driver. Rows without an id come last;
-    rows of one id are ordered by text.
+    Ids are cut at approximate percentiles into ranges of about ``block_bytes`` of text, each a window partition. The
+    first row of a range also stands, as a ghost, behind the rows of the range before it. The texts are shuffled
+    once. Only the cut points and the numbers of ranges, at most ``MOST_BLOCKS`` each, reach the driver. Rows without an
+    id come last, in the order of texts, and in ranges of the first bytes of them; rows of one id are ordered by text.
     """
-    spark = docs.sparkSession
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10_000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    number = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    block = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(number).cast("int")
+    spark, no_id = docs.sparkSession, F.col("doc_id").isNull()
+    # Ordered like the texts: their first seven bytes as a number.
+    head = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    size = F.octet_length("text")
+    with_id, without = docs.agg(F.sum(F.when(~no_id, size)), F.sum(F.when(no_id, size))).first()
+    wanted = lambda n: min(MOST_BLOCKS // 2, -(-(n or 0) // block_bytes))
+    cuts = _cuts(docs.where(~no_id), F.col("doc_id"), wanted(with_id))
+    later = _cuts(docs.where(no_id), head, wanted(without)) if without else []
+    block = F.when(no_id, len(cuts) + 1 + _place(head, later)).otherwise(_place(F.col("doc_id"), cuts)).cast("int")
     placed = docs.withColumn("block", block)
     firsts = sorted((tuple(r) for r in placed.groupBy("block").agg(F.min("doc_id")).collect()))
-    before = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    ghost_of = spark.createDataFrame(before, "first long, ghost_block int") if before else spark.createDataFrame([], "first long, ghost_block int")
-    heads = docs.join(F.broadcast(ghost_of), F.col("doc_id").eqNullSafe(F.col("first")))
-    heads = heads.groupBy("doc_id", "ghost_block").agg(F.min("text").alias("text"))
+    before = [(block, first, firsts[i - 1][0]) for i, (block, first) in enumerate(firsts)]
+    ghost_of = spark.createDataFrame(before, "of_block int, first long, ghost_block int")
+    same = (F.col("block") == F.col("of_block")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    heads = placed.join(F.broadcast(ghost_of), same).groupBy("doc_id", "ghost_block").agg(F.min("text").alias("text"))
     rows = placed.select("doc_id", "text", "block", F.lit(False).alias("ghost"))
     rows = rows.unionByName(heads.select("doc_id", "text", F.col("ghost_block").alias("block"), F.lit(True).alias("ghost")))
     order = Window.partitionBy("block").orderBy("ghost", F.asc_nulls_last("doc_id"), "text")
@@ -151,10 +225,14 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - quarter), F.substr("next_text", F.lit(1), quarter))
-    rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.when(~F.col("ghost"), edited)})
-    rows = with_fingerprint(rows, "text", "fingerprint", table)
-    rows = with_fingerprint(rows, "edited", "edited_fingerprint", table)
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    # Both texts begin alike; they are cut before the word that the edit may change.
+    start = F.substr("text", F.lit(1), n - quarter)
+    whole = F.length(start) - F.length(F.regexp_extract(F.reverse(start), r"^[\p{L}\p{N}]*", 0))
+    rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.when(~F.col("ghost"), edited), "whole": whole})
+    end = lambda c: F.substr(c, F.col("whole") + 1, F.length(c))
+    rows = rows.withColumns({"start": F.substr("text", F.lit(1), F.col("whole")), "end": end("text"), "edited_end": end("edited")})
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("next_text", "edited", "whole")
+    rows = with_fingerprints(rows, "start", {"fingerprint": "end", "edited_fingerprint": "edited_end"}, table)
     order = Window.partitionBy("block").orderBy("ghost", F.asc_nulls_last("doc_id"), "text")
     rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where(~F.col("ghost"))
     return rows.select(
