@@ -19,8 +19,8 @@ SLICE_BYTES = 8 << 20
 
 _BLANK = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _INNER_BLANK = f"\\x00|[{_BLANK}] ([{_BLANK}]|$)"
-_LINE_END = r"([\pL\pN.,;:!?])\n(\pL)"
-_WORD_END = r"(\pL)([.,])"
+_LINE_END = r"([^\PL\x{130}]|[\pN.,;:!?])\n(\pL)"
+_WORD_END = r"([^\PL\x{130}])([.,])"  # the small form of U+0130 ends in a mark, which is no letter
 _RUN_START = re.compile(r"(?<=\S)(?= )")
 
 
@@ -47,8 +47,8 @@ class TextEncoder:
 
     A text is cut where no token of the vocabularies used here can reach over the cut: before a space, between a
     letter and a full stop or comma, and around a single line end. Every distinct piece goes through the tokenizer
-    once. Texts with runs of several blanks are cut at the start of a run only. Strings of special tokens are
-    ordinary text. A tokenizer of another kind gets whole texts.
+    once. Texts with runs of several blanks are cut at the start of a run only. A text that holds an added token of the
+    vocabulary, such as ``<|endoftext|>``, goes to the tokenizer whole, as do all texts with a tokenizer of another kind.
     """
 
     def __init__(self, path: str, spans: bool = False, cached_words: int = CACHED_WORDS) -> None:
@@ -56,8 +56,11 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spans, self.form = spans, _form(json.loads(self.tokenizer.to_str()))
+        settings = json.loads(self.tokenizer.to_str())
+        self.spans, self.form = spans, _form(settings)
+        # Added tokens are found in the text before it is cut, some of them in its normalized form.
+        added = [t["content"] for t in settings.get("added_tokens") or [] if t["content"]]
+        self.added = "(?i)" + "|".join(re.escape(t).replace("\\ ", " ") for t in added) if added else None
         self.cached_words = cached_words
         self._reset()
 
@@ -123,12 +126,15 @@ class TextEncoder:
         if self.form is None:
             return self._index(texts.to_pylist()), np.ones(len(texts), np.int64)
         odd = pc.match_substring_regex(texts, _INNER_BLANK)
+        whole = pc.match_substring_regex(texts, self.added) if self.added else pa.scalar(False)
+        odd = pc.or_(odd, whole)
         marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), _LINE_END, "\\1\0\n\0\\2")
         marked = pc.replace_substring_regex(marked, _WORD_END, "\\1\0\\2")
         marked = pc.replace_substring(marked, " ", "\0 ")
         lists = pc.split_pattern(marked, "\0")
         if pc.any(odd).as_py():
-            cut = [_RUN_START.split(t) if o else p for t, o, p in zip(texts.to_pylist(), odd.to_pylist(), lists.to_pylist())]
+            whole = whole.to_pylist() if self.added else [False] * len(texts)
+            cut = [([t] if w else _RUN_START.split(t)) if o else p for t, o, w, p in zip(texts.to_pylist(), odd.to_pylist(), whole, lists.to_pylist())]
             lists = pa.array(cut, lists.type)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
