@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "penstroke"
-"""Stands for the secret of a deployment; whoever has it can undo the pseudonyms."""
+LEAST_PHONE_DIGITS = 7
+"""Digits of a telephone number with its country code; fewer after a plus sign are no number."""
 
-# What may be private, in the order it is tried at a place in the text.
+# What may be private, in the order it is tried at a place in the text. Every form is bounded in what it may
+# step back over, so that the time is in proportion to the text and no run of signs is followed step within step: the
+# name of an e-mail address has at most 64 characters, its domain at most 33 labels.
 KINDS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|(?<=[0-9])(?=[A-Za-z._%+-])|(?<=[A-Z])(?=[._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|(?<=[0-9])(?=[A-Za-z._%+-])|(?<=[A-Z])(?=[._%+-]))[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,32}",
     "ip": r"(?<![0-9A-Za-z.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![0-9A-Za-z]|\.\d)",
     "secret": r"(?<![0-9A-Za-z])(?:(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}|(?=[0-9A-F]{0,63}\d)[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
@@ -23,6 +25,9 @@ KINDS = {
     "card": r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
 }
 _ANY = "|".join(KINDS.values())
+_BLOCK = 256
+"""Places of a text that are put together at a time."""
+
 _AHEAD = 64
 """Characters after a match that are kept with it, more than any kind but the first three, which need no second try, is long."""
 
@@ -229,6 +234,7 @@ def found_at(place: Column) -> Column:
         "date": lambda t: F.when(_day(t).between(0, _DAYS - 1), t),
         "ssn": lambda t: F.when(ssn(t), t),
         "card": lambda t: _longest(t, 13, _is_card),
+        "phone": lambda t: F.when(F.length(_only(t, "0-9")) >= LEAST_PHONE_DIGITS, t),
     }
 
     def of(kind: str, form: str) -> Column:
@@ -318,19 +324,32 @@ def _replaced(parts: Column, found: Column) -> Column:
         kinds = F.when(hit, F.concat(done["kinds"], F.array(m["kind"]))).otherwise(done["kinds"])
         return F.struct(F.greatest(over - n, F.lit(0)).alias("skip"), out.alias("out"), kinds.alias("kinds"))
 
+    none = F.array().cast("array<string>").alias("kinds")
+
+    def add_block(done: Column, block: Column) -> Column:
+        # What is gathered is copied at each step, so it is gathered block by block.
+        inner = F.aggregate(block, F.struct(done["skip"].alias("skip"), F.array().cast("array<string>").alias("out"), none), add)
+        gathered = lambda x: F.struct(
+            x["skip"].alias("skip"), F.concat(done["out"], F.array(F.array_join(x["out"], ""))).alias("out"), F.concat(done["kinds"], x["kinds"]).alias("kinds")
+        )
+        return _let(inner, gathered)
+
     pairs = F.zip_with(F.slice(parts, F.lit(2), F.size(parts)), found, lambda p, m: F.struct(p.alias("part"), m.alias("found")))
-    start = F.struct(F.lit(0).alias("skip"), F.array(F.get(parts, 0)).alias("out"), F.array().cast("array<string>").alias("kinds"))
-    return F.aggregate(pairs, start, add)
+    first = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(_BLOCK))
+    blocks = _let(pairs, lambda ps: F.transform(first, lambda i: F.slice(ps, i + 1, F.lit(_BLOCK))))
+    start = F.struct(F.lit(0).alias("skip"), F.array(F.get(parts, 0)).alias("out"), none)
+    return F.aggregate(blocks, start, add_block)
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text", kinds_column: str | None = "private_kinds") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds_column: str | None = "private_kinds") -> DataFrame:
     """Replace private values in ``text`` by pseudonyms of the same format; other columns stay.
 
     Numbers are validated first: card numbers by their check digit, bank accounts by theirs, social security numbers
     and dates by their ranges; one that fails stays, unless another kind fits, or its beginning is valid by itself, or
     a value that starts further on within it. A pseudonym depends on the value and the key alone, so equal values stay
     equal everywhere, and it is valid in the same way. Different values of a kind and format never meet, since every
-    map is a permutation. ``kinds_column`` adds the kinds replaced, in order.
+    map is a permutation. ``kinds_column`` adds the kinds replaced, in order; a column of that name is replaced. ``key`` is the secret of a
+    deployment: whoever has it can undo the pseudonyms.
 
     Everything happens in the row: the text is cut at all places where a value may start, and put together again. A
     missing text stays missing and has no kinds; an empty text stays empty.

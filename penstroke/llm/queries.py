@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from penstroke.llm import attribution, decontamination, fingerprints, language, manifest, near_duplicates, negatives, packing, pseudonyms, quality, simple8b, toxicity, warc
 from penstroke.llm.tokenization import vocabulary
 
+EXAMPLE_KEY = "penstroke"
+"""The key of the registered queries alone; a deployment has a secret one."""
+
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -58,7 +61,7 @@ def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def private_data(spark: SparkSession, folder: str) -> DataFrame:
-    return pseudonyms.pseudonymize(_read(spark, folder, "documents").select("doc_id", "text"))
+    return pseudonyms.pseudonymize(_read(spark, folder, "documents").select("doc_id", "text"), EXAMPLE_KEY)
 
 
 def i_match(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,7 @@ from penstroke.llm.tokenization import TextEncoder, vocabulary
 from tests.conftest import SMALL, TABLES
 
 DOCS = "doc_id long, text string, w string, n_words int"
+KEY = "test"
 EDGES = [(1, "", "x", 1), (2, None, None, None), (3, "a  b   c \n d", "y", 2), (3, "a  b   c \n d", "y", 2), (None, "no id", "z", 3), (5, "É́ " * 3000, "", 0)]
 
 
@@ -36,7 +37,6 @@ def nothing(spark):
 
 def reference_ids(name, texts, end):
     tokenizer = Tokenizer.from_file(vocabulary(name))
-    tokenizer.encode_special_tokens = True
     return [np.array(e.ids + [end], "<u4") for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -181,7 +181,7 @@ def luhn(number):
 def test_pseudonyms(spark, edges, nothing):
     texts = ["4539 1488 0343 6467", "4539148803436467", "4539148803436468", "192.168.1.77", "1999-12-31", "31.12.1999", "1999-13-31", "078-05-1120", "666-05-1120", "+1 (555) 555-0199", "Ann.Lee7@mail.example.com", "DE89 3704 0044 0532 0130 00", "a" * 20 + "0123456789" * 2]
     docs = spark.createDataFrame([(i, f"see {t}, then {t}!") for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pseudonyms.pseudonymize(docs).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(docs, KEY).collect()}
     new = []
     for i, text in enumerate(texts):
         first, second = re.fullmatch(r"see (.*), then (.*)!", got[i].text).groups()
@@ -195,12 +195,114 @@ def test_pseudonyms(spark, edges, nothing):
     assert new[4].split("-") == new[5].split(".")[::-1]
     account = new[11].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
-    assert pseudonyms.pseudonymize(edges).count() == len(EDGES) and pseudonyms.pseudonymize(nothing).count() == 0
+    assert pseudonyms.pseudonymize(edges, KEY).count() == len(EDGES) and pseudonyms.pseudonymize(nothing, KEY).count() == 0
+
+
+PARTS = ["İ", "i̇", "I\u0307", "BELEDİYESİ", "ß", "Σ", "ΑΣ", "ǅ", "ﬁ", "é", "e\u0301", "K", "a", "B", "Merkez", "it's", "'LL", "12", "٣", ".", ",", ";", "!", "?", "-", " ", "  ", "\n", "\n\n", "\t", "\u00a0",
+         "\u3000", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "\x00", "漢字", "😀", "\u200d", "_", "\r\n"]
+
+
+@pytest.mark.parametrize("name", [queries.BYTE_VOCABULARY, queries.WORD_VOCABULARY])
+@pytest.mark.parametrize("spans", [False, True])
+def test_fuzzed_texts_encode_like_the_unmodified_tokenizer(name, spans):
+    import json
+    import random
+
+    import pyarrow as pa
+
+    random.seed(name)
+    tokenizer = Tokenizer.from_file(vocabulary(name))
+    added = [a["content"] for a in json.loads(tokenizer.to_str())["added_tokens"]]
+    texts = ["".join(random.choice(PARTS + added[:3]) for _ in range(random.randrange(1, 14))) for _ in range(6000)]
+    texts += [f"{a}{p}{b}" for a in ("İ", "xİ", "Aİb") for p in (".", ",", "\n", ".\n", " .", "!", "'s") for b in ("", "A", " a", "İ")]
+    found, counts = TextEncoder(vocabulary(name), spans).encode(pa.array(texts, pa.string()))
+    expected = tokenizer.encode_batch(texts, add_special_tokens=False)
+    ids = np.split(found[:, 0] if spans else found, np.cumsum(counts)[:-1])
+    wrong = [t for t, a, e in zip(texts, ids, expected) if a.tolist() != e.ids]
+    assert not wrong, wrong[:5]
+
+
+def plain_feistel(a, b, size_a, size_b, tweak, before, key):
+    """Ten rounds in plain Python; each adds a digest of one half to the other."""
+    for i in range(1, pseudonyms.ROUNDS + 1):
+        digest = hashlib.sha256("|".join([key, tweak, before, str(i), str(b)]).encode()).hexdigest()
+        a, b = b, (a + int(digest[:14], 16)) % (size_a if i % 2 else size_b)
+    return a, b
+
+
+def test_pseudonyms_equal_a_plain_permutation(spark):
+    """Addresses and social security numbers are pairs of numbers; card numbers numerals of two halves."""
+
+    def address(t):
+        o = list(map(int, t.split(".")))
+        a, b = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip", "", KEY)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+    def security(t):
+        area, group, serial = map(int, t.split("-"))
+        a, b = plain_feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn", "", KEY)
+        new = a // 99 + 1
+        return f"{new + (new >= 666):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+    def card(t):
+        digits = t.replace(" ", "")[:-1]
+        u = len(digits) // 2
+        a, b = plain_feistel(int(digits[:u]), int(digits[u:]), 10**u, 10 ** (len(digits) - u), f"card:{len(digits)}:", "", KEY)
+        new = f"{a:0{u}d}{b:0{len(digits) - u}d}"
+        total = sum((2 * int(c) - 9 * (2 * int(c) > 9)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(new)))
+        new += str(-total % 10)
+        return " ".join(new[k : k + 4] for k in range(0, 16, 4))
+
+    random = np.random.default_rng(3)
+    cases = [(f"{a}.{b}.{c}.{d}", address) for a, b, c, d in random.integers(0, 256, (40, 4))]
+    cases += [(f"{a:03d}-{b:02d}-{c:04d}", security) for a, b, c in zip(random.integers(1, 660, 40), random.integers(1, 100, 40), random.integers(1, 10000, 40))]
+    for body in random.integers(10**14, 10**15, 40):
+        digits = f"4{body}"[:15]
+        check = -sum((2 * int(c) - 9 * (2 * int(c) > 9)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits))) % 10
+        cases.append((" ".join(f"{digits}{check}"[k : k + 4] for k in range(0, 16, 4)), card))
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymize(docs, KEY).collect()}
+    assert [got[i] for i in range(len(cases))] == [f"see {f(t)} there" for t, f in cases]
+
+
+def test_hostile_texts_take_time_in_proportion(spark):
+    """A megabyte of each run on which a form may start anywhere or go on for ever."""
+    import time
+
+    n = 1_000_000
+    texts = ["x@" + "a." * (n // 2) + "com", "a1" * (n // 2), "1" * n, "A1B2 " * (n // 5), "a1@" * (n // 3), "Ab._" * (n // 4) + "@x.com", "x@" + "a" * n, "+1 22 " * (n // 6), "1-" * (n // 10), "0123456789abcdef" * (n // 16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    start = time.time()
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(docs, KEY).collect()}
+    assert time.time() - start < 120
+    assert len(got) == len(texts) and all(len(got[i].text) == len(t) for i, t in enumerate(texts))
+    assert got[0].private_kinds == ["email"] and got[0].text.endswith("a.a.com") and got[1].text == texts[1]
+
+
+def test_what_is_no_phone_number(spark):
+    docs = spark.createDataFrame([(1, "add +1 22 33 to it"), (2, "call +49 30 123456 now")], "doc_id long, text string")
+    got = {r.doc_id: r.private_kinds for r in pseudonyms.pseudonymize(docs, KEY).collect()}
+    assert got == {1: [], 2: ["phone"]}
+
+
+def test_next_texts_over_many_ranges_and_rows_without_an_id(spark):
+    random = np.random.default_rng(5)
+    made = [(int(i) if i < 900 else None, f"{'é' if i % 7 == 0 else ''}{random.integers(0, 10**9)} {i}") for i in random.permutation(1500)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    order = sorted(made, key=lambda r: (r[0] is None, r[0] or 0, r[1].encode()))
+    after = {t: order[(i + 1) % len(order)][1] for i, (_, t) in enumerate(order)}
+    for block_bytes in (30, 1000, 1 << 30):
+        got = fingerprints.with_next_text(docs, block_bytes).where("not ghost")
+        assert {r.text: r.next_text for r in got.collect()} == after
+        blocks = got.groupBy("block").count().collect()
+        assert block_bytes > 30 or (len(blocks) > 400 and max(r["count"] for r in blocks) < 60)
+    placed = spark.range(-5, 1010).select("id", fingerprints._place(F.col("id"), list(range(0, 1000, 3))).alias("n"))
+    assert all(r.n == sum(c <= r.id for c in range(0, 1000, 3)) for r in placed.collect())
 
 
 def test_pseudonyms_are_a_permutation(spark):
     docs = spark.range(2000).selectExpr("id as doc_id", "concat('1.2.', id div 256, '.', id % 256) as text")
-    assert pseudonyms.pseudonymize(docs).select("text").distinct().count() == 2000
+    assert pseudonyms.pseudonymize(docs, KEY).select("text").distinct().count() == 2000
 
 
 def test_edit_fingerprints(spark, documents, edges, nothing):
@@ -229,7 +331,7 @@ def test_toxicity(spark, edges, nothing):
     scores = [r[0] for r in edges.select(toxicity.score(F.col("text"), model, edges)).collect()]
     assert len(scores) == len(EDGES) and all(0 <= s <= 1 for s in scores)
     known = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "toxic")
-    rows = queries.toxicity_scores(spark, SMALL).where("not held_out").join(known, "doc_id").collect()
+    rows = queries.toxicity_scores(spark, SMALL).where("held_out").join(known, "doc_id").collect()
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
 
 
@@ -327,7 +429,7 @@ def test_pseudonyms_of_values_within_longer_matches(spark):
     ]
     texts = [f"see {b}{v}{a}, then {b}{v}{a}!" for v, b, a, _ in cases] + [f"4222222222222 {card}", f"{card}-ann@x.com", "13/31/2020 2020-01-02x 2020-01-02Tue"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pseudonyms.pseudonymize(docs).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(docs, KEY).collect()}
     for i, (v, b, a, kind) in enumerate(cases):
         form = re.sub(r"[0-9]", r"\\d", re.escape(v)) if kind != "iban" else re.sub(r"\d", r"\\d", v)
         new = re.fullmatch(f"see {re.escape(b)}({form}){re.escape(a)}, then {re.escape(b)}(\\1){re.escape(a)}!", got[i].text)
@@ -345,10 +447,67 @@ def test_pseudonyms_of_values_within_longer_matches(spark):
 def test_month_first_dates_are_a_permutation(spark):
     days = spark.range(3000).selectExpr("id as doc_id", "date_format(date_add(date'1996-01-01', cast(id as int)), 'MM/dd/yyyy') as text")
     days = days.where("substring(text, 4, 2) > '12'")
-    got = pseudonyms.pseudonymize(days)
+    got = pseudonyms.pseudonymize(days, KEY)
     assert got.where("substring(text, 4, 2) > '12' and try_to_date(text, 'MM/dd/yyyy') is not null").select("text").distinct().count() == days.count()
 
 
+def plain_terms(word):
+    """Terms by kind, as text."""
+    kinds = [word, *(word[:k] if len(word) >= k else None for k in toxicity.PREFIXES), word[-toxicity.SUFFIX :] if len(word) > toxicity.SUFFIX else None]
+    return [(kind, part) for kind, part in enumerate(kinds) if part is not None]
+
+
+def test_terms_of_words():
+    words = ["a", "abc", "abcdefgh", "abcd", "été", "étés", "😀😀😀", "x" * 5000, "x" * 4999 + "y"]
+    terms, hashes = toxicity.terms_of(words), {}
+    for word, row in zip(words, terms.tolist()):
+        assert len(plain_terms(word)) == sum(t != 0 for t in row)
+        for kind, part in plain_terms(word):
+            assert hashes.setdefault((kind, part), row[kind]) == row[kind]
+    assert len(set(hashes.values())) == len(hashes)
+    assert {t & 15 for t in hashes.values()} <= set(range(1, toxicity.VOTERS.index("suffix") + 1))
+    assert toxicity.terms_of([]).shape == (0, toxicity.KINDS)
+
+
+def brute_force_posterior(model, votes, given):
+    """Bayes over the whole tree, pattern by pattern."""
+    out = []
+    for v, g in zip(votes, given):
+        joint = []
+        for y in (0, 1):
+            p = model.prior if y else 1 - model.prior
+            for j in range(len(toxicity.VOTERS)):
+                up = model.parent[j]
+                fires = model.table[j, y, (v >> up & 1) if up >= 0 else 0]
+                p *= fires if v >> j & 1 else 1 - fires
+            p *= 1 if g < 0 else model.annotator[y] if g else 1 - model.annotator[y]
+            joint.append(p)
+        out.append(joint[1] / sum(joint))
+    return np.array(out)
+
+
+def test_label_model_against_brute_force():
+    """Accuracies and correlations of simulated voters are found without labels, and with wrong ones among them."""
+    random = np.random.default_rng(0)
+    truth = (random.random(20_000) < 0.2).astype(int)
+    bits = np.zeros((len(truth), len(toxicity.VOTERS)), int)
+    chances = [(0.02 + 0.01 * j, 0.5 + 0.03 * j) for j in range(8)]
+    for j, (low, high) in enumerate(chances):
+        bits[:, j] = random.random(len(truth)) < np.where(truth == 1, high, low)
+    bits[:, 8] = np.where(random.random(len(truth)) < 0.9, bits[:, 7], bits[:, 8])  # nearly a copy of the one before
+    votes = (bits << np.arange(bits.shape[1])).sum(1)
+    given = np.where(random.random(len(truth)) < 0.1, np.where(random.random(len(truth)) < 0.1, 1 - truth, truth), -1)
+    keys, n = np.unique(np.stack([votes, given]), axis=1, return_counts=True)
+    model = toxicity.fit_label_model(keys[0], keys[1], n.astype(float))
+    assert abs(model.prior - 0.2) < 0.02 and abs(model.annotator[1] - 0.9) < 0.08 and abs(model.annotator[0] - 0.1) < 0.08
+    first = model.accuracies()[toxicity.VOTERS[0]] if model.parent[0] < 0 else None
+    assert first is None or np.allclose(first, chances[0], atol=0.04)
+    assert model.parent[8] == 7 or model.parent[7] == 8
+    assert np.allclose(model.posterior(keys[0], keys[1]), brute_force_posterior(model, keys[0].tolist(), keys[1].tolist()), atol=1e-9)
+    assert np.allclose(model.posterior(keys[0]), brute_force_posterior(model, keys[0].tolist(), [-1] * len(keys[0])), atol=1e-9)
+    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.97
+
+
 def test_toxicity_does_not_depend_on_the_size_of_the_sample(spark, monkeypatch):
     import pyarrow as pa
 
@@ -360,24 +519,53 @@ def test_toxicity_does_not_depend_on_the_size_of_the_sample(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic) if i % 3], "doc_id long, toxic int")
     labelled = [i for i in range(len(texts)) if i % 3]
     n = [{}, {}]
+    number = {}
     for i in labelled:
-        for t in {t for w in set(texts[i].split()) for t in toxicity.terms_of(w)}:
+        of_text = set()
+        for w in set(texts[i].split()):
+            if w not in number:
+                number[w] = [t for t in toxicity.terms_of([w])[0].tolist() if t]
+            of_text.update(number[w])
+        for t in of_text:
             n[toxic[i]][t] = n[toxic[i]].get(t, 0) + 1
-    share = [sum(toxic[i] == y for i in labelled) + 1 for y in (0, 1)]
-    expected = {t: toxicity.voter_of(t) for t, k in n[1].items() if k >= 3 and ((k + 0.5) / share[1]) / ((n[0].get(t, 0) + 0.5) / share[0]) >= 6}
+    rows = [sum(toxic[i] == y for i in labelled) for y in (0, 1)]
+
+    def gain(bad, good):
+        share = (rows[1] + 0.5) / (sum(rows) + 1)
+        part = lambda k, p: k * np.log(k / ((bad + good) * p)) if k else 0
+        return 2 * (part(bad, share) + part(good, 1 - share))
+
+    expected = sorted(
+        t for t, k in n[1].items()
+        if k >= 3 and ((k + 0.5) / (rows[1] + 1)) / ((n[0].get(t, 0) + 0.5) / (rows[0] + 1)) >= 6 and gain(k, n[0].get(t, 0)) >= toxicity.LEAST_GAIN
+    )
+    assert expected
     monkeypatch.setattr(toxicity, "COUNTED_TERMS", 100)
-    monkeypatch.setattr(toxicity, "COUNTED_ROWS", 7)
     batches = [pa.RecordBatch.from_pydict({"text": [texts[i] for i in part], "toxic": [int(toxic[i]) for i in part]}) for part in np.array_split(labelled, 9)]
     parts = list(toxicity.count_terms(iter(batches)))
     assert len(parts) > 2 and pa.Table.from_batches(parts).group_by("term").aggregate([]).num_rows == len({*n[0], *n[1]})
     for y, column in enumerate(("clean", "toxic")):
         assert {t: sum(k for b in parts for u, k in zip(b["term"].to_pylist(), b[column].to_pylist()) if u == t) for t in list(n[y])[:50]} == {t: n[y][t] for t in list(n[y])[:50]}
     means, flagged = [], []
-    for rows in (4000, 40):
-        monkeypatch.setattr(toxicity, "LABELLED_ROWS", rows)
+    for size in (4000, 40):
+        monkeypatch.setattr(toxicity, "LABELLED_ROWS", size)
         model = toxicity.fit_toxicity(docs, labels)
-        assert model.lexicon == expected
+        assert model.lexicon.tolist() == expected
         got = docs.select(toxicity.score(F.col("text"), model, docs).alias("s")).agg(F.avg("s"), F.avg((F.col("s") >= 0.5).cast("int"))).first()
         means.append(got[0])
         flagged.append(got[1])
     assert abs(means[0] - means[1]) < 0.05 and abs(flagged[0] - flagged[1]) < 0.05, (means, flagged)
+
+
+def test_toxicity_scores_equal_sums_of_weights():
+    import pyarrow as pa
+
+    random = np.random.default_rng(1)
+    weights = random.normal(size=toxicity.BUCKETS)
+    texts = ["Bad, bad words; bad!", "", "été 12 x", "a" * 9000, "one two three one"]
+    got = toxicity.scores_of(pa.array(texts, pa.string()), weights, -0.5)
+    for text, score in zip(texts, got):
+        z = -0.5
+        for word in {w for w in re.split(r"[\W_]+", text.lower()) if w}:
+            z += sum(weights[b] for b in toxicity.buckets_of([word])[0].tolist() if b < toxicity.BUCKETS)
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
