@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,10 +59,8 @@ def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 def term_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """``(hash, there)`` per word and kind of term: the word, its beginnings of ``PREFIXES`` characters, its last ``SUFFIX``.
-
-    A beginning is hashed like a word of those characters, but for its kind.
-    """
+    """``(hash, there)`` per word and kind of term: the word, its beginnings of ``PREFIXES`` characters, its last ``SUFFIX``,
+    where it is that long. A beginning is hashed like a word of those characters, but for its kind."""
     n = len(words)
     hashes, there = np.zeros((n, KINDS), np.uint64), np.zeros((n, KINDS), bool)
     if not n:
@@ -296,7 +294,17 @@ def document_features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarra
     return [at[a:b] for a, b in zip(ends, ends[1:])], [n[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def train_classifier(features: list[np.ndarray], counts: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Features in little room: the steps from bucket to bucket, then the counts."""
+    return zlib.compress(np.concatenate([np.diff(at, prepend=0), n]).astype("<u4").tobytes(), 1)
+
+
+def unpacked(features: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at, n = np.frombuffer(zlib.decompress(features), "<u4").astype(np.int64).reshape(2, -1)
+    return np.cumsum(at), n
+
+
+def train_classifier(features: Sequence[np.ndarray], counts: Sequence[np.ndarray], target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights per hashed term and a bias, by follow-the-regularised-leader on the log loss of soft labels.
 
     A document counts as ``weight`` documents. Its features are, per term, how many of its distinct words have it.
@@ -342,11 +350,9 @@ def _sample_features(lexicon: np.ndarray):
         for batch in batches:
             for a, b in K.slices(batch.column(2)):
                 part = batch.slice(a, b - a)
-                at, n = document_features(part.column(2))
-                lists = [pa.array(x, pa.list_(pa.int32())) for x in (at, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(votes_of(part.column(2), lexicon)), *lists], names=["doc_id", "toxic", "votes", "at", "n"]
-                )
+                features = [packed(at, n) for at, n in zip(*document_features(part.column(2)))]
+                columns = [part.column(0), part.column(1), pa.array(votes_of(part.column(2), lexicon)), pa.array(features, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "votes", "features"])
 
     return run
 
@@ -383,11 +389,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         frame = frame.iloc[np.argsort([zlib.crc32(str(d).encode()) for d in frame["doc_id"]], kind="stable")]
         posterior = model.posterior(frame["votes"].to_numpy(), frame["toxic"].to_numpy())
         weight = frame["toxic"].map(share / frame["toxic"].value_counts(normalize=True)).to_numpy()  # one on average
-        weights, bias = train_classifier(list(frame["at"]), list(frame["n"]), posterior, weight)
+        at, n = zip(*map(unpacked, frame["features"]))
+        weights, bias = train_classifier(at, n, posterior, weight)
         return pd.DataFrame({"weights": [np.append(weights, bias).astype("<f8").tobytes()]})
 
     featured = sample.select("doc_id", "toxic", "text").mapInArrow(
-        _sample_features(lexicon), f"doc_id {dict(sample.dtypes)['doc_id']}, toxic int, votes long, at array<int>, n array<int>"
+        _sample_features(lexicon), f"doc_id {dict(sample.dtypes)['doc_id']}, toxic int, votes long, features binary"
     )
     one = featured.withColumn("all", F.lit(0)).groupBy("all")
     trained = one.applyInPandas(lambda frame: classifier(frame), "weights binary").toPandas()
