@@ -108,7 +108,7 @@ def _occurrences(docs: DataFrame, shingles: DataFrame, size: int, with_rows: boo
     ``at = -1``.
 
     Up to ``BROADCAST_SHINGLES`` hashes are sent to the executors, and the exploded rows never leave their task.
-    Beyond, they are shuffled by hash with the words around them.
+    Beyond, they are shuffled by hash with the words around them, without the documents' own rows.
     """
     cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     hashes = F.coalesce(_shingles(F.col("w"), size), F.array().cast("array<long>"))
@@ -125,5 +125,6 @@ def _occurrences(docs: DataFrame, shingles: DataFrame, size: int, with_rows: boo
         joined = listed.join(F.broadcast(marked), "shingle")
     else:
         listed = listed.select(*out)
-        joined, out = listed.join(marked, "shingle"), listed.columns
+        found = listed.where("at >= 0").join(shingles, "shingle")
+        return found.unionByName(listed.where("at < 0"), allowMissingColumns=True) if with_rows else found
     return joined.where((F.col("at") >= 0) & F.col("real") | F.lit(with_rows) & (F.col("at") < 0)).select(*out)

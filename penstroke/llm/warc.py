@@ -108,7 +108,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
     """
     spark = pages.sparkSession
     payloads = stage(payload_table(pages), "payloads")
-    starts = spark.sparkContext.broadcast(np.array(shard_starts(payloads, shard_bytes), np.int64))
+    firsts = shard_starts(payloads, shard_bytes)
+    starts = spark.sparkContext.broadcast(np.array(firsts, np.int64))
 
     @F.pandas_udf("long")
     def shard_of(page_id: pd.Series) -> pd.Series:
@@ -121,7 +122,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
     rows = pages.select(F.col("page_id").cast("long"), F.lit(1).alias("kind"), "url", F.coalesce("html", F.lit("")).alias("html"), none("string").alias("digest"), none("long").alias("refers_to"))
     notes = revisits(payloads).select("page_id", F.lit(0).alias("kind"), none("string").alias("url"), none("string").alias("html"), F.col("payload_digest").alias("digest"), "refers_to")
     both = rows.unionByName(notes).withColumn("shard", shard_of("page_id"))
-    dealt = both.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "kind", "url", "html")
+    dealt = both.repartitionByRange(len(firsts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "kind", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)

@@ -569,3 +569,23 @@ def test_toxicity_scores_equal_sums_of_weights():
         for word in {w for w in re.split(r"[\W_]+", text.lower()) if w}:
             z += sum(weights[b] for b in toxicity.buckets_of([word])[0].tolist() if b < toxicity.BUCKETS)
         assert score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def test_stores_named_by_a_connector():
+    from penstroke.llm.storage import native_uri
+
+    assert [native_uri(u) for u in ("s3a://b/x", "s3n://b", "s3://b/y", "file:///s3a://x", "/tmp/a", "hdfs://h/p")] == ["s3://b/x", "s3://b", "s3://b/y", "file:///s3a://x", "/tmp/a", "hdfs://h/p"]
+
+
+@pytest.mark.parametrize(("module", "name", "value", "query"), [(decontamination, "BROADCAST_SHINGLES", 0, "op6_decontamination"), (near_duplicates, "TREE_SIZE", 4, "op7_simhash")])
+def test_plans_of_large_inputs_give_the_same(spark, monkeypatch, module, name, value, query):
+    want = sorted(map(tuple, queries.QUERIES[query](spark, SMALL).collect()), key=repr)
+    monkeypatch.setattr(module, name, value)
+    assert sorted(map(tuple, queries.QUERIES[query](spark, SMALL).collect()), key=repr) == want
+
+
+def test_archives_of_many_shards(spark, tmp_path):
+    """Each shard is a task of its own, and the files are the same as from other partitions."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    made = [warc.write_warc(p, f"file://{tmp_path}/{i}", shard_bytes=20_000).drop("path").collect() for i, p in enumerate((pages, pages.repartition(5)))]
+    assert sorted(map(tuple, made[0])) == sorted(map(tuple, made[1])) and len({r.shard for r in made[0]}) > 4
