@@ -335,14 +335,95 @@ def test_toxicity(spark, edges, nothing):
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
 
 
+def test_language_scores_equal_a_plain_model(spark):
+    """Counts, weights and softmax text by text, in plain Python over the model's numbers."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit_language_model(docs.where("doc_id % 2 = 0").select("text", "lang"))
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        if r.doc_id % 2 == 0 and r.lang and re.search(r"[^\W\d_]", r.text or ""):
+            import pyarrow as pa
+
+            for b in language.ngram_counts(pa.array([r.text], pa.string()))[1].tolist():
+                counts[b] = counts.get(b, 0) + 1
+    total = sum(1 for r in rows if r.doc_id % 2 == 0 and r.lang and re.search(r"[^\W\d_]", r.text or ""))
+    got = {r.doc_id: r for r in language.predict_language(docs.select("doc_id", "text"), model).collect()}
+    for r in rows[:60]:
+        import pyarrow as pa
+
+        _, bucket, n = language.ngram_counts(pa.array([r.text or ""], pa.string()))
+        if not len(bucket):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        idf = [np.log((1 + total) / (1 + counts.get(b, 0))) + 1 for b in bucket.tolist()]
+        value = [(1 + np.log(k)) * i for k, i in zip(n.tolist(), idf)]
+        norm = sum(v * v for v in value) ** 0.5
+        z = [(model.bias[k] + sum(v / norm * model.weights[b, k] for v, b in zip(value, bucket.tolist()))) / model.temperature for k in range(len(model.languages))]
+        p = np.exp(np.array(z) - max(z))
+        p /= p.sum()
+        assert got[r.doc_id].lang_pred == model.languages[int(p.argmax())] and got[r.doc_id].score == pytest.approx(p.max())
+
+
+def test_texts_in_no_language_learned_are_strange(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    foreign = [
+        "Съешь же ещё этих мягких французских булок, да выпей чаю, и расскажи всем соседям о том, что видел вчера вечером в старом городе.",
+        "zxqj vkqz jjxw qqzv wxkj zzqx vjqk xwzq kkqj zvxq wqjz xkvz jqwx zkqv xjzq wvkx qzjx kwqz vxjk zqwv jxkq wzvq xqjz kvwx zjqk",
+        "Žluťoučký kůň úpěl ďábelské ódy, přičemž všichni příbuzní mlčky přihlíželi a čekali, až se konečně rozhodne odejít někam jinam.",
+    ]
+    added = spark.createDataFrame([(10**9 + i, t, None, "src0", len(t)) for i, t in enumerate([*foreign, "Qxz.", ""])], docs.schema)
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(added), SMALL).collect()}
+    assert kept & set(range(10**9, 10**9 + 5)) == {10**9 + 3}
+    assert {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")} == {i for i in kept if i < 10**9}
+
+
 def test_pipeline(spark):
+    """The chain of stages, each against a count of its own on what the one before kept."""
     import corpus_pipeline
 
+    benchmark = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010FFFF]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    windows = {}
+    for item in benchmark:
+        w = words(item)
+        size = min(13, len(w))
+        for k in range(len(w) - size + 1 if w else 0):
+            windows.setdefault(size, set()).add(tuple(w[k : k + size]))
+
+    def contaminated(text):
+        w, hit = words(text), set()
+        for size, known in windows.items():
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in known:
+                    hit.update(range(k, k + size))
+        return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+    kept = [docs]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SMALL)
+        after = stage(spark, kept[-1], SMALL).cache()
         assert after.columns == docs.columns
-    assert corpus_pipeline.run(spark, SMALL).count() > 0
+        kept.append(after)
+    language_kept, near, clean, replaced = ({r.doc_id: r.text for r in k.collect()} for k in kept[1:])
+    assert set(language_kept) == {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    groups = queries.near_duplicates.near_duplicate_groups(kept[1]).collect()
+    assert set(near) == {r.component_id for r in groups}
+    assert set(clean) == {i for i, t in near.items() if not contaminated(t)}
+    assert set(replaced) == set(clean)
+    private = {r.doc_id: r.private_kinds for r in pseudonyms.pseudonymize(kept[3], queries.EXAMPLE_KEY).collect()}
+    assert all((replaced[i] == clean[i]) == (not private[i] or replaced[i] == clean[i]) for i in clean)
+    assert all(replaced[i] == clean[i] for i in clean if not private[i])
+    lengths = {r.doc_id: r.n_chars for r in kept[4].collect()}
+    assert all(lengths[i] == len(t) for i, t in replaced.items() if t is not None)
+    packed = corpus_pipeline.run(spark, SMALL).collect()
+    ids = {i: len(e) for i, e in zip(replaced, reference_ids(queries.WORD_VOCABULARY, list(replaced.values()), 2))}
+    tokens = {}
+    for r in packed:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    assert tokens == ids
 
 
 def brute_force_i_match(texts, others):
