@@ -437,9 +437,10 @@ def first_source_of_author(spark, sf):
 
 
 # Batches are built over customers: the market segment is the corpus, so that all corpora have many authors.
-AUTHORS = """WITH listed AS (
+AUTHORS = """WITH RECURSIVE listed AS (
   SELECT c_name AS author, c_mktsegment AS source, row_number() OVER (ORDER BY c_name) - 1 AS label,
-    (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) - 1) % 2 AS shard FROM customer
+    (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) - 1) % 2 AS shard,
+    (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) - 1) // 2 AS ordinal FROM customer
 )"""
 SHARDED = """, sizes AS (SELECT shard, source, count(*) AS n FROM listed GROUP BY ALL),
 batches_of AS (SELECT shard, CAST(ceil(max(n) / 4) AS BIGINT) AS n_batches FROM sizes GROUP BY shard)"""
@@ -458,7 +459,7 @@ def label_encode(spark, sf):
     return B.label_encode(customers(spark, sf))
 
 
-@query("shard_authors", f"{AUTHORS} SELECT author, source, label, shard FROM listed")
+@query("shard_authors", f"{AUTHORS} SELECT author, source, label, shard, ordinal FROM listed")
 def shard_authors(spark, sf):
     return sharded(spark, sf)
 
@@ -468,14 +469,32 @@ def n_batches(spark, sf):
     return B.n_batches(sharded(spark, sf), X.SLOTS)
 
 
+def sent(rows):
+    """The permutation's four rounds over ``x``; each adds a digest of one half to the other."""
+    half = lambda i: f"CAST('0x' || md5(key || ':{i}:' || r{i - 1})[:12] AS BIGINT)"
+    before = ["l0", "r0", "r1", "r2", "r3"]
+    rounds = ", ".join(f"({before[i - 1]} + {half(i)}) % side AS r{i}" for i in range(1, 5))
+    return f"""SELECT * EXCLUDE (x, l0, r0, r1, r2, r3, r4), r3 * side + r4 AS x
+  FROM (SELECT *, x // side AS l0, x % side AS r0, {rounds} FROM {rows})"""
+
+
+def walked(epoch):
+    """Every turn with its place ``x``: sent on until it is below n."""
+    key = f"'{X.SEED}:' || {epoch} || ':' || shard || ':' || source || ':' || pass AS key"
+    return f"""walk AS (
+  {sent(f"(SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS side, {key}, CAST(ordinal AS BIGINT) AS x FROM turns)")}
+  UNION ALL
+  {sent("(SELECT * FROM walk WHERE x >= n)")}
+)"""
+
+
 BATCHES = f"""{AUTHORS}{SHARDED},
 turns AS (
   SELECT l.*, n, n_batches, CAST(floor(n / 4) AS BIGINT) AS per, p.pass
   FROM listed l JOIN sizes USING (shard, source) JOIN batches_of USING (shard), unnest(range(CAST(ceil(n_batches / floor(n / 4)) AS BIGINT))) AS p(pass)
 ),
-seated AS (
-  SELECT *, row_number() OVER (PARTITION BY shard, source, pass ORDER BY md5(author || ':' || pass || ':1{X.SEED}'), author) - 1 AS seat FROM turns
-),
+{walked(1)},
+seated AS (SELECT *, x AS seat FROM walk WHERE x < n),
 batches AS (
   SELECT 1 AS epoch, shard, pass * per + seat // 4 AS batch_id, source, author, label, pass AS visit, false AS repeated
   FROM seated WHERE seat // 4 < per AND pass * per + seat // 4 < n_batches
@@ -497,10 +516,11 @@ def shuffle_batch(spark, sf):
 
 # Batches over the chunk authors, by their first corpus; corpora with fewer authors than slots repeat them.
 def collated(*epochs):
-    return f"""{RANKS}, {Q.CHUNK_KEYS}, bound AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM tcounts),
+    return f"""{RANKS.replace("WITH ", "WITH RECURSIVE ", 1)}, {Q.CHUNK_KEYS}, bound AS (SELECT floor(count(*)::DOUBLE * 0.7::DOUBLE) AS threshold FROM tcounts),
 listed AS (
   SELECT author, source, row_number() OVER (ORDER BY author) - 1 AS label,
-    (row_number() OVER (PARTITION BY source ORDER BY author) - 1) % 2 AS shard
+    (row_number() OVER (PARTITION BY source ORDER BY author) - 1) % 2 AS shard,
+    (row_number() OVER (PARTITION BY source ORDER BY author) - 1) // 2 AS ordinal
   FROM (SELECT author, arg_min(source, (doc_id, chunk_idx, source)) AS source FROM keys GROUP BY author HAVING count(*) >= {X.VIEWS})
 ){SHARDED},
 turns AS (
@@ -508,9 +528,8 @@ turns AS (
   FROM listed l JOIN sizes USING (shard, source) JOIN batches_of USING (shard), unnest({list(epochs)}) AS e(epoch),
     unnest(range(CAST(ceil(n_batches / greatest(1, n // 4)) AS BIGINT))) AS p(pass)
 ),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY epoch, shard, source, pass ORDER BY md5(author || ':' || pass || ':' || epoch || '{X.SEED}'), author) - 1 AS place FROM turns
-),
+{walked("epoch")},
+placed AS (SELECT *, x AS place FROM walk WHERE x < n),
 seated AS (
   SELECT *, s.seat FROM placed, unnest(CASE WHEN n >= 4 THEN [place] ELSE range(place, 4, n) END) AS s(seat)
 ),

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstroke.functions import text as X
+from penstroke.functions.arrays import with_value
 from penstroke.operators.chunking import MASK
 from penstroke.operators.distributed import HOT_ROWS, global_rank, salted_join
 from penstroke.operators.ranks import mask_content
 from penstroke.operators.sampling import number_by_digest
 
 VIEWS = 16
+ROUNDS, MOST_STEPS = 4, 64
+"""Rounds of a permutation, and times that a result is sent on; past 1000 ordinals not even a few in a row are needed."""
+
 
 
 def first_source_of_author(chunks: DataFrame) -> DataFrame:
@@ -26,9 +30,11 @@ def label_encode(authors: DataFrame) -> DataFrame:
 
 
 def shard_authors(authors: DataFrame, world: int) -> DataFrame:
-    """Add ``shard``: the authors of each corpus, in order, dealt in turn to ``world`` shards."""
+    """Add ``shard``, the authors of each corpus, in order, dealt in turn to ``world`` shards, and ``ordinal``, the place from 0
+    among those of a corpus in a shard."""
     placed = global_rank(authors, ["author"], "_at", within=["source"])
-    return placed.withColumn("shard", F.pmod("_at", F.lit(world)).cast("int")).drop("_at")
+    dealt = {"shard": F.pmod("_at", F.lit(world)).cast("int"), "ordinal": F.floor(F.col("_at") / world)}
+    return placed.withColumns(dealt).drop("_at")
 
 
 def slots_per_corpus(batch_size: int, world: int, n_corpora: int) -> int:
@@ -46,26 +52,56 @@ def n_batches(sharded: DataFrame, slots: int) -> DataFrame:
     return sizes.groupBy("shard").agg(F.ceil(F.max("n") / slots).alias("n_batches"))
 
 
-def balanced_batches(
-    sharded: DataFrame, slots: int, epoch: int = 0, seed: str = "42", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def keyed_permutation(ordinal: Column, n: Column, key: Column) -> Column:
+    """Where a permutation of 0 … n - 1, one for every key, sends ``ordinal``: a random order without sorting.
+
+    Four rounds permute the least square that holds n, as pairs of numbers below its side; a result past n - 1 is sent
+    on until it lies below n, which makes a permutation of those. Few are past it, and at most as many as the square
+    has places over n can follow each other.
+    """
+    side = F.ceil(F.sqrt(n.cast("double")))
+
+    def turned(b: Column) -> Column:
+        def swap(pair: Column, i: Column) -> Column:
+            digest = F.md5(F.concat_ws(":", b["key"], i.cast("string"), pair["r"].cast("string")))
+            added = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
+            return F.struct(pair["r"].alias("l"), F.pmod(pair["l"] + added, b["side"]).alias("r"))
+
+        def step(state: Column, _: Column) -> Column:
+            pair = F.struct(F.floor(state["at"] / b["side"]).alias("l"), F.pmod(state["at"], b["side"]).alias("r"))
+            sent = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), pair, swap, lambda p: p["l"] * b["side"] + p["r"])
+            moved = with_value(sent, lambda at: F.struct(at.alias("at"), (at < b["n"]).alias("done")))
+            return F.when(state["done"], state).otherwise(moved)
+
+        steps = F.sequence(F.lit(1), F.least(b["side"] * b["side"] - b["n"] + 1, F.lit(MOST_STEPS)).cast("int"))
+        start = F.struct(b["at"].alias("at"), F.lit(False).alias("done"))
+        lost = F.raise_error(F.lit("no place found for an ordinal")).cast("bigint")
+        return F.aggregate(steps, start, step, lambda s: F.when(s["done"], s["at"]).otherwise(lost))
+
+    bound = {"at": ordinal.cast("bigint"), "n": n.cast("bigint"), "side": side.cast("bigint"), "key": key}
+    return with_value(F.struct(*(v.alias(k) for k, v in bound.items())), turned)
+
+
+def balanced_batches(sharded: DataFrame, slots: int, epoch: int = 0, seed: str = "42") -> DataFrame:
     """Batches of one epoch: ``epoch, shard, batch_id, source, author, label, visit, repeated``.
 
     A corpus with n authors fills floor(n / slots) batches in one pass over a fresh shuffle and drops the remainder;
     it goes through as many passes as the largest corpus needs. Batch and slot follow from an author's place in the
-    shuffle of its pass, so all passes are shuffled at once, without a loop. A corpus with fewer authors than slots
-    repeats them in turn (``repeated``). ``visit`` counts the uses of an author.
+    shuffle of its pass, which is computed from its ``ordinal`` in the row: no pass is sorted or moved. A corpus with
+    fewer authors than slots repeats them in turn (``repeated``). ``visit`` counts the uses of an author.
     """
-    sizes = sharded.groupBy("shard", "source").agg(F.count("*").alias("_n"))
+    dense = F.max("ordinal") + 1 == F.count("*")
+    gaps = F.raise_error(F.lit("ordinals have gaps: authors are to be chosen before they are sharded")).cast("bigint")
+    sizes = sharded.groupBy("shard", "source").agg(F.when(dense, F.count("*")).otherwise(gaps).alias("_n"))
     most = n_batches(sharded, slots).withColumnRenamed("n_batches", "_batches")
     per_pass = F.greatest(F.floor(F.col("_n") / slots), F.lit(1))
     plan = sizes.join(most, "shard").withColumn("_per", per_pass)
     passes = F.sequence(F.lit(0), (F.ceil(F.col("_batches") / F.col("_per")) - 1).cast("int"))
     turns = salted_join(sharded, plan, ["shard", "source"]).withColumn("_pass", F.explode(passes))
-    drawn = ["author", "_pass", F.lit(str(epoch))]
-    placed = number_by_digest(turns, ["shard", "source", "_pass"], drawn, ["author"], seed, "_rn", hot_rows=hot_rows)
-    place = F.col("_rn") - 1
-    in_turn = F.sequence(place, F.lit(slots - 1).cast("int"), F.col("_n").cast("int"))
+    key = F.concat_ws(":", F.lit(seed), F.lit(str(epoch)), *(F.col(c).cast("string") for c in ("shard", "source", "_pass")))
+    placed = turns.withColumn("_place", keyed_permutation(F.col("ordinal"), F.col("_n"), key))
+    place = F.col("_place")
+    in_turn = F.sequence(place, F.lit(slots - 1).cast("bigint"), F.col("_n"))
     seats = F.when(F.col("_n") >= slots, F.array(place)).otherwise(in_turn)
     seated = placed.withColumn("_seat", F.explode(seats)).withColumn("_slot", F.floor(F.col("_seat") / slots))
     batch = F.col("_pass") * F.col("_per") + F.col("_slot")

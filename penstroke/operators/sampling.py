@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from penstroke.functions import text as X
 from penstroke.operators.distributed import HOT_ROWS, drop_members, keep_members, number_rows, salted_join
+from penstroke.staging import stage
 
 VALIDATION_AUTHORS = 256
 TRAIN_CAP = 1270
@@ -110,9 +111,9 @@ def split_by_author(
 ) -> DataFrame:
     """Chunks with ``split`` ('val' or 'train'), disjoint by corpus and author.
 
-    ``chunks`` is read for its authors and once for the result, so it should be a stored table.
+    ``chunks`` is read for its authors, which are stored, and once for the result, so it should be a stored table.
     """
-    split = split_authors(distinct_authors(chunks), k, caps, seed, hot_rows)
+    split = split_authors(stage(distinct_authors(chunks), "authors"), k, caps, seed, hot_rows)
     return salted_join(chunks, split, AUTHOR_KEYS)
 
 

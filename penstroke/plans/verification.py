@@ -60,7 +60,7 @@ def verification_split(
     among the further arguments, which go to ``author_vectors``, content is masked.
     """
     known, unknown = E.split_texttype(corpus)
-    matched = E.match_problems(problems, known, unknown)
+    matched = stage(E.match_problems(problems, known, unknown), "matched")
     sides = {}
     for texts, side in ((known, "known_author"), (unknown, "unknown_author")):
         asked = matched.select("corpus", F.col(side).alias("author")).distinct()

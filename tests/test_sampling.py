@@ -93,9 +93,35 @@ def test_labels_and_shards(sharded):
         assert of_source == [i % WORLD for i in range(len(of_source))]
 
 
-@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
-def test_balanced_batches(sharded, hot_rows):
-    batches = B.balanced_batches(sharded, SLOTS, epoch=2, hot_rows=hot_rows).collect()
+def test_keyed_permutation(spark):
+    """Every key gives a permutation, and different keys different ones; no place is preferred."""
+    sizes = [1, 2, 3, 4, 5, 9, 10, 17, 99, 100, 101, 1000, 1025, 4000]
+    made = spark.createDataFrame([(n, k) for n in sizes for k in range(12)], "n int, k int").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sent = made.select("n", "k", "x", B.keyed_permutation(F.col("x"), F.col("n"), F.concat_ws(":", F.lit("s"), "k")).alias("y")).toPandas()
+    orders = {}
+    for (n, k), rows_ in sent.groupby(["n", "k"]):
+        order = tuple(rows_.sort_values("x")["y"])
+        assert sorted(order) == list(range(n))
+        orders.setdefault(n, set()).add(order)
+    assert all(len(orders[n]) == 12 for n in sizes if n >= 9) and len(orders[3]) > 2
+    first = sent[(sent["n"] == 100) & (sent["x"] == 0)]["y"]
+    assert first.nunique() > 6
+
+
+def test_no_pass_is_sorted_or_moved(spark):
+    rows_ = [("a", "s", 0, 0, 0)]
+    sharded = spark.createDataFrame(rows_, "author string, source string, label long, shard int, ordinal long")
+    shape = B.balanced_batches(sharded, SLOTS)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in shape and "_pass#" not in "".join(line for line in shape.splitlines() if "Exchange" in line)
+
+
+def test_ordinals_with_gaps_are_an_error(sharded):
+    with pytest.raises(Exception, match="gaps"):
+        B.balanced_batches(sharded.where("ordinal <> 1"), SLOTS).collect()
+
+
+def test_balanced_batches(sharded):
+    batches = B.balanced_batches(sharded, SLOTS, epoch=2).collect()
     of = {}
     for r in batches:
         of.setdefault((r.shard, r.batch_id), []).append(r)
@@ -135,7 +161,8 @@ def test_collate(spark, sharded):
     chunks = sharded.select("author", "source", "label", F.explode(F.sequence(F.lit(1), n)).alias("i")).select(
         "author", "source", F.concat(F.lit("d"), "author").alias("doc_id"), F.col("i").alias("chunk_idx"), ids.alias("input_ids"), ranks.alias("ranks")
     )
-    batches = B.balanced_batches(sharded.where(F.col("label") % 10 != 0), SLOTS)
+    chosen = sharded.where(F.col("label") % 10 != 0).drop("shard", "ordinal")
+    batches = B.balanced_batches(B.shard_authors(chosen, WORLD), SLOTS)
     out = B.collate_batches(batches, chunks, 3, True, 2, hot_rows=5).collect()
     enough = {r.author for r in sharded.collect() if r.label % 10}
     visits = {}
