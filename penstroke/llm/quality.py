@@ -179,14 +179,13 @@ def pooled_vectors(docs: DataFrame, vectors: np.ndarray, key: str, text: str) ->
     """``key`` and ``features`` of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x (DIMENSIONS + 1) numbers
 
-    @F.pandas_udf("array<float>")
-    def pooled(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def pooled(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = TokenTable()
         for part in parts:
-            out = []
-            for _, texts in _portions(pa.array(part, pa.string())):
-                out.extend(pool(*table.positions(texts), len(texts), shared.value).astype(np.float32))
-            yield pd.Series(out, dtype=object)
+            found = [pool(*table.positions(texts), len(texts), shared.value).astype(np.float32) for _, texts in _portions(part)]
+            flat = np.concatenate([np.empty(0, np.float32), *(f.ravel() for f in found)])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * FEATURES), pa.array(flat))
 
     return docs.select(F.col(key), pooled(F.col(text)).alias("features"))
 

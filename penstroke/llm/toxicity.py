@@ -406,11 +406,10 @@ def votes(text: Column, lexicon: np.ndarray, docs: DataFrame) -> Column:
     """The bits of the voters that fire; 0 for a missing text."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the terms of a document / LEAST_SHARE
 
-    @F.pandas_udf("long")
-    def voted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def voted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = pc.fill_null(pa.array(part, pa.string()), "")
-            yield pd.Series(np.concatenate([np.empty(0, np.int64), *(votes_of(t, shared.value) for t in _slices(texts))]))
+            yield pa.array(np.concatenate([np.empty(0, np.int64), *(votes_of(t, shared.value) for t in _slices(pc.fill_null(part, "")))]))
 
     return voted(text)
 
@@ -427,10 +426,9 @@ def score(text: Column, model: ToxicityModel, docs: DataFrame) -> Column:
     """The chance that the whole text is toxic; a missing text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # BUCKETS numbers
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = pc.fill_null(pa.array(part, pa.string()), "")
-            yield pd.Series(np.concatenate([np.empty(0), *(scores_of(t, *shared.value) for t in _slices(texts))]))
+            yield pa.array(np.concatenate([np.empty(0), *(scores_of(t, *shared.value) for t in _slices(pc.fill_null(part, "")))]))
 
     return scored(text)
