@@ -25,6 +25,20 @@ def lines(text: str) -> np.ndarray:
     return np.stack([start, start + lengths], 1)
 
 
+def section_bounds(listed: list[dict | None] | None) -> np.ndarray:
+    """Bounds of given sections; one with a missing bound is empty and lies where the one before ends."""
+    out, at = [], 0
+    for section in listed or []:
+        start, end = (section or {}).get("start"), (section or {}).get("end")
+        if start is None or end is None:
+            start = end = at
+        if start < at or end < start:
+            raise ValueError(f"sections must be sorted and must not overlap: {start} to {end} after {at}")
+        out.append((start, end))
+        at = end
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def attribute(tokens: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, int]:
     """``(tokens, crossing tokens)`` per section, and the tokens in none.
 
@@ -68,7 +82,7 @@ def section_token_counts(docs: DataFrame, tokenizer: str, sections: str | None =
     overlapping, in characters; without it sections are the lines. Every document also has a row ``section = -1`` for
     tokens in no section, such as line ends, so the rows of a document add up to ``doc_tokens`` (with the rule
     ``each``, to that plus the crossings). A missing or empty text has that row only; repeated rows are documents of
-    their own; null sections are none.
+    their own; null sections are none, a section with a missing bound is empty, and unsorted or overlapping ones are an error.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -83,7 +97,7 @@ def section_token_counts(docs: DataFrame, tokenizer: str, sections: str | None =
                 given = rows.column(2).slice(a, b - a).to_pylist() if sections else None
                 out, at = [], 0
                 for i, (doc, value, n) in enumerate(zip(rows.column(0).slice(a, b - a).to_pylist(), part.to_pylist(), counts.tolist())):
-                    spans = lines(value) if given is None else np.array([(s["start"], s["end"]) for s in given[i] or []], np.int64).reshape(-1, 2)
+                    spans = lines(value or "") if given is None else section_bounds(given[i])
                     own, crossing, outside = attribute(tokens[at : at + n, 1:], spans, rule)
                     at += n
                     k = len(spans)

@@ -248,7 +248,9 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS, id_column: str = "d
     the row. The least row of a group is a minimum with partial aggregation, first per fingerprint. Columns stay.
     """
     keys = ["__text", "__row"]
-    hashed = {keys[0]: F.xxhash64(text), keys[1]: F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))}
+    # A map has no order; its entries, sorted, have one.
+    values = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in docs.schema.fields]
+    hashed = {keys[0]: F.xxhash64(text), keys[1]: F.xxhash64(*values, *(F.col(c).isNull() for c in docs.columns))}
     marked = docs.withColumns(hashed)
     rows = stage(fingerprints(marked, id_column, text, tuple(keys)), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *keys)

@@ -670,3 +670,54 @@ def test_archives_of_many_shards(spark, tmp_path):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     made = [warc.write_warc(p, f"file://{tmp_path}/{i}", shard_bytes=20_000).drop("path").collect() for i, p in enumerate((pages, pages.repartition(5)))]
     assert sorted(map(tuple, made[0])) == sorted(map(tuple, made[1])) and len({r.shard for r in made[0]}) > 4
+
+
+def plain_attribution(spans, sections, rule):
+    """Tokens per section and outside, character by character."""
+    counts, crossing, outside = [0] * len(sections), [0] * len(sections), 0
+    for start, end in spans:
+        held = [sum(a <= c < b for c in range(start, max(end, start + 1))) for a, b in sections]
+        touched = [i for i, k in enumerate(held) if k]
+        if not touched:
+            outside += 1
+            continue
+        of = touched if rule == "each" else [touched[0]] if rule == "first" else [max(touched, key=lambda i: (held[i], -i))]
+        for i in of:
+            counts[i] += 1
+        if len(touched) > 1:
+            for i in touched:
+                crossing[i] += 1
+    return counts, crossing, outside
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_sections_equal_a_count_by_characters(spark, rule):
+    random = np.random.default_rng(7)
+    texts = ["Some words, many words.\n\nAnd é, ñ 😀 more!\n", "", None, "x" * 40, "İstanbul. tokens 12345 <|endoftext|> end"]
+    rows, tokenizer = [], Tokenizer.from_file(vocabulary(queries.BYTE_VOCABULARY))
+    for i, text in enumerate(texts * 6):
+        cuts = sorted(random.integers(0, len(text or "") + 1, 2 * random.integers(0, 5)).tolist())
+        rows.append((i, text, [(a, b) for a, b in zip(cuts[::2], cuts[1::2])], "n", 3))
+    schema = "doc_id long, text string, parts array<struct<start: int, end: int>>, section string, n_tokens int"
+    got = {}
+    for r in attribution.section_token_counts(spark.createDataFrame(rows, schema), vocabulary(queries.BYTE_VOCABULARY), "parts", rule).collect():
+        got.setdefault(r.doc_id, {})[r.section] = (r.n_tokens, r.n_crossing)
+    for i, text, sections, *_ in rows:
+        spans = tokenizer.encode(text or "", add_special_tokens=False).offsets
+        counts, crossing, outside = plain_attribution(spans, sections, rule)
+        assert got[i] == {-1: (outside, 0), **{k: (n, c) for k, (n, c) in enumerate(zip(counts, crossing))}}
+
+
+def test_odd_sections(spark):
+    schema = "doc_id long, text string, parts array<struct<start: int, end: int>>"
+    docs = spark.createDataFrame([(1, "one two", [(0, 3), (None, 5), None, (4, 7)]), (2, "one", None)], schema)
+    path = vocabulary(queries.BYTE_VOCABULARY)
+    got = sorted((r.doc_id, r.section, r.first_char, r.n_chars) for r in attribution.section_token_counts(docs, path, "parts").collect())
+    assert got == [(1, -1, 0, 0), (1, 0, 0, 3), (1, 1, 3, 0), (1, 2, 3, 0), (1, 3, 4, 3), (2, -1, 0, 0)]
+    with pytest.raises(Exception, match="overlap"):
+        attribution.section_token_counts(spark.createDataFrame([(1, "one two", [(4, 7), (0, 3)])], schema), path, "parts").collect()
+
+
+def test_near_copies_with_a_map_column(spark):
+    docs = spark.createDataFrame([(1, "a b c d", {"x": 1, "y": 2}), (2, "a b c d", {"y": 2, "x": 1}), (3, "q r s t u", {})], "doc_id long, text string, m map<string, int>")
+    assert sorted(r.doc_id for r in near_duplicates.one_of_each_group(docs).collect()) == [1, 3]
