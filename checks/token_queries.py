@@ -567,6 +567,23 @@ def collate_batches(spark, sf):
     return rows.withColumn("input_ids", X.joined("input_ids"))
 
 
+@query(
+    "collate_stored_chunks",
+    f"""{collated(0)} SELECT b.epoch, shard, batch_id, label, b.author, visit, repeated, view, p.source, p.doc_id, p.chunk_idx, input_ids
+    FROM batches b, unnest(range({X.VIEWS})) AS v(view)
+    JOIN places p ON p.epoch = b.epoch AND p.author = b.author AND p.place = (b.visit * {X.VIEWS} + v.view) % p.n
+    JOIN content c ON c.source = p.source AND c.author = p.author AND c.doc_id = p.doc_id AND c.chunk_idx = p.chunk_idx""",
+)
+def collate_stored_chunks(spark, sf):
+    """The same from ranked chunks stored by their keys, whose contents are not moved."""
+    chunks, _, counts, lookup = token_rank_tables(spark, sf)
+    ranked = O.store_by_key(R.attach_token_ranks(chunks, lookup), B.CONTENT_KEYS, name="ranked_chunks")
+    threshold = R.masking_threshold(counts, "percentile", 0.70)
+    batches = stage(B.balanced_batches(P.training_members(ranked, X.VIEWS, X.WORLD), X.SLOTS, 0, X.SEED), "batches")
+    rows = B.collate_batches(batches, ranked, X.VIEWS, True, threshold, seed=X.SEED)
+    return rows.withColumn("input_ids", X.joined("input_ids"))
+
+
 @query(
     "training_batches",
     f"""{collated(0, 1)} SELECT b.epoch, shard, batch_id, position, label, b.author, visit, repeated, view, p.source, p.doc_id, p.chunk_idx, input_ids

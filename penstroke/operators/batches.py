@@ -13,6 +13,7 @@ from penstroke.operators.ranks import mask_content
 from penstroke.operators.sampling import number_by_digest
 
 VIEWS = 16
+CONTENT_KEYS = ("source", "author", "doc_id", "chunk_idx")
 ROUNDS, MOST_STEPS = 4, 64
 """Rounds of a permutation, and times that a result is sent on; past 1000 ordinals not even a few in a row are needed."""
 
@@ -136,7 +137,8 @@ def collate_batches(
     """The trainer's input: every batch member with ``n_views`` chunks, masked when asked.
 
     Each epoch puts the chunks of an author in a random order; the v-th visit takes the v-th run of ``n_views``
-    places, cyclically. A visit never repeats a chunk, and the join key is (author, place), which is unique, so an
+    places, cyclically. Contents are joined last, on ``CONTENT_KEYS``; chunks stored by these keys stay where they are, and
+    only the keys chosen move. A visit never repeats a chunk, and the join key is (author, place), which is unique, so an
     author with very many chunks is no hot key. A member with fewer chunks than views is an error: such authors are to
     be kept out before the batches are made.
     """
@@ -161,5 +163,4 @@ def collate_batches(
     order = number_by_digest(keys, ["epoch", "author"], [*drawn, "epoch"], drawn, seed, "_rn", hot_rows=hot_rows)
     order = order.withColumn("_place", F.col("_rn").cast("bigint") - 1).drop("_rn")
     chosen = visits.join(order, ["epoch", "author", "_place"]).drop("_place")
-    content = chunks.select("source", "author", *drawn, "input_ids")
-    return chosen.join(content, ["source", "author", *drawn])
+    return chosen.join(chunks.select(*CONTENT_KEYS, "input_ids"), list(CONTENT_KEYS))

@@ -7,12 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penstroke.staging import fresh_path
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """A folder of Parquet files; chunks are best partitioned by source, batches by epoch and shard."""
     df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
 
 
+def store_by_key(df: DataFrame, keys: Sequence[str], buckets: int | None = None, name: str = "stored") -> DataFrame:
+    """A stored table whose rows lie in buckets by ``keys``, sorted in each: a join on all of these keys reads it in place
+    and moves the other side only.
+
+    Without ``buckets`` there are as many as shuffle partitions. The files lie in the shared folder, the entry in the
+    session's catalog, as Spark keeps the layout there.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, *keys)  # one file per bucket
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_counts(counts: DataFrame, path: str) -> None:
     """``(key, n)`` as Parquet, without zeros."""
     counts.where(F.col("n") > 0).select("key", "n").write.mode("overwrite").parquet(path)

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from checks import QUERIES
 from checks import fixtures as X
+from penstroke.operators import batches as B
 from penstroke.operators import chunking as C
 from penstroke.operators import distributed as D
 from penstroke.operators import ranks as R
 from penstroke.operators import sampling as S
+from penstroke.sources import writers as O
+from penstroke.staging import stage
 from tests.conftest import SMALL
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -54,6 +57,26 @@ def test_word_ranks_are_looked_up_in_the_row(spark, vocab):
     assert "Exchange" not in shape and "Generate" not in shape and "Join" not in shape
 
 
+def test_contents_of_stored_chunks_are_not_moved(spark):
+    """Chunks in buckets by their keys: nothing above the chosen keys is exchanged, and few exchanges are left."""
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunks = [(f"a{i % 6}", f"d{i}", f"s{i % 2}", i, [0, i, 2], [-1, 0, -1]) for i in range(60)]
+        stored = O.store_by_key(spark.createDataFrame(chunks, C.CHUNK_SCHEMA), B.CONTENT_KEYS, 4, "plan_chunks")
+        members = B.shard_authors(B.label_encode(B.first_source_of_author(stored)), 1)
+        batches = stage(B.balanced_batches(members, 2))
+        out = B.collate_batches(batches, stored, 3)
+        shape = plan(out)
+        assert "SelectedBucketsCount: 4 out of 4" in shape
+        assert not any("Exchange" in line and "input_ids" in line for line in shape.splitlines())
+        below = [line for line in shape.splitlines() if "Exchange" in line]
+        assert len(below) <= 10, shape
+        assert out.count() == batches.count() * 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
 def test_no_python_in_the_text_path(spark, vocab):
     chunks = C.chunk_packed(C.encode(X.raw_docs(spark, SMALL), vocab), length=X.LENGTH)
     for df in (chunks, R.count_words(chunks, vocab), S.sample_views(chunks, 4)):
