@@ -115,7 +115,8 @@ def chunk_to_author(spark, sf):
 
 # --- nearest neighbours and loss
 
-KNN = f"""WITH {VIEWS}, sims AS (
+def knn_sql(views):
+    return f"""WITH {views}, sims AS (
   SELECT s.view, q.vec_id, q.label AS truth, s.label AS pred, round(list_dot_product(q.u, s.u), 9) AS sim
   FROM views q JOIN views s ON q.view <> s.view
 ), knn AS (
@@ -124,11 +125,24 @@ KNN = f"""WITH {VIEWS}, sims AS (
 )"""
 
 
+KNN = knn_sql(VIEWS)
+
+
 @query("knn1_leave_one_view", f"{KNN} SELECT view, vec_id, truth, pred, sim + 0.0 AS sim FROM knn")
 def knn1_leave_one_view(spark, sf):
     return N.knn1_leave_one_view(X.emb_views(spark, sf)).withColumn("sim", F.col("sim") + 0.0)
 
 
+HALVES = f"{UNIT}, views AS (SELECT *, vec_id % 2 AS view FROM unit)"
+
+
+@query("knn1_large_views", f"{knn_sql(HALVES)} SELECT view, vec_id, truth, pred, sim + 0.0 AS sim FROM knn")
+def knn1_large_views(spark, sf):
+    """Two views of half the vectors each, large enough for bounds by pivots."""
+    views = X.table(spark, sf, "embeddings").withColumnRenamed("label", "author").withColumn("view", F.col("vec_id") % 2)
+    return N.knn1_leave_one_view(views).withColumn("sim", F.col("sim") + 0.0)
+
+
 @query(
     "top1_by_similarity",
     f"{PAIRS} SELECT la, arg_min(lb, (-round(list_dot_product(a, b), 9), lb)) AS lb, round(max(list_dot_product(a, b)), 9) + 0.0 AS sim FROM pairs GROUP BY la",
