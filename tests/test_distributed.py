@@ -127,3 +127,11 @@ def test_members(spark, skewed):
     kept, dropped = D.keep_members(skewed, members, ["k"]), D.drop_members(skewed, members, ["k"])
     assert rows(kept) == rows(skewed.where("k in ('hot', 'k3')"))
     assert kept.count() + dropped.count() == skewed.count()
+
+
+def test_joins_of_empty_tables(spark, skewed, no_broadcast):
+    small = spark.createDataFrame([("hot", 1)], "k string, w int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert D.salted_join(skewed.limit(0), small, ["k"], how).count() == 0
+        assert rows(D.salted_join(skewed, small.limit(0), ["k"], how, hot_rows=100)) == rows(skewed.join(small.limit(0), "k", how))
+    assert D.number_rows(skewed.limit(0), ["k"], "o", ["id"], hot_rows=1).count() == 0
