@@ -164,10 +164,10 @@ class TextEncoder:
         return tokens, per_text
 
 
-def slices(texts: pa.Array):
-    """Ranges of rows with about ``SLICE_BYTES`` of text each."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES):
+    """Ranges of rows with about ``size`` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(sizes) // SLICE_BYTES
+    group = np.cumsum(sizes) // size
     edges = np.flatnonzero(np.diff(group)) + 1
     bounds = [0, *edges.tolist(), len(texts)]
     return [(a, b) for a, b in zip(bounds, bounds[1:]) if a < b]

@@ -30,9 +30,12 @@ LEAST_RATIO = 6.0
 LEAST_GAIN = 15.0
 """Twice the log likelihood ratio of a term's counts against chance, about one in ten thousand terms without meaning."""
 
-COUNTED_TERMS = 1_000_000
+COUNTED_TERMS = 400_000
 """Terms that a task counts before it passes its counts on."""
 
+SLICE_BYTES = 2 << 20
+"""Text whose words a task takes apart at a time."""
+
 BUCKETS = 1 << 18
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.2, 1.0, 0.5, 0.05
 EM_ROUNDS = 50
@@ -142,7 +145,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         toxic = batch.column(1).to_numpy() > 0
-        for a, b in K.slices(batch.column(0)):
+        for a, b in K.slices(batch.column(0), SLICE_BYTES):
             row, word, words = distinct_words(batch.column(0).slice(a, b - a))
             term, number = np.unique(terms_of(words), return_inverse=True)
             number = number.reshape(len(words), KINDS)
@@ -334,7 +337,7 @@ class ToxicityModel:
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    return (texts.slice(a, b - a) for a, b in K.slices(texts))
+    return (texts.slice(a, b - a) for a, b in K.slices(texts, SLICE_BYTES))
 
 
 def _smallest(rows: DataFrame, by: list[str], n: int) -> DataFrame:
@@ -348,7 +351,7 @@ def _sample_features(lexicon: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in K.slices(batch.column(2)):
+            for a, b in K.slices(batch.column(2), SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 features = [packed(at, n) for at, n in zip(*document_features(part.column(2)))]
                 columns = [part.column(0), part.column(1), pa.array(votes_of(part.column(2), lexicon)), pa.array(features, pa.binary())]
