@@ -61,6 +61,7 @@ class TextEncoder:
         # Added tokens are found in the text before it is cut, some of them in its normalized form.
         added = [t["content"] for t in settings.get("added_tokens") or [] if t["content"]]
         self.added = "(?i)" + "|".join(re.escape(t).replace("\\ ", " ") for t in added) if added else None
+        self.sign = re.match(r"[^\w\s]*", os.path.commonprefix(added))[0]  # what every added token begins with
         self.cached_words = cached_words
         self._reset()
 
@@ -121,19 +122,27 @@ class TextEncoder:
             found = list(map(self.known.get, pieces))
         return np.array(found, np.int64)
 
+    def _with_added(self, texts: pa.Array) -> pa.Array:
+        """Which texts hold an added token; the sign that all of them begin with is looked for first."""
+        none = pa.array(np.zeros(len(texts), bool))
+        if not self.added:
+            return none
+        near = pc.match_substring(texts, self.sign)
+        return pc.match_substring_regex(pc.if_else(near, texts, ""), self.added) if pc.any(near).as_py() else none
+
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and how many each text has."""
         if self.form is None:
             return self._index(texts.to_pylist()), np.ones(len(texts), np.int64)
         odd = pc.match_substring_regex(texts, _INNER_BLANK)
-        whole = pc.match_substring_regex(texts, self.added) if self.added else pa.scalar(False)
+        whole = self._with_added(texts)
         odd = pc.or_(odd, whole)
         marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), _LINE_END, "\\1\0\n\0\\2")
         marked = pc.replace_substring_regex(marked, _WORD_END, "\\1\0\\2")
         marked = pc.replace_substring(marked, " ", "\0 ")
         lists = pc.split_pattern(marked, "\0")
         if pc.any(odd).as_py():
-            whole = whole.to_pylist() if self.added else [False] * len(texts)
+            whole = whole.to_pylist()
             cut = [([t] if w else _RUN_START.split(t)) if o else p for t, o, w, p in zip(texts.to_pylist(), odd.to_pylist(), whole, lists.to_pylist())]
             lists = pa.array(cut, lists.type)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
