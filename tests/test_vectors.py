@@ -48,6 +48,27 @@ def test_knn_ties_go_to_the_lowest_label(spark):
     assert {r.pred for r in N.knn1_leave_one_view(df, strip_rows=1).collect()} == {2}
 
 
+def test_knn_rows_cross_no_shuffle(embeddings):
+    """A row per vector and view grows with their product, so it leaves the cells as it is; a report leaves counts there."""
+    found = N.knn1_leave_one_view(embeddings)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "SortAggregate" not in plan
+    counts = [tuple(r) for r in found.groupBy("truth", "pred").count().collect()]
+    assert sorted(counts, key=repr) == rows(N.knn1_confusion(embeddings), "truth", "pred", "n") == rows(N.knn1_confusion(embeddings, strip_rows=3))
+    plan = N.knn1_confusion(embeddings)._jdf.queryExecution().executedPlan().toString()
+    assert "sum(n" in plan and "sim#" not in plan
+
+
+def test_knn_of_repeated_keys(embeddings):
+    """Of several vectors with a key and label the nearest counts, whether a view is in one strip or in several."""
+    twice = embeddings.withColumn("vec_id", (F.col("vec_id") / 2).cast("bigint")).cache()
+    for strip_rows in (3, 1000):
+        got = N.knn1_leave_one_view(twice, strip_rows=strip_rows)
+        assert rows(got) == rows(got.dropDuplicates(["view", "vec_id", "truth"])) == rows(N.knn1_leave_one_view(twice, strip_rows=20))
+        counted = sorted((tuple(r) for r in got.groupBy("truth", "pred").count().collect()), key=repr)
+        assert rows(N.knn1_confusion(twice, strip_rows=strip_rows)) == counted
+
+
 @pytest.mark.parametrize("spread", [0.02, 1.0])
 def test_pivots_skip_blocks_and_change_nothing(spark, spread):
     """Two views of 1200 authors in 8 clusters: the nearest are the same, and tight clusters are skipped."""
