@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from penstroke.functions import vectors as V
 from penstroke.operators.distributed import global_rank, keep_members, salted_join
-from penstroke.operators.neighbours import knn1_leave_one_view
+from penstroke.operators.neighbours import knn1_confusion
 from penstroke.staging import stage
 
 MAX_ITERATIONS = 1000
@@ -37,7 +37,12 @@ def classification_report(predictions: DataFrame, truth: str = "truth", pred: st
     A division by zero gives 0; classes are those of the truth and of the prediction. The predictions are read once
     and reduced to a confusion table, which is stored, as each average reads it.
     """
-    table = stage(confusion(predictions, truth, pred), "confusion")
+    return confusion_report(confusion(predictions, truth, pred))
+
+
+def confusion_report(counts: DataFrame) -> DataFrame:
+    """``classification_report`` from ``truth``, ``pred`` and ``n``."""
+    table = stage(counts, "confusion")
     hit = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)
     sides = F.explode(
         F.array(
@@ -72,7 +77,7 @@ def classification_report(predictions: DataFrame, truth: str = "truth", pred: st
 
 def knn1_report(embeddings: DataFrame, label: str = "author", **kwargs) -> DataFrame:
     """Report of the folds of ``knn1_leave_one_view`` together."""
-    return classification_report(knn1_leave_one_view(embeddings, label, **kwargs))
+    return confusion_report(knn1_confusion(embeddings, label, **kwargs))
 
 
 def corpus_filter(df: DataFrame, corpus: str) -> DataFrame:
