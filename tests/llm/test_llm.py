@@ -722,3 +722,19 @@ def test_odd_sections(spark):
 def test_near_copies_with_a_map_column(spark):
     docs = spark.createDataFrame([(1, "a b c d", {"x": 1, "y": 2}), (2, "a b c d", {"y": 2, "x": 1}), (3, "q r s t u", {})], "doc_id long, text string, m map<string, int>")
     assert sorted(r.doc_id for r in near_duplicates.one_of_each_group(docs).collect()) == [1, 3]
+
+
+def test_toxicity_fit_holds_few_bytes_per_feature():
+    """The documents of a fit are held in eight bytes a feature, and a fit adds little to that."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    features = [toxicity.packed(np.sort(rng.choice(toxicity.BUCKETS, 2000, replace=False)), rng.integers(1, 9, 2000)) for _ in range(300)]
+    tracemalloc.start()
+    at, n = zip(*map(toxicity.unpacked, features))
+    weights, bias = toxicity.train_classifier(at, n, np.arange(300) % 2, np.ones(300))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 600_000 + 8 * 10 * toxicity.BUCKETS
+    wide = toxicity.train_classifier([a.astype(np.int64) for a in at], [x.astype(float) for x in n], np.arange(300) % 2, np.ones(300))
+    assert (wide[0] == weights).all() and wide[1] == bias
