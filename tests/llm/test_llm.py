@@ -738,3 +738,24 @@ def test_toxicity_fit_holds_few_bytes_per_feature():
     assert peak < 8 * 600_000 + 8 * 10 * toxicity.BUCKETS
     wide = toxicity.train_classifier([a.astype(np.int64) for a in at], [x.astype(float) for x in n], np.arange(300) % 2, np.ones(300))
     assert (wide[0] == weights).all() and wide[1] == bias
+
+
+def test_language_learns_from_all_rows(spark, monkeypatch):
+    """A language whose words differ from row to row: all rows teach, in any partitioning and number of copies."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text", F.col("lang").alias("lang"))
+    monkeypatch.setattr(language, "SHARD_ROWS", 50)
+    monkeypatch.setattr(language, "MANY_COPIES", 3)
+    model = language.fit_language_model(docs)
+    copied = docs.unionByName(docs.orderBy(F.xxhash64("text")).limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(9)))).drop("n"))
+    sums = []
+    for rows_, df in ((docs, 7), (docs, 1), (copied, 5)):
+        again = language.fit_language_model(rows_.repartition(df))
+        sums.append(again)
+    assert (sums[0].weights == model.weights).all() and (sums[1].weights == model.weights).all()
+    assert sums[0].temperature == sums[1].temperature == model.temperature and sums[0].limit == sums[1].limit == model.limit
+    assert np.abs(sums[2].weights - model.weights).max() < 0.5  # document frequencies count the copies
+    # Every row teaches: a word that only the last rows by digest have gets a weight.
+    words = [(f"{'zq' if i % 2 else 'xw'} {chr(97 + i % 20)}{chr(97 + i // 20 % 20)}", "a" if i % 2 else "b") for i in range(300)]
+    taught = language.fit_language_model(spark.createDataFrame(words, "text string, lang string"))
+    seen = {r.lang_pred for r in language.predict_language(spark.createDataFrame([("zq zq",)], "text string"), taught).collect()}
+    assert seen == {"a"} and not hasattr(language, "TRAINING_ROWS")
