@@ -72,10 +72,11 @@ def read_tsv_headerless(spark, sf):
 
 
 def written_pages(spark, sf):
-    """A folder with a file per page, and one without content."""
+    """A file and a folder per page, and one without content."""
     path = fresh_path(spark, "pages")
-    pages = X.table(spark, sf, "pages")
-    pages.select(F.col("page_id").alias("book"), "html").repartition("book").write.partitionBy("book").text(path)
+    pages = I.fill_cores(X.table(spark, sf, "pages").select("page_id", "html"))
+    line = F.concat(F.coalesce("html", F.lit("")), F.lit("\n"))
+    O.write_text_files(pages.select(F.concat(F.lit("book="), "page_id", F.lit("/part.txt")).alias("name"), line.alias("text")), path)
     empty = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/book=999999999999/part.txt")
     empty.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(empty).close()
     return path

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penstroke.staging import fresh_path
 
+FOLDERS, FILES_PER_FOLDER = 64, 1_000
+"""Folders that many small files are dealt to at least, more than Spark lists one after the other on the driver (32), and how
+many files a folder takes before there are more of them."""
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """A folder of Parquet files; chunks are best partitioned by source, batches by epoch and shard."""
@@ -31,6 +40,32 @@ def store_by_key(df: DataFrame, keys: Sequence[str], buckets: int | None = None,
     return spark.table(table)
 
 
+def write_text_files(texts: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """One UTF-8 file per row below ``path``, with the row's own relative ``name``, which no other row has.
+
+    The files are dealt to folders by their names. Tasks write them one by one, each under a hidden name until it is whole, so
+    a repeated task writes the same again; a committer of folders would move each of them once more, on the driver. A row
+    without a name has no file, one without a text an empty file.
+    """
+    folders = max(FOLDERS, math.ceil(texts.count() / FILES_PER_FOLDER))
+    folder = F.lpad(F.pmod(F.xxhash64(name), F.lit(folders)).cast("string"), 8, "0")
+    named = texts.where(F.col(name).isNotNull()).select(F.concat_ws("/", folder, name).alias("name"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+        for batch in batches:
+            for file, content in zip(batch.column("name").to_pylist(), batch.column("text")):
+                parent, last = f"{root}/{file}".rsplit("/", 1)
+                hidden = f"{parent}/.{last}-{uuid.uuid4().hex}"
+                files.create_dir(parent, recursive=True)
+                with files.open_output_stream(hidden, compression=None) as stream:
+                    stream.write(content.as_buffer())
+                files.move(hidden, f"{parent}/{last}")
+            yield batch.select(["name"])
+
+    named.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 def write_counts(counts: DataFrame, path: str) -> None:
     """``(key, n)`` as Parquet, without zeros."""
     counts.where(F.col("n") > 0).select("key", "n").write.mode("overwrite").parquet(path)

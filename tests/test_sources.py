@@ -1,5 +1,6 @@
 """Readers and writers on small files."""
 
+import gzip
 import json
 
 import pytest
@@ -70,6 +71,31 @@ def test_books(spark, tmp_path):
     assert rows(missing) == [("PG2", "Anon", "['fr']")]
 
 
+def test_many_files(spark, tmp_path):
+    """Files are dealt to folders that Spark lists in tasks, and the listing reaches no Python; compressed files are unpacked."""
+    texts = [(f"book={i}/part.txt", "" if i % 7 == 0 else f"text\n{i} \u00e9") for i in range(300)]
+    O.write_text_files(spark.createDataFrame([*texts, (None, "x")], "name string, text string"), str(tmp_path / "b"))
+    assert len(list((tmp_path / "b").iterdir())) > 32
+    assert not list((tmp_path / "b").rglob(".*"))
+    (tmp_path / "b" / "book=999").mkdir()
+    with gzip.open(tmp_path / "b" / "book=999" / "part.txt.gz", "wt") as packed:
+        packed.write("unpacked")
+    pattern = r"book=(\d+)/"
+    read = I.read_text_files(spark, str(tmp_path / "b"), pattern)
+    assert rows(read) == sorted([*((str(i), t) for i, (_, t) in enumerate(texts)), ("999", "unpacked")], key=repr)
+    sizes = dict(rows(I.list_files(spark, str(tmp_path / "b"), pattern), "id", "length"))
+    assert all(sizes[str(i)] == len(t.encode()) for i, (_, t) in enumerate(texts)) and len(sizes) == 301
+    assert "ExistingRDD" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_of_files_are_found_without_their_contents(spark, tmp_path):
+    O.write_text_files(spark.createDataFrame([("1_text.txt", "x")], "name string, text string"), str(tmp_path / "b"))
+    _, missing = I.join_metadata_files(spark.createDataFrame([("1",), ("2",)], "id string"), I.read_text_files(spark, str(tmp_path / "b")))
+    shape = missing._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in shape and "Format: Text" not in shape and "content" not in shape
+    assert rows(missing) == [("2",)]
+
+
 def test_counts(spark, tmp_path):
     counts = spark.createDataFrame([("the", 5), ('a"b', 2), ("zero", 0)], "key string, n bigint")
     O.write_counts(counts, str(tmp_path / "p"))
