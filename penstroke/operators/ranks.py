@@ -11,6 +11,7 @@ from penstroke.functions import arrays as A
 from penstroke.functions import text as X
 from penstroke.operators.chunking import MASK, PROTECTED_TOKENS, SLOTS, id_to_token, token_slots
 from penstroke.operators.distributed import global_rank, salted_join
+from penstroke.staging import stage
 
 PROTECTED_RANK = -1
 CHUNK_KEY = ("source", "author", "doc_id", "chunk_idx")
@@ -21,12 +22,25 @@ TABLE_BYTES, ENTRY_BYTES = 64 << 20, 32
 """Bytes of a rank table that every task may hold, and what an entry takes besides its word."""
 
 
+def spelled_tokens(vocab: DataFrame) -> DataFrame:
+    """One row: every token as ``chunk_words`` reads it, plain and with the mark of a word's start."""
+    return id_to_token(vocab).select(F.flatten(F.transform("tokens", lambda t: F.array(t, F.concat(F.lit("\x00 "), t)))).alias("spelled"))
+
+
 def detokenize_words(chunks: DataFrame, vocab: DataFrame, keep: Sequence[str] = CHUNK_KEY) -> DataFrame:
-    """The lower-cased words of every chunk as the array ``words``, indexed by chunk-local word id."""
-    with_tokens = chunks.select(*keep, "input_ids", "word_ids").withColumn("_tokens", id_to_token(vocab).scalar())
+    """The lower-cased words of every chunk as the array ``words``, indexed by chunk-local word id. Chunks that
+    ``store_words`` has stored have them already."""
+    if "words" in chunks.columns:
+        return chunks.select(*keep, "words")
+    with_tokens = chunks.select(*dict.fromkeys([*keep, "input_ids", "word_ids"])).withColumn("_tokens", spelled_tokens(vocab).scalar())
     return with_tokens.select(*keep, A.chunk_words("input_ids", "word_ids", F.col("_tokens")).alias("words"))
 
 
+def store_words(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Chunks stored with their ``words``, for jobs that count them and rank them: each chunk is spelled once."""
+    return stage(detokenize_words(chunks, vocab, chunks.columns), "chunk-words")
+
+
 def word_runs(chunks: DataFrame, vocab: DataFrame, keep: Sequence[str] = CHUNK_KEY) -> DataFrame:
     """One row per word of every chunk: ``word_id`` and ``word``. A word cut by a chunk edge is two fragments."""
     # The outer form keeps the optimizer from pushing a filter on the array below the step that makes the array.
@@ -138,18 +152,20 @@ def attach_word_ranks(
     needs no ranks past its threshold, so ``rank_map_top_k`` keeps a table as small as that. A larger table is joined.
     """
     n, size = ranks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key") + ENTRY_BYTES), F.lit(0))).first()
+    columns = [c for c in chunks.columns if c != "words"]
+    words = detokenize_words(chunks, vocab, columns)
     if size > table_bytes:
-        return _join_word_ranks(chunks, ranks, vocab, head_ranks)
-    words = chunks.withColumn("_tokens", id_to_token(vocab).scalar())
-    words = words.select(*chunks.columns, A.chunk_words("input_ids", "word_ids", F.col("_tokens")).alias("_words"))
+        return _join_word_ranks(words, ranks, n, head_ranks)
     held = words.withColumn("_table", word_slots(ranks).scalar())
     unranked = lambda w: F.when(X.is_countable_word(w), F.lit(n)).otherwise(PROTECTED_RANK)
+    found = lambda w: F.coalesce(_looked_up(w), unranked(w))
+    return held.select(*columns, _written("word_ids", F.transform("words", found)).alias("ranks"))
 
-    def found(w):
-        of_slot = F.get(F.col("_table"), F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
-        return F.coalesce(F.try_element_at(of_slot, w), unranked(w))
 
-    return held.select(*chunks.columns, _written("word_ids", F.transform("_words", found)).alias("ranks"))
+def _looked_up(word: Column) -> Column:
+    """The rank of a word in the row's ``_table``, null for a word that it has not."""
+    of_slot = F.get(F.col("_table"), F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int"))
+    return F.try_element_at(of_slot, word)
 
 
 def _written(word_ids: str, by_word: Column) -> Column:
@@ -158,29 +174,25 @@ def _written(word_ids: str, by_word: Column) -> Column:
     return A.with_value(by_word, at_tokens)
 
 
-def _join_word_ranks(chunks: DataFrame, ranks: DataFrame, vocab: DataFrame, head_ranks: int) -> DataFrame:
-    """The ``head_ranks`` most frequent words are looked up by broadcast. What remains is joined by shuffle: no
-    remaining word can have more than 1/head_ranks of the tokens, words that still are hot are copied, and the rows
-    already ranked, which do not match there, are spread by a salt.
+def _join_word_ranks(chunks: DataFrame, ranks: DataFrame, n: int, head_ranks: int) -> DataFrame:
+    """The ``head_ranks`` most frequent words are looked up in the row. Only the other words that have a letter are listed,
+    by the number of their stored chunk, and joined by shuffle: none of them can have more than 1/head_ranks of the tokens,
+    and words that still are hot are copied. Those found there come back to their chunks; the others are out of vocabulary.
     """
-    key = list(CHUNK_KEY)
-    runs = word_runs(chunks, vocab).withColumn("word", F.when(X.is_countable_word("word"), F.col("word")))
-    by_word = ranks.select(F.col("key").alias("word"), F.col("rank").cast("int").alias("rank"))
-    head = by_word.where(F.col("rank") < head_ranks).withColumnRenamed("rank", "_head")
-    tail = by_word.where(F.col("rank") >= head_ranks).select(F.col("word").alias("_word"), F.col("rank").alias("_tail"))
-    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*key, "word_id"), F.lit(4096)))
-    rare = F.when(F.col("word").isNotNull() & F.col("_head").isNull(), F.col("word")).otherwise(spread)
-    ranked = salted_join(runs.join(F.broadcast(head), "word", "left").withColumn("_word", rare), tail, ["_word"], "left")
-    rank = F.when(F.col("word").isNull(), PROTECTED_RANK).otherwise(F.coalesce("_head", "_tail", out_of_vocabulary_rank(ranks)))
-    of_chunk = (
-        ranked.select(*key, F.struct("word_id", rank.alias("rank")).alias("w"))
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list("w")).alias("_words"))
-        .select(*(F.col(c).alias(f"_of_{c}") for c in key), F.col("_words.rank").alias("_by_word"))
+    columns = [c for c in chunks.columns if c != "words"]
+    head = chunks.withColumn("_table", word_slots(ranks.where(F.col("rank") < head_ranks)).scalar())
+    known = F.transform("words", lambda w: F.when(X.is_countable_word(w), _looked_up(w)).otherwise(PROTECTED_RANK))
+    rare = F.zip_with("words", "_known", lambda w, rank: F.when(rank.isNull(), w))
+    numbered = head.select(*columns, "words", known.alias("_known")).select(
+        *columns, "_known", rare.alias("_rare"), F.monotonically_increasing_id().alias("_row")
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]
-    joined = chunks.join(of_chunk, same, "left")
-    return joined.select(*chunks.columns, _written("word_ids", F.col("_by_word")).alias("ranks"))
+    stored = stage(numbered, "numbered-chunks")
+    tail = ranks.where(F.col("rank") >= head_ranks).select(F.col("key").alias("_word"), F.col("rank").cast("int").alias("_rank"))
+    listed = stored.select("_row", F.posexplode_outer("_rare").alias("_at", "_word")).where(F.col("_word").isNotNull())
+    found = salted_join(listed, tail, ["_word"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_rank"))).alias("_found"))
+    of_word = lambda rank, at: F.coalesce(rank, F.try_element_at(F.col("_found"), at), F.lit(n))
+    joined = stored.drop("_rare").join(found, "_row", "left")
+    return joined.select(*columns, _written("word_ids", F.transform("_known", of_word)).alias("ranks"))
 
 
 def mask_content(chunks: DataFrame, threshold: DataFrame | int, mask_id: int = MASK) -> DataFrame:

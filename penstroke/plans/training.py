@@ -102,6 +102,7 @@ def masked_training_chunks(
     only those before it are kept. ``split_chunks`` should be a stored table: it is read for the counts and for the
     result.
     """
+    split_chunks = R.store_words(split_chunks, vocab) if unit == "word" else split_chunks
     train = split_chunks.where(F.col("split") == "train")
     if unit == "word":
         counts = stage(R.count_words(train, vocab), "word-counts")

@@ -72,6 +72,16 @@ def decoded(chunks, vocab):
     return sorted((r.author, r.chunk_idx, [tokens[i] for i in r.input_ids[1:-1]], r.word_ids[1:-1]) for r in chunks.collect())
 
 
+def test_whole_chunks_are_not_shuffled(spark, docs, vocab, monkeypatch):
+    """Only the ends of a document meet others; a piece is counted as the words are cut."""
+    chunks = C.chunk_packed(C.encode(D.trim_text(docs), vocab), length=LENGTH)
+    shape = chunks._jdf.queryExecution().executedPlan().toString()
+    first, second = shape.split("ObjectHashAggregate" if "ObjectHashAggregate" in shape else "SortAggregate", 1)
+    assert "Union" in first and "Exchange" not in first and "Exchange" in second
+    cut = docs.select(X.pieces(X.words("text")).alias("a"), X.text_pieces("text").alias("b"))
+    assert all(r.a == r.b for r in cut.collect())
+
+
 @pytest.mark.parametrize("hot_tokens", [25, 1_000_000])
 @pytest.mark.parametrize("separator", [C.PAGE_BREAK_SEPARATOR, C.BLANK_LINES_SEPARATOR])
 @pytest.mark.parametrize("keep_tail", [False, True])

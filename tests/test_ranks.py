@@ -70,6 +70,27 @@ def test_words_of_tokens_with_blanks(spark):
     assert {r.author: r.ranks for r in ranked.collect()} == {"x": [-1, 1, 2, 2, -1, -1], "y": [-1, 0, 0, 0, 1, -1]}
 
 
+def test_stored_words_are_spelled_once(spark, chunks, vocab, counted):
+    stored = R.store_words(chunks, vocab)
+    assert {r.key: r.n for r in R.count_words(stored, vocab).collect()} == counted[0]
+    ranks = R.rank_map(R.count_words(stored, vocab))
+    for table_bytes in (0, 1 << 20):
+        ranked, again = (R.attach_word_ranks(c, ranks, vocab, 3, table_bytes) for c in (stored, chunks))
+        assert ranked.columns == again.columns and rows(ranked) == rows(again)
+        assert "array_join" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_rare_words_are_listed_for_the_join(spark, chunks, vocab, monkeypatch):
+    listed = []
+    joined = R.salted_join
+    monkeypatch.setattr(R, "salted_join", lambda large, small, keys: (listed.append(large), joined(large, small, keys))[1])
+    ranks = R.rank_map(R.count_words(chunks, vocab))
+    R.attach_word_ranks(chunks, ranks, vocab, 5, 0)
+    head = {r.key for r in ranks.where("rank < 5").collect()}
+    words = {r["_word"] for r in listed[0].collect()}
+    assert words and not words & head and all(countable(w) for w in words)
+
+
 def test_count_words(chunks, vocab, counted):
     assert {r.key: r.n for r in R.count_words(chunks, vocab).collect()} == counted[0]
 
