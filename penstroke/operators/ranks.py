@@ -24,7 +24,12 @@ TABLE_BYTES, ENTRY_BYTES = 64 << 20, 32
 
 def spelled_tokens(vocab: DataFrame) -> DataFrame:
     """One row: every token as ``chunk_words`` reads it, plain and with the mark of a word's start."""
-    return id_to_token(vocab).select(F.flatten(F.transform("tokens", lambda t: F.array(t, F.concat(F.lit("\x00 "), t)))).alias("spelled"))
+    return id_to_token(vocab).select(F.flatten(F.transform("tokens", lambda t: F.array(t, F.concat(F.lit("\x00"), t)))).alias("spelled"))
+
+
+def has_white_space(vocab: DataFrame) -> DataFrame:
+    """One row: whether any token holds white space."""
+    return vocab.agg(F.coalesce(F.bool_or(F.col("token").rlike(f"[{A.WHITE_SPACE}]")), F.lit(False)).alias("blanks"))
 
 
 def detokenize_words(chunks: DataFrame, vocab: DataFrame, keep: Sequence[str] = CHUNK_KEY) -> DataFrame:
@@ -32,8 +37,9 @@ def detokenize_words(chunks: DataFrame, vocab: DataFrame, keep: Sequence[str] =
     ``store_words`` has stored have them already."""
     if "words" in chunks.columns:
         return chunks.select(*keep, "words")
-    with_tokens = chunks.select(*dict.fromkeys([*keep, "input_ids", "word_ids"])).withColumn("_tokens", spelled_tokens(vocab).scalar())
-    return with_tokens.select(*keep, A.chunk_words("input_ids", "word_ids", F.col("_tokens")).alias("words"))
+    read = {"_tokens": spelled_tokens(vocab).scalar(), "_blanks": has_white_space(vocab).scalar()}
+    with_tokens = chunks.select(*dict.fromkeys([*keep, "input_ids", "word_ids"])).withColumns(read)
+    return with_tokens.select(*keep, A.chunk_words("input_ids", "word_ids", F.col("_tokens"), F.col("_blanks")).alias("words"))
 
 
 def store_words(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -49,9 +55,12 @@ def word_runs(chunks: DataFrame, vocab: DataFrame, keep: Sequence[str] = CHUNK_K
 
 
 def count_words(chunks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(key, n)`` over the words that have a letter."""
+    """``(key, n)`` over the words that have a letter.
+
+    All words are counted and stored, so the pattern of letters is matched once per distinct word.
+    """
     listed = detokenize_words(chunks, vocab, ()).select(F.explode_outer("words").alias("key"))
-    return listed.where(X.is_countable_word("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return stage(listed.groupBy("key").agg(F.count("*").alias("n")), "all-words").where(X.is_countable_word("key"))
 
 
 def countable_tokens(vocab: DataFrame) -> DataFrame:

@@ -91,6 +91,25 @@ def test_only_rare_words_are_listed_for_the_join(spark, chunks, vocab, monkeypat
     assert words and not words & head and all(countable(w) for w in words)
 
 
+def test_the_pattern_of_letters_meets_distinct_words(spark, chunks, vocab, monkeypatch):
+    """Words are split at a single sign, counted, and only then told from numbers and signs."""
+    shapes, staged = [], R.stage
+    monkeypatch.setattr(R, "stage", lambda df, name="stage": (shapes.append(df._jdf.queryExecution().executedPlan().toString()), staged(df, name))[1])
+    R.count_words(chunks, vocab)
+    lines = [line for line in shapes[0].splitlines() if not line.lstrip().startswith(":")]  # without the subqueries
+    assert "RLIKE" not in "".join(lines) and "HashAggregate" in shapes[0]
+
+
+def test_words_lowered_at_their_ends(spark):
+    """A word ends where its neighbour starts, also for a sign whose lower case depends on that."""
+    tokens = [*C.RESERVED, "ΟΔΟ", "Σ", "É", "1"]
+    vocab = spark.createDataFrame(list(enumerate(tokens)), "id int, token string")
+    chunk = ("x", "d", "s", 0, [0, 7, 8, 7, 8, 9, 10, 9, 2], [-1, 0, 0, 1, 1, 2, 3, 4, -1])
+    chunks = spark.createDataFrame([chunk], C.CHUNK_SCHEMA)
+    assert R.detokenize_words(chunks, vocab).first().words == ["οδος", "οδος", "é", "1", "é"]
+    assert rows(R.count_words(chunks, vocab)) == [("é", 2), ("οδος", 2)]
+
+
 def test_count_words(chunks, vocab, counted):
     assert {r.key: r.n for r in R.count_words(chunks, vocab).collect()} == counted[0]
 
