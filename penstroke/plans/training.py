@@ -73,7 +73,7 @@ def chunk_corpora(
     stored table. How many chunks an author will have follows from its token counts, so the authors are chosen before
     any token is shuffled, and texts of the many authors with little text never are.
     """
-    encoded = stage(C.encode(prepare_texts(docs, settings, seed, hot_rows), vocab), "encoded")
+    encoded = C.number_stored(C.encode(prepare_texts(docs, settings, seed, hot_rows), vocab))
     packed = [name for name, how in settings.items() if how.pack]
     between = F.array().cast("array<int>")
     for name in packed:

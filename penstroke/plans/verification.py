@@ -38,7 +38,7 @@ def author_vectors(
     hot_tokens: int = C.HOT_TOKENS,
 ) -> DataFrame:
     """``(source, author, centroid)``: texts in order, cut to chunks with a short tail, masked, embedded, averaged."""
-    encoded = stage(C.encode(texts, vocab), "encoded")
+    encoded = C.number_stored(C.encode(texts, vocab))
     chunks = C.chunk_packed(encoded, (), length, TEXT_KEYS, order, keep_tail=True, hot_tokens=hot_tokens)
     padded = C.pad_chunks(chunks, length)
     keep = [*TEXT_KEYS, "doc_id", "chunk_idx"]

@@ -82,6 +82,29 @@ def test_whole_chunks_are_not_shuffled(spark, docs, vocab, monkeypatch):
     assert all(r.a == r.b for r in cut.collect())
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_only_sizes_are_put_in_order(spark, docs, vocab, monkeypatch, threshold):
+    """No window or sort sees a token: they meet their document's place by a hash join, broadcast while it is small."""
+    encoded = C.number_stored(C.encode(D.trim_text(docs), vocab))
+    want = decoded(C.chunk_packed(encoded, length=LENGTH), vocab)
+    before, shapes, staged = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {}, C.stage
+
+    def watched(df, name):
+        shapes[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name)
+
+    monkeypatch.setattr(C, "stage", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert decoded(C.chunk_packed(encoded, length=LENGTH), vocab) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(shapes) == {"places", "placed-documents"}  # numbered rows are not stored again
+    assert "Window" in shapes["places"] and "word_at" not in shapes["places"].split("FileScan")[0]
+    joined = "ShuffledHashJoin" if threshold == "-1" else "BroadcastHashJoin"
+    assert joined in shapes["placed-documents"] and "Sort" not in shapes["placed-documents"] and "Window" not in shapes["placed-documents"]
+
+
 @pytest.mark.parametrize("hot_tokens", [25, 1_000_000])
 @pytest.mark.parametrize("separator", [C.PAGE_BREAK_SEPARATOR, C.BLANK_LINES_SEPARATOR])
 @pytest.mark.parametrize("keep_tail", [False, True])
