@@ -1,16 +1,20 @@
 """The operators for training text against brute force, round trips and defined edge cases."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from penstroke.llm import attribution, decontamination, fingerprints, language, near_duplicates, packing, pseudonyms, queries, simple8b, toxicity, warc
 from penstroke.llm.tokenization import TextEncoder, vocabulary
 from tests.conftest import SMALL, TABLES
@@ -759,3 +763,39 @@ def test_language_learns_from_all_rows(spark, monkeypatch):
     taught = language.fit_language_model(spark.createDataFrame(words, "text string, lang string"))
     seen = {r.lang_pred for r in language.predict_language(spark.createDataFrame([("zq zq",)], "text string"), taught).collect()}
     assert seen == {"a"} and not hasattr(language, "TRAINING_ROWS")
+
+
+def test_workers_of_the_pipeline_hold_little_at_a_time(spark, monkeypatch):
+    """MB that a step of the pipeline takes of its worker besides the batch that Spark sends; rows are those of any other slices."""
+    stock = [f"{w}{i}" for i, w in enumerate(["dog", "tree", "sun", "rain", "stone"] * 200)]
+    draw = random.Random(1)
+    texts = pa.array([" ".join(draw.choices(stock, k=700)) for _ in range(2000)])  # 8 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=["doc_id", "text"])
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": lambda: 0}))
+    monkeypatch.setattr(language, "BUCKETS", 1 << 10)
+
+    def measured(step):
+        pool, before = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+        pa.set_memory_pool(pool)
+        tracemalloc.start()
+        try:
+            out = step()
+            return out, (tracemalloc.get_traced_memory()[1] + (pool.max_memory() or 0)) / 1e6
+        finally:
+            tracemalloc.stop()
+            pa.set_memory_pool(before)
+
+    def rows(run):
+        return [r for b in run(iter([batch])) for r in b.to_pylist()]
+
+    grams, took = measured(lambda: sum(np.bincount(language.ngram_counts(texts.slice(a, b - a))[1], minlength=1 << 10) for a, b in language._portions(texts)))
+    assert took < 40 and (grams == np.bincount(language.ngram_counts(texts)[1], minlength=1 << 10)).all(), took
+    prints, took = measured(lambda: rows(near_duplicates.fingerprints(docs)))
+    assert took < 40, took
+    monkeypatch.setattr(near_duplicates, "_HASHES", 1 << 22)
+    assert prints == rows(near_duplicates.fingerprints(docs))
+    packed, took = measured(lambda: rows(corpus_pipeline.pack_sequences(spark, docs, SMALL)))
+    assert took < 75, took
+    assert packed == rows(packing.pack_documents(docs, queries.vocabulary(queries.WORD_VOCABULARY)))
