@@ -1,6 +1,7 @@
 """Vectors, neighbours, loss, reports and verification against NumPy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,47 @@ def test_knn_of_repeated_keys(embeddings):
         assert rows(N.knn1_confusion(twice, strip_rows=strip_rows)) == counted
 
 
+@pytest.mark.parametrize("strip_rows", [3, 1000])
+def test_knn_copies_no_vector(embeddings, strip_rows):
+    """However many strips there are, a vector is stored once and shuffled once as a query: disk grows with the vectors."""
+    found = N.knn1_leave_one_view(embeddings, strip_rows=strip_rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CoGroups" not in plan and plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    views = N._stored_views(embeddings, "author", "vec_id", "view", strip_rows, 0)
+    assert views.queries.count() == AUTHORS * VIEWS and views.queries.rdd.getNumPartitions() >= AUTHORS * VIEWS / strip_rows
+    stored = pa.Table.from_batches(N._batches(views.path, views.files, 4))
+    assert stored.select(["view", "author"]).to_pylist() == [{"view": v, "author": a} for v in range(VIEWS) for a in range(AUTHORS)]
+
+
+@pytest.mark.parametrize("sizes", [[1, 2, 3], [9, 1, 4, 4, 1], [4], [5, 5], [1, 8, 1]])
+@pytest.mark.parametrize("rows", [1, 2, 4, 100])
+def test_pieces_hold_whole_views_or_parts_of_one(sizes, rows):
+    views = np.repeat(np.arange(len(sizes)), sizes)
+    batches = pa.table({"view": views, "n": np.arange(len(views))}).to_batches(max_chunksize=max(1, rows - 1))
+    pieces = [(p["view"].to_pylist(), p["n"].to_pylist(), ended) for p, ended in N._in_pieces(iter(batches), "view", rows)]
+    assert [n for _, part, _ in pieces for n in part] == list(range(len(views))) and all(len(part) <= 2 * rows for part, _, _ in pieces)
+    whole = []
+    for of, _, ended in pieces:
+        assert len(set(of)) == 1 or ended and not set(of) & set(whole)
+        whole += [v for v in set(of) if ended]
+    assert sorted(whole) == list(range(len(sizes)))
+
+
+def test_knn_of_names_and_missing_labels(spark, embeddings):
+    """Keys, labels and views may be text and labels missing; those come last among equal similarities."""
+    named = embeddings.select(
+        F.concat(F.lit("k"), "vec_id").alias("vec_id"),
+        F.when(F.col("author") != 5, F.format_string("a%02d", "author")).alias("author"),
+        F.concat(F.lit("v"), "view").alias("view"),
+        F.when(F.col("author").isin(5, 6), F.array(*[F.lit(1.0)] * D)).otherwise(F.col("embedding")).alias("embedding"),
+    ).cache()
+    got = {(r.view, r.vec_id): (r.truth, r.pred) for r in N.knn1_leave_one_view(named, strip_rows=3).collect()}
+    plain = embeddings.where("author <> 5").withColumn("embedding", F.when(F.col("author") == 6, F.array(*[F.lit(1.0)] * D)).otherwise(F.col("embedding")))
+    for r in N.knn1_leave_one_view(plain).collect():
+        assert got.pop((f"v{r.view}", f"k{r.vec_id}")) == (f"a{r.truth:02d}", f"a{r.pred:02d}")
+    assert set(got.values()) == {(None, "a06")} and len(got) == VIEWS * (VIEWS - 1)
+
+
 @pytest.mark.parametrize("spread", [0.02, 1.0])
 def test_pivots_skip_blocks_and_change_nothing(spark, spread):
     """Two views of 1200 authors in 8 clusters: the nearest are the same, and tight clusters are skipped."""
