@@ -765,6 +765,52 @@ def test_language_learns_from_all_rows(spark, monkeypatch):
     assert seen == {"a"} and not hasattr(language, "TRAINING_ROWS")
 
 
+@pytest.mark.parametrize("many", [4, 1000])
+def test_language_learns_every_copy_in_every_epoch(spark, monkeypatch, many):
+    """Weights and limit against shards fitted row by row: however many there are, each learns from all its rows ``EPOCHS`` times."""
+    words = [f"{'zq' if i % 2 else 'xw'} {chr(97 + i % 20)}{chr(97 + i // 20 % 20)} " * 12 for i in range(90)]
+    rows = [(w, "a" if i % 2 else "b") for i, w in enumerate(words)] + [(words[0], "b")] * 30 + [(words[1], "a")] * 2
+    monkeypatch.setattr(language, "SHARD_ROWS", 40)
+    monkeypatch.setattr(language, "MANY_COPIES", many)
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language.fit_language_model(df)
+    shards, hot = 4, words[0]  # 122 rows
+    cases = sorted((r.digest, r.lang, r.text) for r in df.withColumn("digest", F.xxhash64("text")).collect())
+    dealt, seen = [[] for _ in range(shards)], 0
+    for digest, lang, text in cases:
+        to = digest % shards
+        if text == hot and many == 4:  # 31 copies, dealt evenly from their own shard on
+            of_part = [8, 8, 8, 7]
+            to, seen = (digest + next(k for k in range(4) if seen < sum(of_part[: k + 1]))) % shards, seen + 1
+        dealt[to].append((digest, lang, text))
+    weights, n, strange = 0, 0, []
+    for part in dealt:
+        leader, taught = language.FollowTheLeader(2), []
+        for digest, lang, text in sorted(part):
+            row, bucket, count = language.ngram_counts(pa.array([text]))
+            strange.append(language.strangeness(row, bucket, count, model.idf, 1)[0])
+            if (digest % 2**64 >> 32) % language.CALIBRATION_SHARE != language.CALIBRATION_SHARE - 1:
+                taught.append((bucket, language.tf_idf(row, bucket, count, model.idf, 1), "ab".index(lang)))
+        for _ in range(language.EPOCHS):
+            for case in taught:
+                leader.learn(*case)
+        weights, n = weights + leader.weights(slice(None)) * len(taught), n + len(taught)
+    assert np.abs(model.weights - weights[:-1] / n).max() < 1e-6 and np.abs(model.bias - weights[-1] / n).max() < 1e-6
+    usual, middle = np.sort(strange)[[int(np.ceil(0.99 * len(rows))) - 1, len(rows) // 2 - 1]]
+    assert model.limit == pytest.approx(usual + 2 * (usual - middle), abs=2e-3)
+
+
+def test_language_of_long_texts_has_more_shards(spark, monkeypatch):
+    """A worker holds the n-grams of a shard, so their number bounds a shard as well as the rows do."""
+    dealt = []
+    monkeypatch.setattr(language, "SHARD_NGRAMS", 100)
+    repartition = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, n, *c: dealt.append(n) or repartition(self, n, *c))
+    texts = [(f"{chr(97 + i)}{chr(98 + i)} {chr(99 + i)}", "a" if i % 2 else "b") for i in range(20)]
+    model = language.fit_language_model(spark.createDataFrame(texts, "text string, lang string"))
+    assert dealt and dealt[-1] >= 2 and np.abs(model.weights).max() > 0
+
+
 def test_workers_of_the_pipeline_hold_little_at_a_time(spark, monkeypatch):
     """MB that a step of the pipeline takes of its worker besides the batch that Spark sends; rows are those of any other slices."""
     stock = [f"{w}{i}" for i, w in enumerate(["dog", "tree", "sun", "rain", "stone"] * 200)]
